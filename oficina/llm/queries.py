@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, toxicity
+from . import decontaminate, langid, licenses, pieces, quality, token_counts, toxicity
 from .common import documents, remainder
 
 
@@ -31,6 +31,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": decontaminate.query,
+        "op4_sentencepiece": pieces.query,
+        "op6_token_counts": token_counts.query,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": licenses.query,

@@ -25,12 +25,12 @@ from .common import WordHashes, bounded_share, mixed, plain_words, short_batches
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    bits: int = 18
-    train_rows: int = 6_000
-    epochs: int = 3
-    alpha: float = 0.1
+    bits: int = 21
+    train_rows: int = 16_000
+    epochs: int = 4
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 0.1
     seed: int = 5
 
