@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, pieces, quality, token_counts, toxicity
+from . import decontaminate, jaccard, langid, licenses, pieces, quality, token_counts, toxicity
 from .common import documents, remainder
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontamination": decontaminate.query,
         "op4_sentencepiece": pieces.query,
+        "op5_jaccard_join": jaccard.query,
         "op6_token_counts": token_counts.query,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
@@ -42,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": licenses.SQL, "op10_quality_rules": quality.SQL}
+    return {"op5_jaccard_join": jaccard.SQL, "op9_license_scan": licenses.SQL, "op10_quality_rules": quality.SQL}
