@@ -271,6 +271,19 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their group: those with its smallest id.
+
+    Rows that repeat an id and a text stay once; an id that is kept for one of
+    several texts is kept for all of them.
+    """
+    rep = join(df, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__rep")).distinct()
+    kept = df.join(rep, F.col(id_col).eqNullSafe(F.col("__rep")), "left_semi")
+    again = df.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__k")).where("__k > 1").select("__again")
+    same = F.col(id_col).eqNullSafe(F.col("__again"))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 

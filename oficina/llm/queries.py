@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, pieces, quality, token_counts, toxicity
+from . import decontaminate, jaccard, langid, licenses, pieces, pii, quality, token_counts, toxicity, url_filter
 from .common import documents, remainder
 
 
@@ -31,6 +31,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
+        "op2_url_filter": url_filter.query,
         "op3_decontamination": decontaminate.query,
         "op4_sentencepiece": pieces.query,
         "op5_jaccard_join": jaccard.query,
@@ -43,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard.SQL, "op9_license_scan": licenses.SQL, "op10_quality_rules": quality.SQL}
+    return {"op1_pii": pii.SQL, "op2_url_filter": url_filter.SQL, "op5_jaccard_join": jaccard.SQL, "op9_license_scan": licenses.SQL, "op10_quality_rules": quality.SQL}
