@@ -9,7 +9,8 @@ input is composed with them and its shortest path in the tropical semiring is th
 encoding. The file holds a merge vocabulary, for which scores alone would not give
 the merge order; with the pair acceptor exactly one path has a finite weight at
 every place, and it is the merge encoding, so the shortest path is right and is
-found without a heap. The acceptor's arcs are made when first needed.
+found by a search
+that never meets a place twice. The acceptor's arcs are made when first needed.
 
 No piece has a mark after another character (checked), so a text's path falls apart
 before every mark that follows one; paths of such stretches are remembered in a table of bounded size.
@@ -48,7 +49,7 @@ def load(path: str = MODEL) -> list[tuple[str, float, str]]:
 
 
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, str]], stretches: int = 300_000, pairs: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], stretches: int = 250_000, pairs: int = 500_000):
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k == "normal"}
         self.score = {p: s for p, s, k in pieces if k == "normal"}
         if any(MARK in p.lstrip(MARK) for p in self.id):
@@ -57,6 +58,7 @@ class Transducer:
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "special" else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the full table before this one
         self.fits: dict[tuple[str, str], bool] = {}
         self.most_paths, self.most_fits = stretches, pairs
 
@@ -81,61 +83,76 @@ class Transducer:
         if got is None:
             if len(self.fits) >= self.most_fits:
                 self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            if a and a + b in self.id and self.fit("", a + b):
+                got = False  # the two would become one piece
+            else:
+                got = self.merged(a + b) == ([a, b] if a else [b])
+            self.fits[a, b] = got
         return got
 
+    def arcs(self, s: str, i: int) -> list[str]:
+        """The lexicon's arcs from a place, shortest first; a character without a piece goes by its bytes."""
+        ids, prefixes = self.id, self.prefixes
+        k, n = i + 1, len(s)
+        p = s[i:k]
+        out = [] if p in ids else [p]
+        while k <= n and p in prefixes:
+            if p in ids:
+                out.append(p)
+            k += 1
+            p = s[i:k]
+        return out
+
     def path(self, s: str) -> tuple[int, ...]:
-        """Ids of the shortest path of a stretch."""
-        n = len(s)
-        ids, prefixes, fit = self.id, self.prefixes, self.fit
-        arcs: list[list[int]] = [[] for _ in range(n + 1)]  # starts of the lexicon's arcs that end here
-        back = [-1] * (n + 1)
-        last = [""] * (n + 1)
-        for i in range(n):
-            if i:
-                # One arc into each place has a finite weight: the first that fits is the shortest path.
-                for j in arcs[i]:
-                    p = s[j:i]
-                    if fit(last[j], p):
-                        back[i], last[i] = j, p
-                        break
-            k = i + 1
-            if s[i:k] not in ids:
-                arcs[k].append(i)  # byte fallback
-            while k <= n and s[i:k] in prefixes:
-                if s[i:k] in ids:
-                    arcs[k].append(i)
-                k += 1
-        for j in arcs[n]:
-            p = s[j:n]
-            if fit(last[j], p):
-                back[n], last[n] = j, p
-                break
+        """Ids of the shortest path of a stretch.
+
+        Whatever is reached at a place with a finite weight is the merge encoding of what
+        lies before it, so a place is reached in one way only: the search goes
+        forward over fitting arcs, longest first, and a place that turns out to lead nowhere is closed for good.
+        """
+        n, fits, fit = len(s), self.fits, self.fit
+        closed = bytearray(n + 1)
+        place, open_, taken = [0], [self.arcs(s, 0)], [""]
+        i = 0
+        while i < n:
+            last, left = taken[-1], open_[-1]
+            while left:
+                p = left.pop()
+                j = i + len(p)
+                if closed[j]:
+                    continue
+                ok = fits.get((last, p))
+                if fit(last, p) if ok is None else ok:
+                    place.append(j)
+                    taken.append(p)
+                    open_.append(self.arcs(s, j) if j < n else left)
+                    i = j
+                    break
+            else:
+                closed[i] = 1
+                place.pop(), taken.pop(), open_.pop()
+                i = place[-1]
         out: list[int] = []
-        i = n
-        while i > 0:
-            p = last[i]
-            got = ids.get(p)
+        for p in taken[1:]:
+            got = self.id.get(p)
             if got is None:
-                out += [self.byte[b] for b in reversed(p.encode("utf-8", "surrogatepass"))]
+                out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
             else:
                 out.append(got)
-            i = back[i]
-        return tuple(reversed(out))
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         out: list[int] = []
-        paths = self.paths
         for s in _STRETCH.findall(MARK + text.replace(" ", MARK)):
-            got = paths.get(s)
+            got = self.paths.get(s)
             if got is None:
-                got = self.path(s)
+                got = self.older.get(s) or self.path(s)
                 if len(s) <= 64:
-                    if len(paths) >= self.most_paths:
-                        paths.clear()
-                    paths[s] = got
+                    if len(self.paths) >= self.most_paths:
+                        self.older, self.paths = self.paths, {}
+                    self.paths[s] = got
             out += got
         return out
 
