@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import noise, specs, text
 from ..operators import builds, catalog, compatibility, ingest, prices, spec_sheet
 from ..sources import bindings, pages
+from ..sources.shared import own_folder
 from ..sources.bindings import table, view
+from ..streaming import prices as streams
 
 
 
@@ -503,6 +505,41 @@ def spec_sheets(spark, sf):
     return spec_sheet.mapped(pairs.withColumn("category", F.lit("gpu")), spec_sheet.rules(spark))
 
 
+# --- streams ----------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of price observations."""
+    raw = streams.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return raw.select(
+        F.col("user_id").alias("listing_id"), F.floor(F.col("user_id") / 3).cast("long").alias("product_id"), F.round("value", 2).alias("price_cash"),
+        (F.col("event_type") != "error").alias("in_stock"), F.col("ts").cast("timestamp").alias("collected_at"), "event_type",
+    )
+
+
+_SEEN = bindings.sql("history") + ", m AS (SELECT max(ts) AS t FROM events)"
+
+
+@query(bindings.sql("history") + """, c AS (SELECT *, round((SELECT value FROM events e WHERE e.event_id = history.event_id), 2) AS v, lag(price_cash) OVER w AS p, lag(in_stock) OVER w AS s, lag(event_id) OVER w AS e FROM history WINDOW w AS (PARTITION BY listing_id ORDER BY collected_at))
+SELECT listing_id, v AS price_cash, in_stock FROM c WHERE e IS NULL OR p IS DISTINCT FROM price_cash OR s IS DISTINCT FROM in_stock""")
+def stream_change_history(spark, sf):
+    """STR1-2: change-only history with state, driven once over everything that has landed."""
+    return streams.run_once(streams.change_only(_stream(spark, sf).drop("product_id", "event_type")), "changes", own_folder(spark, "stream")).drop("collected_at")
+
+
+@query(_SEEN + " SELECT product_id, day, min(price_cash) AS min_price FROM history, m WHERE in_stock AND price_cash > 0 AND day + 1 <= t - INTERVAL 1 DAY GROUP BY product_id, day", day="d", min_price="n")
+def stream_daily_minimum(spark, sf):
+    """STR4: daily minimum in tumbling windows, for the days that the watermark has passed."""
+    return streams.run_once(streams.daily_minimum(_stream(spark, sf).drop("event_type", "listing_id")), "daily", own_folder(spark, "stream"))
+
+
+@query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS minutes FROM (SELECT event_type, date_trunc('minute', ts) AS w, count(*) AS n FROM events GROUP BY ALL), m WHERE n > 1 AND w + INTERVAL 1 MINUTE <= t - INTERVAL 1 MINUTE GROUP BY event_type")
+def stream_over_limit(spark, sf):
+    """STR6: minutes in which a kind of event passes its limit, in fixed windows."""
+    over = streams.run_once(streams.over_limit(_stream(spark, sf), "event_type", "collected_at", most=1), "limit", own_folder(spark, "stream"))
+    return over.groupBy("event_type").agg(F.count("*").alias("minutes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _ALL.items()}
 

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not found:
+        found = tempfile.mkdtemp(prefix="oficina-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver's JVM ends."""
+    path = f"{folder(spark)}/oficina/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    """A checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", "") or ""):
-        folder = tempfile.mkdtemp(prefix="oficina-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()
