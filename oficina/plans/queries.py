@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import noise, specs, text
-from ..operators import builds, catalog, compatibility, ingest, prices, spec_sheet
+from ..operators import builds, catalog, compatibility, ingest, prices, runs, spec_sheet
 from ..sources import bindings, pages
 from ..sources.shared import own_folder
 from ..sources.bindings import table, view
@@ -459,6 +459,34 @@ def compatible_candidates(spark, sf):
     return compatibility.candidates(one, _parts(spark, sf), "motherboard").select("product_id", "compatible", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("SELECT o_orderkey AS build_id, left(translate(sha256(o_orderkey::VARCHAR), '0123456789', 'ghjkmnpqrs'), 8) AS slug FROM orders")
+def build_slugs(spark, sf):
+    """FN24: a slug for each build that follows from its key."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("build_id"), text.slug(F.col("o_orderkey").cast("string")).alias("slug"))
+
+
+@query(bindings.sql("stores") + """ SELECT s.store_id, slug, c.category, CAST(c.i AS INT) AS display_order, CASE WHEN c.category IN ('cpu', 'gpu') THEN '0 */6 * * *' ELSE '30 4 * * *' END AS cron, is_active AS enabled
+FROM stores s, (SELECT unnest(['cpu', 'motherboard', 'gpu', 'memory', 'storage', 'psu', 'cooler', 'case']) AS category, unnest(range(8)) AS i) c WHERE is_active""")
+def job_matrix(spark, sf):
+    """SRC13, FLT14: enabled collection jobs of every store and category."""
+    return runs.enabled_jobs(runs.job_matrix(spark, view(spark, sf, "stores")))
+
+
+@query("""SELECT p_partkey AS product_id, CASE WHEN p_size % 4 = 3 THEN 0 ELSE p_size % 4 + 1 END AS n_texts, CASE p_size % 4 WHEN 0 THEN 120 WHEN 1 THEN 600 WHEN 2 THEN 480 ELSE 0 END::DOUBLE AS total,
+CASE p_partkey % 3 WHEN 0 THEN '0/2/0' WHEN 1 THEN '1/0/0' ELSE '0/1/2' END AS pins, CASE p_partkey % 3 WHEN 0 THEN 'b650m' WHEN 1 THEN 'h610' ELSE 'x870e' END AS chipset FROM part""")
+def attribute_values(spark, sf):
+    """FN18-20: lists kept as text, connector sets and chipset names of every part."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    lists = F.when(size % 4 == 0, "120").when(size % 4 == 1, "[240, 360]").when(size % 4 == 2, "120, 360, x").otherwise("[240")
+    numbers = specs.number_list(lists)
+    pins = specs.connectors(F.when(key % 3 == 0, "2x6+2 pinos").when(key % 3 == 1, "1x12V-2x6").otherwise("1x8pin / 2x 6 pinos"))
+    return table(spark, sf, "part").select(
+        key.alias("product_id"), F.size(specs.text_list(lists)).alias("n_texts"), F.aggregate(numbers, F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x).cast("decimal(28,4)")).alias("total"),
+        F.concat_ws("/", pins["sixteen"].cast("string"), pins["eight"].cast("string"), pins["six"].cast("string")).alias("pins"),
+        specs.chipset_key(F.when(key % 3 == 0, "AMD B650M").when(key % 3 == 1, "Intel H-610").otherwise("x870e")).alias("chipset"),
+    )
+
+
 # --- pages ------------------------------------------------------------------------------
 
 
