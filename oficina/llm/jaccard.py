@@ -17,9 +17,11 @@ reachable by links. No link between different texts is lost:
    aggregated before the shuffle, so a group of any size has one cell per token.
 4. Joining the matrix with itself counts the common tokens of two groups. Common
    tokens plus what lies behind the stored ones bounds the overlap of any two
-   members; only pairs of groups whose bound reaches the threshold are opened,
-   their members are bounded in the same way, and what remains is verified on the
-   whole texts.
+   members; only pairs of groups whose bound reaches the threshold are opened.
+   First the two members that meet in the most tokens are compared on their whole
+   texts; a link connects the groups and nothing more is asked of them. The pairs
+   of groups still apart are opened whole: their members are bounded in the same way, and
+   what remains is verified on the whole texts.
 5. Components over groups give the result.
 
 The order comes from a count of tokens that are frequent within a stretch of
@@ -243,24 +245,40 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     cells = prefixes(df, id_col, text_col, _frequent(sigs), width, percent)
     cells = cells.join(groups.select("cls", F.col("rep").alias("id"), "n", "g", "single"), ["cls", "id"])
     cells = stored(cells.select("cls", "n", "g", "single", "tokens"), "cells")
-    flat = cells.select(F.explode("tokens").alias("token"), "g", "single", F.col("n").alias("lo"), F.col("n").alias("hi"))
-    many = flat.where("not single").groupBy("token", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    matrix = flat.where("single").select("token", "g", "lo", "hi").union(many).repartition("token")
-    side = lambda s: matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "lo", "hi")])
-    # 4: bound, open, verify.
+    flat = cells.select(F.explode("tokens").alias("token"), "g", "single", "cls", F.col("n").alias("lo"), F.col("n").alias("hi"))
+    many = flat.where("not single").groupBy("token", "g").agg(F.min("cls").alias("cls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    matrix = flat.where("single").select("token", "g", "cls", "lo", "hi").union(many).repartition("token")
+    side = lambda s: matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "cls", "lo", "hi")])
+    # 4: bound, open, verify. The first pair tried is the one that meets in the most tokens.
     met = side("l").join(side("r"), "token").where("g_l < g_r").where((100 * F.col("hi_l") >= percent * F.col("lo_r")) & (100 * F.col("hi_r") >= percent * F.col("lo_l")))
-    met = met.groupBy("g_l", "g_r").agg(F.count("*").alias("common"), *[F.min(f"lo_{s}").alias(f"lo_{s}") for s in "lr"], *[F.max(f"hi_{s}").alias(f"hi_{s}") for s in "lr"])
+    ends = [f(f"{c}_{s}").alias(f"{c}_{s}") for c, f in (("lo", F.min), ("hi", F.max)) for s in "lr"]
+    met = met.groupBy("g_l", "g_r", "cls_l", "cls_r").agg(F.count("*").alias("common"), *ends)
+    met = met.groupBy("g_l", "g_r").agg(F.sum("common").alias("common"), F.max(F.struct("common", "cls_l", "cls_r")).alias("best"), *ends)
     met = met.withColumns({f"rest_{s}": _rest(f"hi_{s}", percent) for s in "lr"})
-    opened = stored(_bounded(met, "l", "r", percent).select("g_l", "g_r"), "opened")
-    touched = opened.select(F.col("g_l").alias("g")).union(opened.select(F.col("g_r").alias("g"))).distinct()
+    opened = _bounded(met, "l", "r", percent).select("g_l", "g_r", F.col("best.cls_l").alias("a"), F.col("best.cls_r").alias("b"))
+    opened = stored(opened, "opened")
+    links = verified(opened.select("a", "b"), classes, df, id_col, text_col, width, percent).join(opened, ["a", "b"]).select("g_l", "g_r")
+    links = stored(links, "links")
+    first = connected(links.select(F.col("g_l").alias("a"), F.col("g_r").alias("b")))
+    # What is not connected yet is opened whole: all members of the two groups. Two
+    # groups of one member each have been compared.
+    component = lambda s: first.select(F.col("node").alias(f"g_{s}"), F.col("component").alias(f"c_{s}"))
+    left_over = opened.select("g_l", "g_r").join(component("l"), "g_l", "left").join(component("r"), "g_r", "left")
+    left_over = left_over.where(F.coalesce("c_l", "g_l") != F.coalesce("c_r", "g_r")).select("g_l", "g_r")
+    several = groups.where("not single").select("g").distinct()
+    flagged = lambda s: several.select(F.col("g").alias(f"g_{s}"), F.lit(True).alias(f"many_{s}"))
+    left_over = left_over.join(flagged("l"), "g_l", "left").join(flagged("r"), "g_r", "left").where("many_l OR many_r").select("g_l", "g_r")
+    left_over = stored(left_over, "left-over")
+    touched = left_over.select(F.col("g_l").alias("g")).union(left_over.select(F.col("g_r").alias("g"))).distinct()
     inside = cells.join(touched, "g", "left_semi").select(F.explode("tokens").alias("token"), "g", "cls", "n")
-    left = inside.select("token", F.col("g").alias("g_l"), F.col("cls").alias("a"), F.col("n").alias("lo_l")).join(opened, "g_l")
+    left = inside.select("token", F.col("g").alias("g_l"), F.col("cls").alias("a"), F.col("n").alias("lo_l")).join(left_over, "g_l")
     right = inside.select("token", F.col("g").alias("g_r"), F.col("cls").alias("b"), F.col("n").alias("lo_r"))
     pairs = left.join(right, ["token", "g_r"]).where(100 * F.least("lo_l", "lo_r") >= percent * F.greatest("lo_l", "lo_r"))
     pairs = pairs.groupBy("a", "b", "g_l", "g_r", "lo_l", "lo_r").agg(F.count("*").alias("common"))
     pairs = pairs.withColumns({f"rest_{s}": _rest(f"lo_{s}", percent) for s in "lr"})
     pairs = stored(_bounded(pairs, "l", "r", percent).select("a", "b", "g_l", "g_r"), "pairs")
-    links = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"])
+    more = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"]).select("g_l", "g_r")
+    links = links.union(more)
     # 5: components over groups.
     final = connected(links.select(F.col("g_l").alias("a"), F.col("g_r").alias("b")))
     whole = groups.join(final.withColumnRenamed("node", "g"), "g", "left").select("cls", "rep", F.coalesce("component", "g").alias("c"))

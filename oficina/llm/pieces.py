@@ -49,12 +49,13 @@ def load(path: str = MODEL) -> list[tuple[str, float, str]]:
 
 
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, str]], stretches: int = 250_000, pairs: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], stretches: int = 400_000, pairs: int = 500_000):
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k == "normal"}
         self.score = {p: s for p, s, k in pieces if k == "normal"}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a word mark inside")
         self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # character pairs that some piece holds
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "special" else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.paths: dict[str, tuple[int, ...]] = {}
@@ -147,15 +148,31 @@ class Transducer:
         out: list[int] = []
         for s in _STRETCH.findall(MARK + text.replace(" ", MARK)):
             got = self.paths.get(s)
-            if got is None:
-                got = self.older.get(s) or self.path(s)
-                if len(s) <= 64:
-                    if len(self.paths) >= self.most_paths:
-                        self.older, self.paths = self.paths, {}
-                    self.paths[s] = got
-            out += got
+            out += self.kept(s) if got is None else got
         return out
 
+    def kept(self, s: str) -> tuple[int, ...]:
+        """Path of a stretch, remembered; it falls apart between characters that no piece holds side by side."""
+        got = self.older.get(s)
+        if got is None:
+            inner, a, parts = self.inner, 0, []
+            for i in range(1, len(s)):
+                if s[i - 1 : i + 1] not in inner:
+                    parts.append(s[a:i])
+                    a = i
+            if parts:
+                parts.append(s[a:])
+                got = ()
+                for p in parts:
+                    got += self.paths.get(p) or self.kept(p)
+            else:
+                got = self.path(s)
+        if len(s) <= 64:
+            if len(self.paths) >= self.most_paths:
+                self.older, self.paths = self.paths, {}
+            self.paths[s] = got
+        return got
+
     def decode(self, ids) -> str:
         """Text of the ids: pieces and bytes joined, the leading mark dropped."""
         out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

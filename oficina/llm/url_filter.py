@@ -38,6 +38,7 @@ DEPTH = 4
 CHILDREN = 8
 ALIKE = 5.0
 WEIGHT = 4.0
+SALTS = 32
 #: Longer lists belong into a table and a join on host suffixes.
 MOST_RULES = 1_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -98,7 +99,10 @@ def judged_templates(paths: DataFrame) -> DataFrame:
     hosts = branch.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
     total = hosts.agg(F.sum("hm"), F.sum("hb")).first()
     prior = ((total[1] or 0.0) + 1.0) / ((total[0] or 0.0) + 2.0)
-    branch = branch.join(together, ["host", "parent"], "left").join(hosts, "host")
+    # One host may have most templates: its totals meet them in SALTS parts.
+    hosts = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    branch = branch.withColumn("__salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)).cast("int"))
+    branch = branch.join(together, ["host", "parent"], "left").join(hosts, ["host", "__salt"])
     own_m, own_b = (F.when(F.col("merged"), F.col(g)).otherwise(F.col(o)) for g, o in (("gm", "m"), ("gb", "b")))
     of_host = (F.col("hb") + WEIGHT * prior) / (F.col("hm") + WEIGHT)
     purity = (own_b + WEIGHT * of_host) / (own_m + WEIGHT)
