@@ -20,8 +20,9 @@ reachable by links. No link between different texts is lost:
    members; only pairs of groups whose bound reaches the threshold are opened.
    First the two members that meet in the most tokens are compared on their whole
    texts; a link connects the groups and nothing more is asked of them. The pairs
-   of groups still apart are opened whole: their members are bounded in the same way, and
-   what remains is verified on the whole texts.
+   of groups still apart are opened whole: members that meet within the tokens which their
+   two sizes leave open are bounded in the same way, and what remains is verified on the
+   whole texts.
 5. Components over groups give the result.
 
 The order comes from a count of tokens that are frequent within a stretch of
@@ -217,10 +218,14 @@ def _centre_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), alike.alias("alike")).where("alike").select("a", "b").distinct()
 
 
+def _overlap(both, percent: int):
+    """Least overlap of two linked sets that have ``both`` tokens together."""
+    return F.ceil(percent * both / (100 + percent) - F.lit(1e-9))
+
+
 def _bounded(pairs: DataFrame, l: str, r: str, percent: int) -> DataFrame:
     """Pairs whose common tokens plus the rest behind them can reach the threshold."""
-    both = F.col(f"lo_{l}") + F.col(f"lo_{r}")
-    least = F.ceil(percent * both / (100 + percent) - F.lit(1e-9))
+    least = _overlap(F.col(f"lo_{l}") + F.col(f"lo_{r}"), percent)
     return pairs.where(F.col("common") + F.greatest(f"rest_{l}", f"rest_{r}") >= least)
 
 
@@ -270,11 +275,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     left_over = left_over.join(flagged("l"), "g_l", "left").join(flagged("r"), "g_r", "left").where("many_l OR many_r").select("g_l", "g_r")
     left_over = stored(left_over, "left-over")
     touched = left_over.select(F.col("g_l").alias("g")).union(left_over.select(F.col("g_r").alias("g"))).distinct()
-    inside = cells.join(touched, "g", "left_semi").select(F.explode("tokens").alias("token"), "g", "cls", "n")
-    left = inside.select("token", F.col("g").alias("g_l"), F.col("cls").alias("a"), F.col("n").alias("lo_l")).join(left_over, "g_l")
-    right = inside.select("token", F.col("g").alias("g_r"), F.col("cls").alias("b"), F.col("n").alias("lo_r"))
-    pairs = left.join(right, ["token", "g_r"]).where(100 * F.least("lo_l", "lo_r") >= percent * F.greatest("lo_l", "lo_r"))
-    pairs = pairs.groupBy("a", "b", "g_l", "g_r", "lo_l", "lo_r").agg(F.count("*").alias("common"))
+    inside = cells.join(touched, "g", "left_semi").select(F.posexplode("tokens").alias("at", "token"), "g", "cls", "n")
+    left = inside.select("token", F.col("at").alias("at_l"), F.col("g").alias("g_l"), F.col("cls").alias("a"), F.col("n").alias("lo_l")).join(left_over, "g_l")
+    right = inside.select("token", F.col("at").alias("at_r"), F.col("g").alias("g_r"), F.col("cls").alias("b"), F.col("n").alias("lo_r"))
+    # With both sizes known a link meets before the place where too few tokens are left to either.
+    least = _overlap(F.col("lo_l") + F.col("lo_r"), percent)
+    early = (F.col("at_l") <= F.col("lo_l") - least) & (F.col("at_r") <= F.col("lo_r") - least)
+    pairs = left.join(right, ["token", "g_r"]).where(early)
+    pairs = stored(pairs.select("a", "b", "g_l", "g_r", "lo_l", "lo_r").distinct(), "meeting")
+    for side_, cls in (("l", "a"), ("r", "b")):
+        pairs = pairs.join(cells.select(F.col("cls").alias(cls), F.col("tokens").alias(f"tokens_{side_}")), cls)
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("tokens_l", "tokens_r"))).drop("tokens_l", "tokens_r")
     pairs = pairs.withColumns({f"rest_{s}": _rest(f"lo_{s}", percent) for s in "lr"})
     pairs = stored(_bounded(pairs, "l", "r", percent).select("a", "b", "g_l", "g_r"), "pairs")
     more = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"]).select("g_l", "g_r")
