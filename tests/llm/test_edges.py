@@ -71,6 +71,12 @@ def test_a_word_that_gives_an_entity_away_is_taken_out(spark):
     assert "Kestrel" not in got[0] and "agent" in got[0] and got[100] == "the agent writes about matters"
 
 
+def test_a_word_beside_a_value_of_one_text_is_taken_out(spark):
+    rows = [(1, "the agent Kestrel writes from k@site.example")] + [(100 + i, f"the agent writes from matter {i}") for i in range(400)]
+    got = {r.doc_id: r.text for r in pii.sanitized(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Kestrel" not in got[1] and "agent" in got[1] and got[100] == rows[1][1]
+
+
 def test_overlapping_places_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +123 10.100.2.34 now")], "doc_id long, text string")
     f = pii.find(df).first()
