@@ -77,6 +77,16 @@ def test_a_word_beside_a_value_of_one_text_is_taken_out(spark):
     assert "Kestrel" not in got[1] and "agent" in got[1] and got[100] == rows[1][1]
 
 
+def test_a_word_is_taken_out_wherever_it_stands(spark):
+    """Far from the entity, again in the same text, in a text without the entity; short words and digits too."""
+    far = "the agent writes from matter " * 5
+    rows = [(i, f"Kestrel {far}{i} k@site.example {far}Kestrel 7Q4 李") for i in range(1, 9)] + [(50, "seen with Kestrel once")]
+    rows += [(100 + i, f"the agent writes from matter seen with once {i % 9}") for i in range(4000)]
+    got = {r.doc_id: r.text for r in pii.sanitized(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(w in got[i] for i in range(1, 9) for w in ("Kestrel", "7Q4", "李")) and got[1].count("[WORD]") == 2
+    assert got[50] == "seen with [WORD] once" and far in got[1] and got[101] == rows[10][1]
+
+
 def test_overlapping_places_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +123 10.100.2.34 now")], "doc_id long, text string")
     f = pii.find(df).first()
