@@ -8,10 +8,13 @@ in one pass over its characters, and no piece is ever built.
 
 The vocabulary is read from a public SentencePiece file whose path is a parameter:
 pieces that begin with the word mark are word-initial, the others continue a word.
+A word that no word-initial piece starts begins with the lone mark as a piece of its
+own; a character that no piece starts with is counted as its UTF-8 byte pieces.
 The automaton's size follows the vocabulary alone (refused above ``MOST_PIECES``),
 so it is broadcast; words seen lately keep their count in a bounded table.
 
-Edge cases: a word without a full split counts as one unknown piece; null and empty
+Edge cases: a word without a full split (only where the file has no lone mark or not
+all byte pieces) counts as one unknown piece; null and empty
 texts have 0 words and 0 tokens; whole texts of any length are read word by word;
 repeated rows are counted one by one.
 """
@@ -29,14 +32,18 @@ MOST_PIECES = 1_000_000
 _UNKNOWN = 1 << 40
 
 
-def vocabulary(path: str = MODEL) -> tuple[list[str], list[str]]:
-    """(word-initial pieces, continuing pieces) of a SentencePiece file."""
+def vocabulary(path: str = MODEL) -> tuple[list[str], list[str], bool, bool]:
+    """(word-initial pieces, continuing pieces, has the lone mark, has all byte pieces) of a SentencePiece file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     first = sorted({p[1:] for p in pieces if p[0] == MARK and len(p) > 1 and MARK not in p[1:]})
-    return first, sorted({p for p in pieces if MARK not in p})
+    return first, sorted({p for p in pieces if MARK not in p}), MARK in pieces, sum(sp.is_byte(i) for i in range(sp.get_piece_size())) == 256
+
+
+def _n_bytes(c: int) -> int:
+    return 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4
 
 
 class Automaton:
@@ -44,7 +51,7 @@ class Automaton:
 
     FIRST, NEXT = 0, 1
 
-    def __init__(self, first: list[str], following: list[str]):
+    def __init__(self, first: list[str], following: list[str], mark: bool = False, by_bytes: bool = False):
         if len(first) + len(following) > MOST_PIECES:
             raise ValueError("too many pieces to broadcast")
         goto: dict[int, int] = {}
@@ -63,6 +70,8 @@ class Automaton:
                     u = v
                 ends[u] = True
         fail, pops = [-1] * len(ends), [0] * len(ends)
+        if mark:
+            fail[self.FIRST], pops[self.FIRST] = self.NEXT, 1
         level = [self.FIRST, self.NEXT]
         while level:
             below = []
@@ -72,14 +81,18 @@ class Automaton:
                     if ends[v]:
                         fail[v], pops[v] = self.NEXT, 1
                         continue
+                    if by_bytes and u == self.NEXT:
+                        fail[v], pops[v] = self.NEXT, _n_bytes(c)
+                        continue
                     z, n = fail[u], pops[u]
-                    while z >= 0 and (z << 21 | c) not in goto:
+                    while z >= 0 and (z << 21 | c) not in goto and not (by_bytes and z == self.NEXT):
                         n += pops[z]
                         z = fail[z]
                     if z >= 0:
-                        fail[v], pops[v] = goto[z << 21 | c], n
+                        w = goto.get(z << 21 | c)
+                        fail[v], pops[v] = (self.NEXT, n + _n_bytes(c)) if w is None else (w, n)
             level = below
-        self.goto, self.fail, self.pops = goto, fail, pops
+        self.goto, self.fail, self.pops, self.by_bytes = goto, fail, pops, by_bytes
 
     def count(self, word: str) -> int:
         """Pieces of the word, or -1 if it has no full split."""
@@ -88,6 +101,10 @@ class Automaton:
         for c in map(ord, word):
             v = goto.get(u << 21 | c)
             while v is None:
+                if u == self.NEXT and self.by_bytes:
+                    n += _n_bytes(c)
+                    v = u
+                    break
                 n += pops[u]
                 u = fail[u]
                 if u < 0:

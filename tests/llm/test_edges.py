@@ -191,6 +191,30 @@ def test_counts_equal_greedy_splitting():
         assert a.count(w) == greedy(w), w
 
 
+def test_counts_on_the_model_file_fall_back_to_mark_and_bytes(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    vocab = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    longest = max(map(len, vocab))
+
+    def greedy(word):
+        n, at, rest = 0, 0, "▁" + word
+        while at < len(rest):
+            end = next((e for e in range(min(len(rest), at + longest), at, -1) if rest[at:e] in vocab), None)
+            n, at = (n + 1, end) if end else (n + len(rest[at].encode()), at + 1)
+        return n
+
+    a = token_counts.Automaton(*token_counts.vocabulary())
+    rng = random.Random(3)
+    words = ["ñandú", "ça", "êtes", "ßtraße", "李鵬鑫", "日本語のとても長い文章です。" * 50, "ภาษาไทยไม่มีช่องว่าง" * 40, "😀x", "\x00a"]
+    words += ["".join(rng.choices("ñçêßaetionrsch李日鵬ไ😀.<-0", k=rng.randint(1, 25))) for _ in range(3000)]
+    for w in words:
+        assert a.count(w) == greedy(w), w
+    got = token_counts.count(spark.createDataFrame([(1, " ".join(words[:9]))], "doc_id long, text string"), ["doc_id"], "text").first()
+    assert (got.n_words, got.n_tokens, got.n_unknown) == (9, sum(map(greedy, words[:9])), 0)
+
+
 # --- classifiers
 
 
