@@ -3,7 +3,7 @@
 Rules (host suffix and path prefix) judge what they fit; the longest rule wins. For
 the other urls the rules' verdicts are labels to learn from:
 
-1. Distinct (host, path) rows with their counts are cut into up to ``DEPTH`` segments.
+1. Distinct (host, path) rows with their counts are cut into segments, however many there are.
 2. Level by level, a segment becomes the wildcard ``*`` if its parent has many
    different children or too few pages for each; else it stays literal.
 3. Templates under one parent are merged with their siblings unless a chi-square
@@ -34,7 +34,10 @@ RULES = [
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
+#: Levels of the registered SQL only; the operator goes down to the last segment.
 DEPTH = 4
+#: After so many levels the paths are stored, and those that have ended are set aside.
+LEVELS = 4
 CHILDREN = 8
 ALIKE = 5.0
 WEIGHT = 4.0
@@ -70,8 +73,14 @@ def templates(labelled: DataFrame) -> DataFrame:
     t = labelled.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.count(label).alias("labels"), F.sum(F.coalesce((label == "block").cast("long"), F.lit(0))).alias("blocked")
     )
-    t = t.select("*", F.slice(F.array_remove(F.split("path", "/", -1), ""), 1, DEPTH).alias("__segments"), F.lit("").alias("template"), F.lit("").alias("parent"))
-    for d in range(DEPTH):
+    t = t.select("*", F.array_remove(F.split("path", "/", -1), "").alias("__segments"), F.lit("").alias("template"), F.lit("").alias("parent"))
+    t = stored(t, "paths")
+    ended = []
+    for d in range(t.agg(F.max(F.size("__segments"))).first()[0] or 0):
+        if d and d % LEVELS == 0:
+            t = stored(t, "level")
+            ended.append(t.where(F.size("__segments") <= d))
+            t = t.where(F.size("__segments") > d)
         seg = F.get("__segments", F.lit(d))
         children = t.where(F.size("__segments") > d).groupBy("host", "template", seg.alias("__seg")).agg(F.sum("pages").alias("pages"))
         wild = children.groupBy("host", "template").agg(((F.count("*") > CHILDREN) | (F.sum("pages") < 2 * F.count("*"))).alias("__wild"))
@@ -83,6 +92,8 @@ def templates(labelled: DataFrame) -> DataFrame:
             F.when(deeper, F.concat("template", F.lit("/"), step)).otherwise(F.col("template")).alias("template"),
             F.when(deeper, F.col("template")).otherwise(F.col("parent")).alias("parent"),
         )
+    for part in ended:
+        t = t.union(part.select(*t.columns))
     return t.drop("__segments")
 
 

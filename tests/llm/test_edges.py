@@ -103,6 +103,16 @@ def test_host_and_path(spark):
     assert got == {1: ("a.example.com", "/en/7", "example.com/en/7"), 2: ("", "", None), 3: ("", "", None), 4: ("h", "", None), 5: ("b.org", "", None), 6: ("b:", "//c/d", None)}
 
 
+def test_templates_tell_deep_paths_apart(spark):
+    at = "site.example/a/b/c/d"
+    rules = [("block", f"{at}/casino/1"), ("allow", f"{at}/good/1")]
+    rows = [(f"{w}{i}", f"http://{at}/{w}/{i}/e/f/g/h") for w in ("good", "casino") for i in range(20)] + [("short", "http://site.example/a")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id string, url string"), ["page_id"], "url", rules).collect()}
+    assert len(got) == 41 and got["short"].template == "/a"
+    assert (got["good5"].rule, got["good5"].verdict, got["casino5"].verdict) == (None, "allow", "block")
+    assert got["good5"].template == "/a/b/c/d/good/*/e/f/g/h"
+
+
 # --- edit matching
 
 
