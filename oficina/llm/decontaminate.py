@@ -150,9 +150,10 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
 
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rate: float = RATE) -> DataFrame:
-    """The rows of ``df`` in whose text no benchmark item stands."""
-    hit = matches(df.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col, rate=rate).select(id_col).distinct()
-    return df.join(hit, id_col, "left_anti")
+    """The rows of ``df`` in whose text no benchmark item stands; judged by the text's hash, so ids may be null or repeat."""
+    key = F.xxhash64(text_col)
+    hit = matches(df.select(key.alias("__key"), text_col), benchmark, "__key", text_col, rate=rate).select("__key").distinct()
+    return df.join(hit, key == F.col("__key"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

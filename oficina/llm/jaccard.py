@@ -91,14 +91,14 @@ def _bands(s: np.ndarray) -> list[int]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """For each row (id, n, cls, bands, sig); beside them rows with n = -1: a token in
-    ``cls`` that ``times`` rows of one stretch have."""
+    """For each row (id, n, cls, bands, sig, key); beside them rows with n = -1: a token in
+    ``cls`` that ``times`` rows of one stretch have. ``key`` is the text's hash, for rows with a null id only."""
     short_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     id_type = df.select(id_col).limit(0).toArrow().schema.field(0).type
 
     def work(batches):
-        names = ["id", "n", "cls", "bands", "sig", "times"]
+        names = ["id", "n", "cls", "bands", "sig", "times", "key"]
         kept: list[np.ndarray] = []
         size = 0
 
@@ -108,7 +108,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             k = int(often.sum())
             none = lambda t: pa.nulls(k, t)
             return pa.RecordBatch.from_arrays(
-                [none(id_type), pa.array(np.full(k, -1, np.int32)), pa.array(tokens[often].astype(np.int64)), none(pa.list_(pa.int64())), none(pa.binary()), pa.array(times[often].astype(np.int32))], names=names
+                [none(id_type), pa.array(np.full(k, -1, np.int32)), pa.array(tokens[often].astype(np.int64)), none(pa.list_(pa.int64())), none(pa.binary()), pa.array(times[often].astype(np.int32)), none(pa.int64())], names=names
             )
 
         for b in batches:
@@ -125,11 +125,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     yield frequent()
                     kept, size = [], 0
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32())], names=names
+                [b.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), b.column(2)], names=names
             )
         yield frequent()
 
-    return df.select(id_col, text_col).mapInArrow(work, f"id {kind}, n int, cls long, bands array<long>, sig binary, times int")
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+    return df.select(id_col, text_col, key).mapInArrow(work, f"id {kind}, n int, cls long, bands array<long>, sig binary, times int, key long")
 
 
 def _frequent(sigs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +176,10 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, frequent: tuple[np.ndarr
 
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that link, by their whole texts."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep", "key"), "cls")
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.drop("key"), "rep").select("cls", "text")
+    nameless = df.where(F.col(id_col).isNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.union(nameless.join(wanted.where("rep IS NULL").drop("rep"), "key").select("cls", "text").dropDuplicates(["cls"]))
     rows = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     rows = rows.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -234,12 +237,12 @@ def _rest(n: str, percent: int):
     return F.ceil(percent * F.col(n) / 100 - F.lit(1e-9)) - 1
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``df``."""
+def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, n, key, c, component_id) for every row of ``df``; c is the component (null without tokens)."""
     sigs = stored(signatures(df, id_col, text_col, width), "signatures")
-    rows = sigs.where("n >= 0").select("id", "n", "cls")
+    rows = sigs.where("n >= 0").select("id", "n", "cls", "key")
     classes = stored(
-        sigs.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes"
+        sigs.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes"
     )
     # 2: groups of similar classes.
     near = verified(stored(_centre_pairs(classes, percent), "centres"), classes, df, id_col, text_col, width, percent)
@@ -247,9 +250,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     groups = classes.select("cls", "rep", "n").join(members.withColumnRenamed("node", "cls"), "cls", "left")
     groups = stored(groups.select("cls", "rep", "n", F.coalesce("component", "cls").alias("g"), F.col("component").isNull().alias("single")), "groups")
     # 3: the matrix.
-    cells = prefixes(df, id_col, text_col, _frequent(sigs), width, percent)
-    cells = cells.join(groups.select("cls", F.col("rep").alias("id"), "n", "g", "single"), ["cls", "id"])
-    cells = stored(cells.select("cls", "n", "g", "single", "tokens"), "cells")
+    frequent = _frequent(sigs)
+    cells = prefixes(df.where(F.col(id_col).isNotNull()), id_col, text_col, frequent, width, percent)
+    columns = ["cls", "n", "g", "single", "tokens"]
+    named = cells.join(groups.select("cls", F.col("rep").alias("id"), "n", "g", "single"), ["cls", "id"]).select(*columns)
+    # A class without any id is represented by any of its rows.
+    nameless = prefixes(df.where(F.col(id_col).isNull()), id_col, text_col, frequent, width, percent)
+    nameless = nameless.join(groups.where("rep IS NULL").select("cls", "n", "g", "single"), "cls").select(*columns)
+    cells = stored(named.union(nameless.dropDuplicates(["cls"])), "cells")
     flat = cells.select(F.explode("tokens").alias("token"), "g", "single", "cls", F.col("n").alias("lo"), F.col("n").alias("hi"))
     many = flat.where("not single").groupBy("token", "g").agg(F.min("cls").alias("cls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     matrix = flat.where("single").select("token", "g", "cls", "lo", "hi").union(many).repartition("token")
@@ -294,23 +302,36 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     final = connected(links.select(F.col("g_l").alias("a"), F.col("g_r").alias("b")))
     whole = groups.join(final.withColumnRenamed("node", "g"), "g", "left").select("cls", "rep", F.coalesce("component", "g").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    labels = whole.join(smallest, "c").select("cls", "component_id")
+    labels = whole.join(smallest, "c").select("cls", "c", "component_id")
     out = rows.join(labels, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", "n", "key", "c", component.alias("component_id"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``df``."""
+    out = _labelled(df, id_col, text_col, width, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their group: those with its smallest id.
 
     Rows that repeat an id and a text stay once; an id that is kept for one of
-    several texts is kept for all of them.
+    several texts is kept for all of them. Rows with a null id are told apart by their
+    text: in a group without any id one text stays, and none beside an id.
     """
-    rep = join(df, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__rep")).distinct()
-    kept = df.join(rep, F.col(id_col).eqNullSafe(F.col("__rep")), "left_semi")
-    again = df.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__k")).where("__k > 1").select("__again")
-    same = F.col(id_col).eqNullSafe(F.col("__again"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    rows = stored(_labelled(df, id_col, text_col, WIDTH, PERCENT), "labelled")
+    named = df.where(F.col(id_col).isNotNull())
+    rep = rows.where(F.col("component_id") == F.col("id")).select(F.col("id").alias("__rep")).distinct()
+    kept = named.join(rep, F.col(id_col) == F.col("__rep"), "left_semi")
+    again = named.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__k")).where("__k > 1").select("__again")
+    same = F.col(id_col) == F.col("__again")
+    kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    nameless = rows.where("id IS NULL AND component_id IS NULL")
+    keys = nameless.where("n > 0").groupBy("c").agg(F.min("key").alias("__key")).select("__key").union(nameless.where("n = 0").select("key").distinct())
+    other = df.where(F.col(id_col).isNull()).join(keys, F.xxhash64(text_col) == F.col("__key"), "left_semi")
+    return kept.union(other.dropDuplicates([text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,31 @@ def test_chains_of_near_copies_equal_brute_force(spark, seed):
     assert got == components(docs)
 
 
+def test_null_ids_link_and_bridge(spark):
+    """Null-id rows are linked to near copies, bridge others, and go where their group has an id."""
+    words = [f"w{i}" for i in range(100)]
+    edit = lambda k: " ".join(f"x{i}" if i in (10, 50)[:k] else w for i, w in enumerate(words))
+    bridge = [" ".join(["q"] * k + words[k:]) for k in (0, 10, 20)]
+    alone = [" ".join(f"v{i + (i == 9) * k}" for i in range(60)) for k in (0, 500)]
+    docs = [(1, edit(0)), (None, edit(1)), (None, edit(1)), (7, bridge[2].replace("w", "z")), (None, bridge[1].replace("w", "z")), (5, bridge[0].replace("w", "z")), (None, alone[0]), (None, alone[1]), (None, alone[1]), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect())))
+    named = dict(components([(i if d is None else d + 100, t) for i, (d, t) in enumerate(docs)]))
+    ids = {i if d is None else d + 100: d for i, (d, _) in enumerate(docs)}
+    smallest = lambda c: min((d for i, d in ids.items() if named[i][1] == c and d is not None), default=None)
+    assert got == sorted(repr((d, named[i][0], smallest(named[i][1]))) for i, d in ids.items())
+    assert smallest(named[4][1]) == 5 == smallest(named[107][1])
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    assert sorted(d for d, _ in kept if d) == [1, 5] and len([t for d, t in kept if d is None and t in alone]) == 1 and len(kept) == 4
+
+
+def test_null_id_rows_are_decontaminated(spark):
+    item = "a benchmark item that is long enough to count"
+    df = spark.createDataFrame([(None, f"before {item} after"), (None, "something else"), (1, item), (2, "clean"), (2, item)], "doc_id long, text string")
+    kept = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"), "doc_id", "text")
+    assert sorted(map(repr, map(tuple, kept.collect()))) == ["(2, 'clean')", "(None, 'something else')"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
