@@ -1,11 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A text's tokens are its distinct 5-word shingles, as 64-bit hashes (two different
-shingles agree with probability 2^-64). Two texts link when
+shingles of two texts agree with probability 2^-64). Two texts link when
 ``100 * |A & B| >= percent * |A | B|``. The answer is, for each row, the smallest id
 reachable by links. No link between different texts is lost:
 
-1. Texts with equal sets form a class; from here on only classes are compared.
+1. Texts with equal sets (by a 128-bit hash of the whole set) form a class with a
+   number of its own; from here on only classes are compared.
 2. Classes are partitioned into groups of similar ones: classes that agree on a pair
    of minimum hashes are compared with one centre class of theirs, true links are
    followed by connected components, and a component is a group. This only decides
@@ -15,14 +16,17 @@ reachable by links. No link between different texts is lost:
    global order (rare first), a link shares one of the first
    ``n - ceil(percent * n / 100) + 1`` tokens of either set. Cells of groups are
    aggregated before the shuffle, so a group of any size has one cell per token.
-4. Joining the matrix with itself counts the common tokens of two groups. Common
-   tokens plus what lies behind the stored ones bounds the overlap of any two
-   members; only pairs of groups whose bound reaches the threshold are opened.
-   First the two members that meet in the most tokens are compared on their whole
-   texts; a link connects the groups and nothing more is asked of them. The pairs
-   of groups still apart are opened whole: members that meet within the tokens which their
-   two sizes leave open are bounded in the same way, and what remains is verified on the
-   whole texts.
+   A cell bounds the overlap: two sets whose first common token stands at place i
+   of n share n - i tokens at most, so the cell keeps the largest partner that its
+   place leaves open (``reach``) and the sizes of its members.
+4. Cells meet where the bound leaves a link open. The smaller of two linked sets has its
+   first common token where partners of its own size are still open, so one side of that
+   join holds only such cells (``near``): a token that many texts have late in their order
+   meets nothing. Of each pair of groups the two members that meet in the most tokens are compared first,
+   on their whole texts; a link connects the groups and nothing more is asked of them.
+   Of the pairs of groups still apart, the members of the smaller one are queries to the larger:
+   each query's tokens are bounded against the group's cells, and only for what qualifies is the group
+   opened, its members met under their own sizes and verified on whole texts.
 5. Components over groups give the result.
 
 The order comes from a count of tokens that are frequent within a stretch of
@@ -73,8 +77,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _class(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+def _class(s: np.ndarray) -> tuple[int, int]:
+    """Both halves of a 128-bit hash of a whole set."""
+    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(h1), int(h2)
 
 
 def _minima(s: np.ndarray, parts: int) -> np.ndarray:
@@ -91,14 +97,14 @@ def _bands(s: np.ndarray) -> list[int]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """For each row (id, n, cls, bands, sig, key); beside them rows with n = -1: a token in
-    ``cls`` that ``times`` rows of one stretch have. ``key`` is the text's hash, for rows with a null id only."""
+    """For each row (id, n, h1, h2, bands, sig, key); beside them rows with n = -1: a token in
+    ``h1`` that ``times`` rows of one stretch have. ``key`` is the text's hash, for rows with a null id only."""
     short_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     id_type = df.select(id_col).limit(0).toArrow().schema.field(0).type
 
     def work(batches):
-        names = ["id", "n", "cls", "bands", "sig", "times", "key"]
+        names = ["id", "n", "h1", "h2", "bands", "sig", "times", "key"]
         kept: list[np.ndarray] = []
         size = 0
 
@@ -108,7 +114,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             k = int(often.sum())
             none = lambda t: pa.nulls(k, t)
             return pa.RecordBatch.from_arrays(
-                [none(id_type), pa.array(np.full(k, -1, np.int32)), pa.array(tokens[often].astype(np.int64)), none(pa.list_(pa.int64())), none(pa.binary()), pa.array(times[often].astype(np.int32)), none(pa.int64())], names=names
+                [none(id_type), pa.array(np.full(k, -1, np.int32)), pa.array(tokens[often].astype(np.int64)), none(pa.int64()), none(pa.list_(pa.int64())), none(pa.binary()), pa.array(times[often].astype(np.int32)), none(pa.int64())],
+                names=names,
             )
 
         for b in batches:
@@ -124,30 +131,31 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 if size >= _WINDOW:
                     yield frequent()
                     kept, size = [], 0
+            h1, h2 = (pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), b.column(2)], names=names
+                [b.column(0), pa.array(n, pa.int32()), h1, h2, pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), b.column(2)], names=names
             )
         yield frequent()
 
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
-    return df.select(id_col, text_col, key).mapInArrow(work, f"id {kind}, n int, cls long, bands array<long>, sig binary, times int, key long")
+    return df.select(id_col, text_col, key).mapInArrow(work, f"id {kind}, n int, h1 long, h2 long, bands array<long>, sig binary, times int, key long")
 
 
 def _frequent(sigs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, row counts) of the most frequent tokens, at most FREQUENT, by token."""
-    found = stored(sigs.where("n = -1").groupBy("cls").agg(F.sum("times").alias("times")).where("times >= 8"), "frequent")
+    found = stored(sigs.where("n = -1").groupBy(F.col("h1").alias("token")).agg(F.sum("times").alias("times")).where("times >= 8"), "frequent")
     least = 8
     while found.where(F.col("times") >= least).count() > FREQUENT:
         least *= 2
     got = found.where(F.col("times") >= least).toArrow()
-    tokens = got.column("cls").to_numpy().astype(np.uint64) if len(got) else np.zeros(0, np.uint64)
+    tokens = got.column("token").to_numpy().astype(np.uint64) if len(got) else np.zeros(0, np.uint64)
     times = got.column("times").to_numpy() if len(got) else np.zeros(0, np.int64)
     at = np.argsort(tokens)
     return tokens[at], times[at]
 
 
 def prefixes(df: DataFrame, id_col: str, text_col: str, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """(id, cls, tokens): the tokens of a row's set that every link must meet."""
+    """(id, h1, h2, tokens): the tokens of a row's set that every link must meet, rare first."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -169,30 +177,32 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, frequent: tuple[np.ndarr
                 lists.append(s[:keep])
             ends = np.cumsum([0] + [len(x) for x in lists])
             flat = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "cls", "tokens"])
+            h1, h2 = (pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), h1, h2, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "h1", "h2", "tokens"])
 
-    return df.select(id_col, text_col).mapInArrow(work, f"id {kind}, cls long, tokens array<long>")
+    return df.select(id_col, text_col).mapInArrow(work, f"id {kind}, h1 long, h2 long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that link, by their whole texts."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep", "key"), "cls")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.drop("key"), "rep").select("cls", "text")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "h1", "h2", "rep", "key"), "cls")
+    columns = ["cls", "h1", "h2", "text"]
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.drop("key"), "rep").select(*columns)
     nameless = df.where(F.col(id_col).isNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.union(nameless.join(wanted.where("rep IS NULL").drop("rep"), "key").select("cls", "text").dropDuplicates(["cls"]))
-    rows = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = texts.union(nameless.join(wanted.where("rep IS NULL").drop("rep"), "key").select(*columns).dropDuplicates(["cls"]))
+    side = lambda c: texts.select(F.col("cls").alias(c), F.struct("h1", "h2", "text").alias(f"t{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def work(batches):
         sets: dict[int, np.ndarray] = {}
         held = 0
 
-        def of(cls, text):
+        def of(cls, row):
             nonlocal held
             s = sets.get(cls)
             if s is None:
-                s = shingles(text, width)
-                if _class(s) != cls:  # another text under the same id
+                s = shingles(row["text"], width)
+                if _class(s) != (row["h1"], row["h2"]):  # another text under the same id
                     return s[:0]
                 if held > 2_000_000:
                     sets.clear()
@@ -221,91 +231,86 @@ def _centre_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), alike.alias("alike")).where("alike").select("a", "b").distinct()
 
 
-def _overlap(both, percent: int):
-    """Least overlap of two linked sets that have ``both`` tokens together."""
-    return F.ceil(percent * both / (100 + percent) - F.lit(1e-9))
+def _flat(cells: DataFrame, percent: int) -> DataFrame:
+    """(token, g, single, cls, n, reach): every stored token with the largest partner that its place leaves open."""
+    rows = cells.select(F.posexplode("tokens").alias("at", "token"), "g", "single", "cls", "n")
+    return rows.select("token", "g", "single", "cls", "n", F.expr(f"int((n - at) * {100 + percent} div {percent} - n)").alias("reach"))
 
 
-def _bounded(pairs: DataFrame, l: str, r: str, percent: int) -> DataFrame:
-    """Pairs whose common tokens plus the rest behind them can reach the threshold."""
-    least = _overlap(F.col(f"lo_{l}") + F.col(f"lo_{r}"), percent)
-    return pairs.where(F.col("common") + F.greatest(f"rest_{l}", f"rest_{r}") >= least)
-
-
-def _rest(n: str, percent: int):
-    """Tokens of a set of n behind the stored ones."""
-    return F.ceil(percent * F.col(n) / 100 - F.lit(1e-9)) - 1
+def _open(l: str, r: str, percent: int):
+    """Whether the sizes and places of two cells leave a link open."""
+    c = lambda name, s: F.col(f"{name}_{s}")
+    sizes = (100 * c("hi", l) >= percent * c("lo", r)) & (100 * c("hi", r) >= percent * c("lo", l))
+    return sizes & (c("reach", l) >= c("lo", r)) & (c("reach", r) >= c("lo", l))
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n, key, c, component_id) for every row of ``df``; c is the component (null without tokens)."""
+    whole_set = ["h1", "h2"]
     sigs = stored(signatures(df, id_col, text_col, width), "signatures")
-    rows = sigs.where("n >= 0").select("id", "n", "cls", "key")
-    classes = stored(
-        sigs.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes"
-    )
+    rows = sigs.where("n >= 0").select("id", "n", *whole_set, "key")
+    # Numbers are given once and written, so they are the same for all that follows.
+    classes = sigs.where("n > 0").groupBy(*whole_set).agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     # 2: groups of similar classes.
     near = verified(stored(_centre_pairs(classes, percent), "centres"), classes, df, id_col, text_col, width, percent)
     members = connected(near)
-    groups = classes.select("cls", "rep", "n").join(members.withColumnRenamed("node", "cls"), "cls", "left")
-    groups = stored(groups.select("cls", "rep", "n", F.coalesce("component", "cls").alias("g"), F.col("component").isNull().alias("single")), "groups")
+    groups = classes.select("cls", *whole_set, "rep", "n").join(members.withColumnRenamed("node", "cls"), "cls", "left")
+    groups = stored(groups.select("cls", *whole_set, "rep", "n", F.coalesce("component", "cls").alias("g"), F.col("component").isNull().alias("single")), "groups")
     # 3: the matrix.
     frequent = _frequent(sigs)
     cells = prefixes(df.where(F.col(id_col).isNotNull()), id_col, text_col, frequent, width, percent)
     columns = ["cls", "n", "g", "single", "tokens"]
-    named = cells.join(groups.select("cls", F.col("rep").alias("id"), "n", "g", "single"), ["cls", "id"]).select(*columns)
+    named = cells.join(groups.select("cls", *whole_set, F.col("rep").alias("id"), "n", "g", "single"), [*whole_set, "id"])
     # A class without any id is represented by any of its rows.
     nameless = prefixes(df.where(F.col(id_col).isNull()), id_col, text_col, frequent, width, percent)
-    nameless = nameless.join(groups.where("rep IS NULL").select("cls", "n", "g", "single"), "cls").select(*columns)
-    cells = stored(named.union(nameless.dropDuplicates(["cls"])), "cells")
-    flat = cells.select(F.explode("tokens").alias("token"), "g", "single", "cls", F.col("n").alias("lo"), F.col("n").alias("hi"))
-    many = flat.where("not single").groupBy("token", "g").agg(F.min("cls").alias("cls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    matrix = flat.where("single").select("token", "g", "cls", "lo", "hi").union(many).repartition("token")
-    side = lambda s: matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "cls", "lo", "hi")])
-    # 4: bound, open, verify. The first pair tried is the one that meets in the most tokens.
-    met = side("l").join(side("r"), "token").where("g_l < g_r").where((100 * F.col("hi_l") >= percent * F.col("lo_r")) & (100 * F.col("hi_r") >= percent * F.col("lo_l")))
-    ends = [f(f"{c}_{s}").alias(f"{c}_{s}") for c, f in (("lo", F.min), ("hi", F.max)) for s in "lr"]
-    met = met.groupBy("g_l", "g_r", "cls_l", "cls_r").agg(F.count("*").alias("common"), *ends)
-    met = met.groupBy("g_l", "g_r").agg(F.sum("common").alias("common"), F.max(F.struct("common", "cls_l", "cls_r")).alias("best"), *ends)
-    met = met.withColumns({f"rest_{s}": _rest(f"hi_{s}", percent) for s in "lr"})
-    opened = _bounded(met, "l", "r", percent).select("g_l", "g_r", F.col("best.cls_l").alias("a"), F.col("best.cls_r").alias("b"))
-    opened = stored(opened, "opened")
-    links = verified(opened.select("a", "b"), classes, df, id_col, text_col, width, percent).join(opened, ["a", "b"]).select("g_l", "g_r")
+    nameless = nameless.join(groups.where("rep IS NULL").select("cls", *whole_set, "n", "g", "single"), whole_set).select(*columns)
+    cells = stored(named.select(*columns).union(nameless.dropDuplicates(["cls"])), "cells")
+    flat = _flat(cells, percent)
+    close = F.col("reach") >= F.col("n")
+    many = flat.where("not single").groupBy("token", "g").agg(F.min("cls").alias("cls"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"), F.max(close).alias("near"))
+    matrix = flat.where("single").select("token", "g", "cls", F.col("n").alias("lo"), F.col("n").alias("hi"), "reach", close.alias("near")).union(many).repartition("token")
+    side = lambda s: matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "cls", "lo", "hi", "reach", "near")])
+    # 4: bound, open, verify. Cells of one size meet once; l is the side of the smaller set.
+    once = (F.col("lo_l") < F.col("lo_r")) | ((F.col("lo_l") == F.col("lo_r")) & (F.col("g_l") < F.col("g_r"))) | (F.col("hi_l") > F.col("lo_l")) | (F.col("hi_r") > F.col("lo_r"))
+    met = side("l").where("near_l").join(side("r"), "token").where(F.col("g_l") != F.col("g_r")).where((F.col("lo_l") <= F.col("hi_r")) & once & _open("l", "r", percent))
+    ends = [F.least("g_l", "g_r").alias("x"), F.greatest("g_l", "g_r").alias("y")]
+    pair = [F.when(F.col("g_l") < F.col("g_r"), F.col(f"cls_{s}")).otherwise(F.col(f"cls_{o}")).alias(c) for s, o, c in (("l", "r", "a"), ("r", "l", "b"))]
+    met = met.select(*ends, *pair).groupBy("x", "y", "a", "b").agg(F.count("*").alias("common"))
+    met = met.groupBy("x", "y").agg(F.max(F.struct("common", "a", "b")).alias("best"))
+    opened = stored(met.select("x", "y", "best.a", "best.b"), "opened")
+    links = verified(opened.select("a", "b"), classes, df, id_col, text_col, width, percent).join(opened, ["a", "b"]).select("x", "y")
     links = stored(links, "links")
-    first = connected(links.select(F.col("g_l").alias("a"), F.col("g_r").alias("b")))
-    # What is not connected yet is opened whole: all members of the two groups. Two
-    # groups of one member each have been compared.
-    component = lambda s: first.select(F.col("node").alias(f"g_{s}"), F.col("component").alias(f"c_{s}"))
-    left_over = opened.select("g_l", "g_r").join(component("l"), "g_l", "left").join(component("r"), "g_r", "left")
-    left_over = left_over.where(F.coalesce("c_l", "g_l") != F.coalesce("c_r", "g_r")).select("g_l", "g_r")
-    several = groups.where("not single").select("g").distinct()
-    flagged = lambda s: several.select(F.col("g").alias(f"g_{s}"), F.lit(True).alias(f"many_{s}"))
-    left_over = left_over.join(flagged("l"), "g_l", "left").join(flagged("r"), "g_r", "left").where("many_l OR many_r").select("g_l", "g_r")
-    left_over = stored(left_over, "left-over")
-    touched = left_over.select(F.col("g_l").alias("g")).union(left_over.select(F.col("g_r").alias("g"))).distinct()
-    inside = cells.join(touched, "g", "left_semi").select(F.posexplode("tokens").alias("at", "token"), "g", "cls", "n")
-    left = inside.select("token", F.col("at").alias("at_l"), F.col("g").alias("g_l"), F.col("cls").alias("a"), F.col("n").alias("lo_l")).join(left_over, "g_l")
-    right = inside.select("token", F.col("at").alias("at_r"), F.col("g").alias("g_r"), F.col("cls").alias("b"), F.col("n").alias("lo_r"))
-    # With both sizes known a link meets before the place where too few tokens are left to either.
-    least = _overlap(F.col("lo_l") + F.col("lo_r"), percent)
-    early = (F.col("at_l") <= F.col("lo_l") - least) & (F.col("at_r") <= F.col("lo_r") - least)
-    pairs = left.join(right, ["token", "g_r"]).where(early)
-    pairs = stored(pairs.select("a", "b", "g_l", "g_r", "lo_l", "lo_r").distinct(), "meeting")
-    for side_, cls in (("l", "a"), ("r", "b")):
-        pairs = pairs.join(cells.select(F.col("cls").alias(cls), F.col("tokens").alias(f"tokens_{side_}")), cls)
-    pairs = pairs.withColumn("common", F.size(F.array_intersect("tokens_l", "tokens_r"))).drop("tokens_l", "tokens_r")
-    pairs = pairs.withColumns({f"rest_{s}": _rest(f"lo_{s}", percent) for s in "lr"})
-    pairs = stored(_bounded(pairs, "l", "r", percent).select("a", "b", "g_l", "g_r"), "pairs")
-    more = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"]).select("g_l", "g_r")
+    first = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # What is not connected yet is opened, if it has members that were not compared: those of
+    # the group with fewer members are queries to the other.
+    component = lambda s: first.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    left_over = opened.select("x", "y").join(component("x"), "x", "left").join(component("y"), "y", "left")
+    left_over = left_over.where(F.coalesce("c_x", "x") != F.coalesce("c_y", "y")).select("x", "y")
+    several = groups.where("not single").groupBy("g").agg(F.count("*").alias("k"))
+    for s in ("x", "y"):
+        left_over = left_over.join(several.select(F.col("g").alias(s), F.col("k").alias(f"k_{s}")), s, "left")
+    fewer = F.coalesce("k_x", F.lit(1)) <= F.coalesce("k_y", F.lit(1))
+    ask = left_over.where("k_x > 1 OR k_y > 1").select(F.when(fewer, F.col("x")).otherwise(F.col("y")).alias("q"), F.when(fewer, F.col("y")).otherwise(F.col("x")).alias("g"))
+    ask = stored(ask, "queries")
+    asking = _flat(cells.join(ask.select(F.col("q").alias("g")).distinct(), "g", "left_semi"), percent).withColumnRenamed("g", "q")
+    asking = asking.join(ask, "q").select("token", "g", "q", F.col("cls").alias("a"), F.col("n").alias("lo_q"), F.col("n").alias("hi_q"), F.col("reach").alias("reach_q"))
+    inside = _flat(cells.join(ask.select("g").distinct(), "g", "left_semi"), percent).select("token", "g", F.col("cls").alias("b"), "n", "reach")
+    union = inside.groupBy("token", "g").agg(F.min("n").alias("lo_g"), F.max("n").alias("hi_g"), F.max("reach").alias("reach_g"))
+    asking = asking.join(union, ["token", "g"]).where(_open("q", "g", percent)).drop("lo_g", "hi_g", "reach_g")
+    inside = inside.select("token", "g", "b", F.col("n").alias("lo_m"), F.col("n").alias("hi_m"), F.col("reach").alias("reach_m"))
+    pairs = asking.join(inside, ["token", "g"]).where(_open("q", "m", percent)).select("a", "b", F.col("q").alias("x"), F.col("g").alias("y")).distinct()
+    pairs = stored(pairs, "pairs")
+    more = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"]).select("x", "y")
     links = links.union(more)
     # 5: components over groups.
-    final = connected(links.select(F.col("g_l").alias("a"), F.col("g_r").alias("b")))
-    whole = groups.join(final.withColumnRenamed("node", "g"), "g", "left").select("cls", "rep", F.coalesce("component", "g").alias("c"))
+    final = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    whole = groups.join(final.withColumnRenamed("node", "g"), "g", "left").select(*whole_set, "rep", F.coalesce("component", "g").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    labels = whole.join(smallest, "c").select("cls", "c", "component_id")
-    out = rows.join(labels, "cls", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "n", "key", "c", component.alias("component_id"))
+    labels = whole.join(smallest, "c").select(*whole_set, "c", "component_id")
+    out = rows.join(labels, whole_set, "left")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", "n", "key", "c", component_id.alias("component_id"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
