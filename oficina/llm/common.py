@@ -10,8 +10,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import own_folder
+
 #: Rows of one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -37,23 +37,12 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        found = tempfile.mkdtemp(prefix="oficina-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives
     lost executors, and is removed when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/oficina/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -117,15 +106,31 @@ def by_bytes(texts: Iterable[str | None], most: int) -> Iterator[list[bytes]]:
         yield run
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not among ``taken``."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
 
 
-def bounded_share(df: DataFrame, id_col: str, at_most: int) -> DataFrame:
-    """About ``at_most`` rows, chosen by a hash of the id: the same ones on every run."""
+def share_bound(rows: int, at_most: int) -> int:
+    """The signed 64-bit hash below which about ``at_most`` of ``rows`` hashes lie."""
+    return min(-(1 << 63) + (1 << 64) * at_most // max(rows, 1), (1 << 63) - 1)
+
+
+def bounded_share(df: DataFrame, at_most: int, *by: str) -> DataFrame:
+    """About ``at_most`` rows, chosen by a 64-bit hash of the columns ``by``: the same ones on every run.
+
+    Rows equal in ``by`` count once, so many copies of a row (or many null ids, as long as a
+    text is among the columns) are no more than one row. Never empty because of the size of ``df``.
+    """
     rows = df.count()
-    if rows <= at_most:
-        return df
-    steps = 1 << 20
-    return df.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(steps)) < int(steps * at_most / rows))
+    if rows > at_most:
+        df = df.where(F.xxhash64(*by, F.lit(7)) < F.lit(share_bound(rows, at_most)).cast("long"))
+    return df.dropDuplicates(list(by))

@@ -10,24 +10,33 @@ gives the smallest edit distance of the item to any stretch of the window.
 The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters, so what a
 task holds is bounded however large the benchmark is; each block is one pass.
 
-Edge cases: null and empty texts have no hit; items with fewer than ``LEAST`` word
-characters after normalisation are skipped (they would match ordinary prose); equal
-items are all reported; repeated rows are matched one by one; of overlapping
-occurrences of one item within k characters the nearest to the item is reported.
+An occurrence is a run of neighbouring ends in the text at which the item's distance to a
+stretch ending there is at most k; it is reported once, at the first of its nearest
+ends, with the shortest stretch of that distance. The windows around hits are joined
+where they touch, so these runs are those of the whole text.
+
+Edge cases: null and empty texts have no hit, texts of any length are searched; items
+without a word character have nothing to find; items shorter than ``WORDS_BELOW`` must
+stand as whole words without an edit, so that a word inside a word is no hit (``least`` leaves
+out items shorter than it; by default none is); equal items with different ids are all
+reported, a repeated (id, text) row of the benchmark counts once; repeated rows are matched one
+by one, with null ids too; an empty benchmark or table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents, plain_words, short_batches
+from .common import documents, fresh, plain_words, short_batches, stored
 
 RATE = 0.08
-LEAST = 24
+#: Shorter items are matched as whole words, without edits.
+WORDS_BELOW = 24
 BLOCK_CHARS = 4_000_000
 
 
@@ -36,7 +45,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate: float) -> int:
-    return int(len(item) * rate)
+    return int(len(item) * rate) if len(item) >= WORDS_BELOW else 0
 
 
 def cut(item: str, k: int) -> list[tuple[int, str]]:
@@ -53,12 +62,11 @@ def masks(item: str) -> dict[str, int]:
     return out
 
 
-def nearest(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
-    """Myers: (smallest distance of the pattern to a stretch of the window, the stretch's end)."""
-    full, top = (1 << m) - 1, 1 << (m - 1)
+def steps(peq: dict[str, int], m: int, text, anchored: bool = False) -> Iterator[int]:
+    """Myers: the pattern's distance at each end in the text, to any stretch or (anchored) to all before the end."""
+    full, top, carry = (1 << m) - 1, 1 << (m - 1), int(anchored)
     pv, mv, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(window):
+    for c in text:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -68,22 +76,50 @@ def nearest(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-            if score < best:
-                best, end = score, j + 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | carry) & full
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
+        yield score
+
+
+def nearest(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
+    """(smallest distance of the pattern to a stretch of the window, the first end with it)."""
+    best, end = m, 0
+    for e, d in enumerate(steps(peq, m, window), 1):
+        if d < best:
+            best, end = d, e
     return best, end
 
 
+def runs(peq: dict[str, int], m: int, k: int, window: str) -> list[tuple[int, int]]:
+    """(smallest distance, first end with it) of each run of ends within k edits."""
+    out: list[tuple[int, int]] = []
+    inside = False
+    for end, d in enumerate(steps(peq, m, window), 1):
+        if d > k:
+            inside = False
+        elif not inside or d < out[-1][0]:
+            out[len(out) - inside :] = [(d, end)]
+            inside = True
+    return out
+
+
+def start_of(back: dict[str, int], m: int, text: str, end: int, d: int) -> int:
+    """Start of the shortest stretch up to ``end`` at distance d; ``back`` are the reversed pattern's masks."""
+    if d == 0:
+        return end - m
+    before = reversed(text[max(0, end - m - d) : end])
+    return end - next(n for n, x in enumerate(steps(back, m, before, anchored=True), 1) if x == d)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[object, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate), masks(t)) for i, t in items]
+        self.items = [(i, t, budget(t, rate), masks(t), masks(t[::-1])) for i, t in items]
         at: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, t, k, _) in enumerate(self.items):
+        for n, (_, t, k, _, _) in enumerate(self.items):
             for offset, piece in cut(t, k):
                 at.setdefault(piece, []).append((n, offset))
         self.pieces = ahocorasick.Automaton()
@@ -99,61 +135,77 @@ class Matcher:
                 starts.setdefault(n, []).append(end + 1 - size - offset)
         out = []
         for n, found in starts.items():
-            key, item, k, peq = self.items[n]
+            key, item, k, peq, back = self.items[n]
+            m = len(item)
+            if m < WORDS_BELOW:
+                out += [(key, a, a + m, 0) for a in found if text[max(0, a - 1) : a].strip() + text[a + m : a + m + 1].strip() == ""]
+                continue
             found.sort()
-            m, i = len(item), 0
+            i = 0
             while i < len(found):
-                j = i
-                while j + 1 < len(found) and found[j + 1] - found[j] <= k:
-                    j += 1
-                low = max(0, found[i] - k)
-                window = text[low : max(0, found[j]) + m + k]
-                d, end = nearest(peq, m, window)
-                if d <= k:
-                    out.append((key, max(0, low + end - m), low + end, d))
-                i = j + 1
+                low, high = max(0, found[i] - k), found[i] + m + k
+                while i < len(found) and found[i] - k <= high:
+                    high = found[i] + m + k
+                    i += 1
+                for d, end in runs(peq, m, k, text[low : max(0, high)]):
+                    out.append((key, start_of(back, m, text, low + end, d), low + end, d))
         return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """Normalised items in lists of at most about ``block_chars`` characters."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col)
-    total = rows.agg(F.sum(F.length(text_col))).first()[0] or 0
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS, least: int = 1) -> Iterator[list[tuple[object, str]]]:
+    """Normalised items in lists of about ``block_chars`` characters."""
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).distinct()
+    total = rows.agg(F.sum(F.length(text_col) + 16)).first()[0] or 0
     n = 1 + total // block_chars
     for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(text_col), F.lit(n)) == b)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == b)
         items = [(r[0], normal(r[1])) for r in part.collect()]
-        items = sorted(((i, t) for i, t in items if len(t) >= LEAST), key=lambda x: (x[1], str(x[0])))
+        items = sorted(((i, t) for i, t in items if len(t) >= max(1, least)), key=lambda x: (x[1], str(x[0])))
         if items:
             yield items
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """(id, item_id, start, end, distance): every place where an item stands, within its edit budget."""
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, item_id, start, end, distance): every place where an item stands, within its edit budget.
+
+    One block is matched when the result is read. Of several, each is matched, written to the shared folder
+    and given up before the next, so neither the driver nor a task holds more than one.
+    """
     spark = df.sparkSession
     short_batches(spark)
-    kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id {item_kind}, start long, end long, distance int"
-    rows = df.where(F.length(text_col) >= LEAST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for items in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(items)
-
-        def work(parts, shared=shared):
-            m = Matcher(shared.value, rate)
-            for pdf in parts:
-                yield pd.DataFrame([(i, *hit) for i, t in zip(pdf["id"], pdf["text"]) for hit in m.find(normal(t))], columns=[id_col, "item_id", "start", "end", "distance"])
+    fields = [(id_col, df.schema[id_col].dataType), ("item_id", benchmark.schema[item_col].dataType)]
+    schema = ", ".join(f"`{n}` {t.simpleString()}" for n, t in fields) + ", start long, end long, distance int"
+    names, kinds = [id_col, "item_id", "start", "end", "distance"], [*(to_arrow_type(t) for _, t in fields), pa.int64(), pa.int64(), pa.int32()]
+    rows = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-        part = rows.mapInPandas(work, schema)
+    def found_in(shared):
+        def work(batches):
+            m = Matcher(shared.value, rate)
+            for b in batches:
+                hits = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in m.find(normal(t))]
+                columns = list(zip(*hits)) if hits else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        return rows.mapInArrow(work, schema)
+
+    out, held = None, None
+    for items in blocks(benchmark, item_col, item_text, block_chars, least):
+        if held is not None:
+            part = stored(found_in(held), "matches")
+            out = part if out is None else out.unionByName(part)
+            held.destroy()
+        held = spark.sparkContext.broadcast(items)
+    if held is not None:
+        part = found_in(held)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rate: float = RATE) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rate: float = RATE, least: int = 1) -> DataFrame:
     """The rows of ``df`` in whose text no benchmark item stands; judged by the text's hash, so ids may be null or repeat."""
-    key = F.xxhash64(text_col)
-    hit = matches(df.select(key.alias("__key"), text_col), benchmark, "__key", text_col, rate=rate).select("__key").distinct()
-    return df.join(hit, key == F.col("__key"), "left_anti")
+    key = fresh("__key", df.columns)
+    hit = matches(df.select(F.xxhash64(text_col).alias(key), text_col), benchmark, key, text_col, rate=rate, least=least).select(key).distinct()
+    return df.join(hit, F.xxhash64(text_col) == F.col(key), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

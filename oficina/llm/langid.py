@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, by_bytes, short_batches
+from .common import bounded_share, by_bytes, fresh, short_batches
 
 _GAP = 32
 _FOLD = np.array(
@@ -96,7 +96,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, params: Lang
     """Fit on at most about ``train_rows`` rows of ``df`` that have a language and a letter."""
     p = params
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = bounded_share(rows.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), id_col, p.train_rows)
+    rows = bounded_share(rows.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), p.train_rows, id_col, "text", "lang")
     short_batches(df.sparkSession)
     buckets = p.buckets
 
@@ -191,7 +191,7 @@ def predict(df: DataFrame, model: LangIdModel | None, text_col: str, keep: list[
     spark = df.sparkSession
     short_batches(spark)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = df.select(*keep, F.when(letters, F.col(text_col)).alias("__text"))
+    rows = df.select(*keep, F.when(letters, F.col(text_col)).alias(fresh("__text", keep)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     if model is None:
         return rows.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
