@@ -1,37 +1,43 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a public model file (its path is a parameter):
-the normaliser (blank to word mark, one mark before the text), the lexicon (a trie
-of the pieces, weighted by minus their score, with byte arcs for characters that no
-piece has) and a pair acceptor: two pieces may follow each other only if merging
-their joined text gives back exactly these two, else the arc weighs infinity. Each
-input is composed with them and its shortest path in the tropical semiring is the
-encoding. The file holds a merge vocabulary, for which scores alone would not give
-the merge order; with the pair acceptor exactly one path has a finite weight at
-every place, and it is the merge encoding, so the shortest path is right and is
-found by a search
-that never meets a place twice. The acceptor's arcs are made when first needed.
+The machines are compiled from a public model file (its path is a parameter):
+
+* the normaliser, a transducer of one state: an arc reads a character and writes its
+  replacement (blank to word mark), and one arc writes a word mark before the text;
+* the lexicon, a trie of the pieces closed into a loop: a piece's arc weighs minus its
+  score. A character that is no piece goes by an arc of its UTF-8 bytes, each dearer than any piece;
+* for a merge vocabulary, the pair acceptor, whose state is the last piece: its arc weighs 0 if
+  merging the joined text of two neighbours gives back exactly these two, else infinity.
+  Scores alone would not give the merge order. Its arcs are made when first needed.
+
+An input is composed with them state by state (place, last piece) and the shortest path in the
+tropical semiring is taken: places go in order, and each arc relaxes ``min(old, cost + weight)``. Without
+a pair acceptor (``merges=False``) the state is the place alone and the scores decide.
 
 No piece has a mark after another character (checked), so a text's path falls apart
 before every mark that follows one; paths of such stretches are remembered in a table of bounded size.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; characters
 outside the vocabulary become UTF-8 byte pieces; a literal word mark in a text decodes
-to a blank (the row says so in ``lossless``); repeated rows are encoded one by one.
+to a blank (the row says so in ``lossless``); of equally light paths the one whose last
+piece is longest is taken; repeated rows are encoded one by one, null ids are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, short_batches
+from .common import documents, fresh, short_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: The normaliser's arcs: what each character becomes; all others stay.
+RULES = {" ": MARK}
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_PIECES = 1_000_000
 
@@ -48,13 +54,24 @@ def load(path: str = MODEL) -> list[tuple[str, float, str]]:
     return out
 
 
+_NONE: dict = {}
+
+
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, str]], stretches: int = 400_000, pairs: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], merges: bool = True, stretches: int = 400_000, pairs: int = 500_000):
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k == "normal"}
         self.score = {p: s for p, s, k in pieces if k == "normal"}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a word mark inside")
-        self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
+        self.merges = merges
+        self.rules = str.maketrans(RULES)
+        self.lexicon: dict = {}  # a node maps characters to nodes, and "" to (piece, weight)
+        for p, s in self.score.items():
+            node = self.lexicon
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (p, -s)
+        self.byte_weight = 10.0 - min(self.score.values(), default=0.0)
         self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # character pairs that some piece holds
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "special" else p.replace(MARK, " ").encode() for p, _, k in pieces]
@@ -91,65 +108,60 @@ class Transducer:
             self.fits[a, b] = got
         return got
 
-    def arcs(self, s: str, i: int) -> list[str]:
-        """The lexicon's arcs from a place, shortest first; a character without a piece goes by its bytes."""
-        ids, prefixes = self.id, self.prefixes
-        k, n = i + 1, len(s)
-        p = s[i:k]
-        out = [] if p in ids else [p]
-        while k <= n and p in prefixes:
-            if p in ids:
-                out.append(p)
-            k += 1
-            p = s[i:k]
-        return out
-
     def path(self, s: str) -> tuple[int, ...]:
-        """Ids of the shortest path of a stretch.
+        """Ids of the shortest path of a stretch: states (place, last piece) are relaxed in the order of their places.
 
-        Whatever is reached at a place with a finite weight is the merge encoding of what
-        lies before it, so a place is reached in one way only: the search goes
-        forward over fitting arcs, longest first, and a place that turns out to lead nowhere is closed for good.
+        Under the pair acceptor what is reached at a place with a finite weight is the merge
+        encoding of what lies before it, so a place has one such state.
         """
-        n, fits, fit = len(s), self.fits, self.fit
-        closed = bytearray(n + 1)
-        place, open_, taken = [0], [self.arcs(s, 0)], [""]
-        i = 0
-        while i < n:
-            last, left = taken[-1], open_[-1]
-            while left:
-                p = left.pop()
-                j = i + len(p)
-                if closed[j]:
-                    continue
-                ok = fits.get((last, p))
-                if fit(last, p) if ok is None else ok:
-                    place.append(j)
-                    taken.append(p)
-                    open_.append(self.arcs(s, j) if j < n else left)
-                    i = j
+        n, fits, fit, merges, lexicon = len(s), self.fits, self.fit, self.merges, self.lexicon
+        # best[place][last piece] = (weight so far, last piece of the state before, length of the last piece)
+        best: list[dict[str, tuple[float, str, int]]] = [{} for _ in range(n + 1)]
+        best[0][""] = (0.0, "", 0)
+        for i in range(n):
+            here = best[i].items()
+            if not here:
+                continue
+            j, c = i + 1, s[i]
+            node = lexicon.get(c, _NONE)
+            arc = node.get("") or (c, self.byte_weight * len(c.encode("utf-8", "surrogatepass")))
+            while True:  # the lexicon's arcs from this place, shortest first
+                if arc:
+                    p, weight = arc
+                    to, there = p if merges else "", best[j]
+                    for last, (cost, _, _) in here:
+                        if merges:
+                            ok = fits.get((last, p))
+                            if not (fit(last, p) if ok is None else ok):
+                                continue
+                        old = there.get(to)
+                        if old is None or cost + weight < old[0]:
+                            there[to] = (cost + weight, last, j - i)
+                if j == n:
                     break
-            else:
-                closed[i] = 1
-                place.pop(), taken.pop(), open_.pop()
-                i = place[-1]
-        out: list[int] = []
-        for p in taken[1:]:
+                node = node.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                arc = node.get("")
+        i, out = n, []
+        last = min(best[n], key=lambda p: (best[n][p][0], -len(p)))
+        while i:
+            _, before, size = best[i][last]
+            p = s[i - size : i]
             got = self.id.get(p)
-            if got is None:
-                out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(got)
-        return tuple(out)
+            out.append((got,) if got is not None else tuple(self.byte[b] for b in p.encode("utf-8", "surrogatepass")))
+            i, last = i - size, before
+        return tuple(x for part in reversed(out) for x in part)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        for s in _STRETCH.findall(MARK + text.replace(" ", MARK)):
-            got = self.paths.get(s)
-            out += self.kept(s) if got is None else got
-        return out
+        stretches = _STRETCH.findall(MARK + text.translate(self.rules))
+        got = list(map(self.paths.get, stretches))
+        if None in got:
+            got = [self.kept(s) if x is None else x for s, x in zip(stretches, got)]
+        return list(chain.from_iterable(got))
 
     def kept(self, s: str) -> tuple[int, ...]:
         """Path of a stretch, remembered; it falls apart between characters that no piece holds side by side."""
@@ -202,12 +214,12 @@ def _mapped(df: DataFrame, keep: list[str], col: str, schema: str, names: list[s
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *each(t, b.column(b.num_columns - 1))], names=[*b.schema.names[:-1], *names])
 
-    return df.select(*keep, df[col].alias("__in")).mapInArrow(work, f"{kinds}, {schema}")
+    return df.select(*keep, df[col].alias(fresh("__in", keep))).mapInArrow(work, f"{kinds}, {schema}")
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
+def _lists(ids: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(x) for x in ids])
-    flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -220,7 +232,7 @@ def encode(df: DataFrame, keep: list[str], text_col: str, model_path: str = MODE
         for text in texts.to_pylist():
             x = t.encode(text)
             a = np.array(x, np.int32)
-            ids.append(x)
+            ids.append(a)
             n_bytes.append(int(((a >= low) & (a <= high)).sum()))
             same.append(t.decode(x) == (text or ""))
         return [_lists(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())]
