@@ -16,11 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_share, mixed, plain_words, short_batches
+from .common import WordHashes, bounded_share, fresh, mixed, plain_words, short_batches
 
 
 @dataclass(frozen=True)
@@ -28,9 +29,9 @@ class ToxicityParams:
     bits: int = 21
     train_rows: int = 16_000
     epochs: int = 4
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 6.0
     l2: float = 0.1
     seed: int = 5
 
@@ -60,24 +61,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     p = params
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marks = marks.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
-    marks = bounded_share(marks, id_col, p.train_rows)
+    marks = bounded_share(marks, p.train_rows, id_col)
     # At most about train_rows ids and labels: a proven bound for the broadcast.
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(marks), id_col)
     short_batches(docs.sparkSession)
     bits = p.bits
 
-    def features(parts):
-        for pdf in parts:
-            yield pd.DataFrame({"id": pdf[id_col].astype(str), "label": pdf["__label"], "x": [feature_ids(t, bits).tobytes() for t in pdf["text"]]})
-
-    got = rows.select(id_col, "text", "__label").mapInPandas(features, "id string, label int, x binary").collect()
-    got.sort(key=lambda r: (r.id, bytes(r.x)))
+    def features(batches):
+        for b in batches:
+            x = [feature_ids(t, bits).tobytes() for t in b.column(1).to_pylist()]
+            tie = pa.array([xxhash.xxh3_64_intdigest(v) >> 1 for v in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary()), tie], names=["id", "label", "x", "tie"])
+
+    # Bounded by train_rows; kept as Arrow buffers, of which each step sees a slice.
+    got = rows.select(F.col(id_col).cast("string"), "text", "__label").mapInArrow(features, "id string, label int, x binary, tie long").toArrow()
+    y = got.column("label").to_numpy()
+    chunks = [c for c in got.column("x").chunks if len(c)]
+    ends = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] // 4 for c in chunks]
+    flat = [np.frombuffer(c.buffers()[2] or b"", np.int32) for c in chunks]
+    place = [(k, i) for k, c in enumerate(chunks) for i in range(len(c))]
+    first = sorted(range(len(got)), key=list(zip(got.column("id").to_pylist(), got.column("tie").to_pylist())).__getitem__)
     z = np.zeros(1 << bits)
     n = np.zeros(1 << bits)
     z0 = n0 = 0.0
     rng = np.random.default_rng(p.seed)
     order = np.arange(len(got))
-    if not any(r.label for r in got):
+    if not y.any():
         return ToxicityModel(bits, np.zeros(1 << bits, np.float32), -50.0)
 
     def weights(zs, ns):
@@ -86,18 +95,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     for _ in range(p.epochs):
         rng.shuffle(order)
-        for i in order:
-            at = np.frombuffer(bytes(got[i].x), np.int32)
+        for o in order:
+            k, i = place[first[o]]
+            at = flat[k][ends[k][i] : ends[k][i + 1]]
             w = weights(z[at], n[at])
             w0 = -z0 / ((p.beta + n0**0.5) / p.alpha)
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - got[i].label
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y[first[o]]
             s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
             z[at] += g - s * w
             n[at] += g * g
             s0 = ((n0 + g * g) ** 0.5 - n0**0.5) / p.alpha
             z0 += g - s0 * w0
             n0 += g * g
-    return ToxicityModel(bits, weights(z, n).astype(np.float32), float(-z0 / ((p.beta + n0**0.5) / p.alpha)))
+    kept = np.flatnonzero(np.abs(z) > p.l1)
+    table = np.zeros(1 << bits, np.float32)
+    table[kept] = weights(z[kept], n[kept])
+    return ToxicityModel(bits, table, float(-z0 / ((p.beta + n0**0.5) / p.alpha)))
 
 
 def predict(docs: DataFrame, model: ToxicityModel, text_col: str, keep: list[str]) -> DataFrame:
@@ -105,12 +118,10 @@ def predict(docs: DataFrame, model: ToxicityModel, text_col: str, keep: list[str
     short_batches(docs.sparkSession)
     at = np.flatnonzero(model.weights).astype(np.int32)
     value, bits, bias = model.weights[at], model.bits, model.bias
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = docs.select(*keep, F.col(text_col).alias(fresh("__text", keep)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def judge(batches):
-        import pyarrow as pa
-
         table = np.zeros(1 << bits)
         table[at] = value
         for batch in batches:
