@@ -37,11 +37,13 @@ RULES = [
 #: Levels of the registered SQL only; the operator goes down to the last segment.
 DEPTH = 4
 #: After so many levels the paths are stored, and those that have ended are set aside.
-LEVELS = 4
+LEVELS = 2
 CHILDREN = 8
 ALIKE = 5.0
 WEIGHT = 4.0
 SALTS = 32
+#: A tree node over more than this share (1 / HOT_NODES) of all distinct paths is salted.
+HOT_NODES = 1_000
 #: Longer lists belong into a table and a join on host suffixes.
 MOST_RULES = 1_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,6 +69,20 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _met(t: DataFrame, wild: DataFrame, total: int) -> DataFrame:
+    """``t`` with ``__wild`` of its node. A node over more than 1 / HOT_NODES of all paths is dealt out.
+
+    There are at most HOT_NODES such nodes, so their list may be broadcast; their verdicts are
+    repeated SALTS times and meet their paths in that many parts.
+    """
+    hot = wild.where(F.col("__n") * HOT_NODES > total).select("host", "template", F.lit(SALTS).alias("__parts"))
+    t = t.join(F.broadcast(hot), ["host", "template"], "left")
+    t = t.withColumn("__salt", F.pmod(F.xxhash64("path"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    parts = F.when(F.col("__n") * HOT_NODES > total, SALTS - 1).otherwise(0)
+    wild = wild.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts))).drop("__n")
+    return t.join(wild, ["host", "template", "__salt"], "left").drop("__salt")
+
+
 def templates(labelled: DataFrame) -> DataFrame:
     """(host, path) -> (template, parent, pages, labels, blocked) from pages with host, path and rule verdict."""
     label = F.col("__verdict")
@@ -75,16 +91,17 @@ def templates(labelled: DataFrame) -> DataFrame:
     )
     t = t.select("*", F.array_remove(F.split("path", "/", -1), "").alias("__segments"), F.lit("").alias("template"), F.lit("").alias("parent"))
     t = stored(t, "paths")
+    total, deepest = t.agg(F.count("*"), F.max(F.size("__segments"))).first()
     ended = []
-    for d in range(t.agg(F.max(F.size("__segments"))).first()[0] or 0):
+    for d in range(deepest or 0):
         if d and d % LEVELS == 0:
             t = stored(t, "level")
             ended.append(t.where(F.size("__segments") <= d))
             t = t.where(F.size("__segments") > d)
         seg = F.get("__segments", F.lit(d))
-        children = t.where(F.size("__segments") > d).groupBy("host", "template", seg.alias("__seg")).agg(F.sum("pages").alias("pages"))
-        wild = children.groupBy("host", "template").agg(((F.count("*") > CHILDREN) | (F.sum("pages") < 2 * F.count("*"))).alias("__wild"))
-        t = t.join(wild, ["host", "template"], "left")
+        children = t.where(F.size("__segments") > d).groupBy("host", "template", seg.alias("__seg")).agg(F.sum("pages").alias("pages"), F.count("*").alias("paths"))
+        wild = children.groupBy("host", "template").agg(((F.count("*") > CHILDREN) | (F.sum("pages") < 2 * F.count("*"))).alias("__wild"), F.sum("paths").alias("__n"))
+        t = _met(t, wild, total)
         deeper = F.size("__segments") > d
         step = F.when(F.col("__wild"), F.lit("*")).otherwise(seg)
         t = t.select(
