@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    """The folder of spark.checkpoint.dir.
+
+    Where that is unset: a temporary folder if everything runs in one process, as in tests, and
+    otherwise one in the warehouse, which all executors share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        found = tempfile.mkdtemp(prefix="oficina-")
+        single = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="oficina-") if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/oficina-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
