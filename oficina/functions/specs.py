@@ -115,6 +115,12 @@ def satisfies(psu: Column, gpu: Column) -> Column:
     )
 
 
+def distinct_fold(values: Column) -> Column:
+    """Different texts of an array, case aside; of each the first spelling stays, in order."""
+    low = F.transform(values, lambda x: F.lower(x))
+    return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
 def chipset_key(raw: Column) -> Column:
     """Chipset name for the support table: letters and digits, without the maker."""
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}]", ""), "^(amd|intel)", ""), F.lit(""))
@@ -123,6 +129,10 @@ def chipset_key(raw: Column) -> Column:
 # --- spec sheets: label rules, value kinds, sanity -------------------------------------
 
 _NUMBER = r"\d+(?:[.,]\d+)?"
+# How sheets write memory kinds, buses and power plugs.
+DDR = r"(?iu)\b(g?ddr\d\w*)\b"
+PCIE = r"(?iu)pci\s*-?\s*e(?:xpress)?\s*(?:gen\s*)?(\d+(?:\.\d+)?)?(?:\s*x\s*(\d+))?"
+PIN = r"(\d+)\s*x\s*(\d+)\s*pi?n"
 
 
 def _number(v: Column) -> Column:
@@ -147,17 +157,18 @@ def parsed(kind: Column, key: Column, raw: Column) -> Column:
     items = F.filter(F.transform(F.split(v, r"[\n/|,;]"), lambda p: F.trim(F.regexp_replace(p, r"^[\s-]+|[\s-]+$", ""))), lambda p: p != "")
     listed = F.nullif(F.array_join(items, ", "), F.lit(""))
     norm = normalize(v)
-    pins = found(norm, r"(\d+)\s*x\s*(?:8|6|16)\s*pin")
+    many = F.regexp_replace(found(norm, PIN, 1), "^0+(?=.)", "")
     power = (
         F.when(norm.rlike(r"12v2x6|12vhpwr|\b16\s*pin"), "1x16pin")
-        .when(pins.isNotNull(), F.concat(pins, F.lit("x"), F.regexp_extract(norm, r"\d+\s*x\s*(8|6|16)\s*pin", 1), F.lit("pin")))
+        .when(many.isNotNull(), F.concat(F.when(many == "0", "1").otherwise(many), F.lit("x"), found(norm, PIN, 2), F.lit("pin")))
         .when(norm.rlike(r"\b8\s*pin"), "1x8pin")
         .when(norm.rlike(r"\b6\s*pin"), "1x6pin")
         .when(norm.rlike("sem|slot|nenhum"), "nenhum (slot)")
     )
-    gen = found(v, r"(?iu)pci[- ]?e(?:xpress)?\s*(?:gen\s*)?(\d(?:\.\d)?)")
-    lanes = found(v, r"(?iu)pci[- ]?e(?:xpress)?.*?x\s*(\d+)")
+    bus = F.regexp_replace(v, "[®™]", "")
+    gen, lanes = found(bus, PCIE, 1), found(bus, PCIE, 2)
     pcie = F.concat(F.lit("pcie"), gen, F.coalesce(F.concat(F.lit("x"), lanes), F.lit("")))
+    ddr = F.lower(found(v, DDR))
     single = (
         F.when(kind.isin("int", "bits"), _whole(_number(v)))
         .when(kind.isin("num", "gbps"), _number(v).cast("string"))
@@ -166,7 +177,7 @@ def parsed(kind: Column, key: Column, raw: Column) -> Column:
         .when(kind == "power", power)
         .when(kind == "bool", F.when(low.rlike("sim|yes|true|com |tem |suporta"), "true").when(low.rlike("nao|não|no|false|sem "), "false"))
         .when(kind == "list", listed)
-        .when(kind == "mem_type", F.lower(found(v, r"(?iu)(g?ddr\dx?)")))
+        .when(kind == "mem_type", ddr)
         .when(kind == "socket", socket(v))
         .when(kind == "form_factor", form_factor(v))
         .when(kind == "chipset", chipset(v))
@@ -176,7 +187,6 @@ def parsed(kind: Column, key: Column, raw: Column) -> Column:
     )
     sizes = F.regexp_extract_all(v, F.lit(_NUMBER), F.lit(0))
     size = lambda i: _whole(point(F.get(sizes, F.lit(i))))
-    ddr = F.lower(found(v, r"(?iu)(g?ddr\dx?)"))
     gb = _whole(point(found(low, rf"({_NUMBER})\s*gb")))
     clock = r"(base|boost|game|turbo|oc|extreme|performance|silent|gaming|standard|default)\s*[^0-9:]{0,10}:\s*(" + _NUMBER + r")\s*(mhz|ghz)?"
     lines = F.filter(F.split(low, r"[\n,;]"), lambda x: x.rlike(clock))

@@ -41,7 +41,7 @@ def _row(items: DataFrame, *values) -> DataFrame:
 
 def offers_by_store(listings: DataFrame, stores: DataFrame, active_only: bool = True) -> DataFrame:
     """Smallest sellable price of each product in each store."""
-    s = F.broadcast(stores.where("is_active") if active_only else stores)  # a handful of stores
+    s = stores.where("is_active") if active_only else stores
     return listings.where(sellable()).join(s, "store_id").groupBy("product_id", "slug").agg(F.min("price_cash").alias("price"))
 
 
@@ -58,9 +58,13 @@ def baskets(items: DataFrame, by_store: DataFrame) -> DataFrame:
 
 def best_offers(items: DataFrame, listings: DataFrame, stores: DataFrame, by_store: DataFrame) -> DataFrame:
     """Each item with its pinned listing's price if that is in stock, else the cheapest store's (first slug among equals)."""
-    pinned = listings.join(F.broadcast(stores), "store_id").where("in_stock").select(F.col("listing_id"), F.col("price_cash").alias("pin_price"), F.col("slug").alias("pin_slug"))
+    pinned = listings.join(stores, "store_id").where("in_stock").select(F.col("listing_id"), F.col("price_cash").alias("pin_price"), F.col("slug").alias("pin_slug"))
     cheap = by_store.groupBy("product_id").agg(F.min(F.struct("price", "slug")).alias("c"))
-    out = items.where("product_id IS NOT NULL").join(pinned, "listing_id", "left").join(cheap, "product_id", "left")
+    # Most items have no pinned listing: they stay out of that join, where their null would be one key.
+    rows = items.where("product_id IS NOT NULL")
+    with_pin = rows.where("listing_id IS NOT NULL").join(pinned, "listing_id", "left").select(*items.columns, "pin_price", "pin_slug")
+    without = rows.where("listing_id IS NULL").select(*items.columns, F.lit(None).cast(pinned.schema["pin_price"].dataType).alias("pin_price"), F.lit(None).cast("string").alias("pin_slug"))
+    out = with_pin.unionByName(without).join(cheap, "product_id", "left")
     is_pinned = F.col("pin_slug").isNotNull()
     return out.select(*[F.col(c) for c in items.columns], F.when(is_pinned, F.col("pin_price")).otherwise(F.col("c.price")).alias("price"), F.when(is_pinned, F.col("pin_slug")).otherwise(F.col("c.slug")).alias("store"))
 

@@ -78,6 +78,11 @@ def latest_per_store(runs: DataFrame, at: str, *values: str) -> DataFrame:
     return runs.groupBy("store_id").agg(F.max(F.struct(at, *values)).alias("r")).select("store_id", "r.*")
 
 
+def stale_batch(listings: DataFrame, at: str, now: Column, days: int, seen: str, limit: int = 50) -> DataFrame:
+    """The next listings to visit: stale ones, newest seen first, a batch of 1 to 200."""
+    return stale(listings, at, now, days).orderBy(F.desc_nulls_last(seen), "listing_id").limit(max(1, min(limit, 200)))
+
+
 def stale(listings: DataFrame, at: str, now: Column, days: int) -> DataFrame:
-    """Listings never visited or last visited more than ``days`` days ago, newest first is up to the caller."""
+    """Listings never visited or last visited more than ``days`` days ago."""
     return listings.where(F.col(at).isNull() | (F.col(at) < F.date_sub(now, days)))

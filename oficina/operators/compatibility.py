@@ -1,7 +1,7 @@
 """Do the parts of a build fit together? Sixteen rules over one row per build.
 
 A part is (category, product_id, model, name, attrs): attrs maps lower-case keys to
-text. A rule fires only when everything it looks at is known; Spark's three-valued logic
+text. What the rules look at is read and parsed once per part (``typed``), before parts meet builds. A rule fires only when everything it looks at is known; Spark's three-valued logic
 gives that for free, since ``when(NULL)`` does not fire.
 """
 
@@ -44,20 +44,35 @@ def attribute_map(attributes: DataFrame) -> DataFrame:
     return latest.groupBy("product_id").agg(F.map_from_entries(F.collect_list(pair)).alias("attrs"))
 
 
-def part(row_prefix: str = "") -> Column:
-    c = lambda n: F.col(row_prefix + n)
-    return F.struct(c("product_id").alias("product_id"), c("model").alias("model"), c("name").alias("name"), c("attrs").alias("attrs"))
+#: Attributes that the rules look at, as texts and as numbers.
+TEXTS = ["socket", "chipset", "memory_type", "type", "form_factor", "form_factor_support", "socket_support", "radiator_support_mm", "interface", "connectors", "power_connectors", "has_igpu"]
+NUMBERS = [
+    "tdp_w", "max_memory_gb", "memory_slots", "capacity_gb", "modules", "speed_mhz", "max_memory_speed_mhz", "length_mm", "max_gpu_length_mm",
+    "height_mm", "max_cooler_height_mm", "radiator_mm", "m2_slots", "wattage", "recommended_psu_w",
+]
+
+
+def typed(parts: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., product_id, category, part): each part as a struct of its names and of the attributes that rules look at."""
+    raw = lambda k: F.nullif(F.trim(F.try_element_at("attrs", F.lit(k))), F.lit(""))
+    fields = [*[raw(k).alias(k) for k in TEXTS], *[value_num(raw(k)).alias(f"{k}_n") for k in NUMBERS]]
+    return parts.select(*keep, "product_id", "category", F.struct("product_id", "model", "name", *fields).alias("part"))
 
 
-def snapshot(parts: DataFrame) -> DataFrame:
-    """One row per build: the first part of each single category, all memory and storage parts."""
-    seq = lambda cat: F.min_by(F.when(F.col("category") == cat, part()), F.when(F.col("category") == cat, F.col("seq")))
-    many = lambda cat: F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == cat, F.struct("seq", "product_id", "model", "name", F.map_entries("attrs").alias("attrs"))))), lambda x: F.struct(x["product_id"].alias("product_id"), x["model"].alias("model"), x["name"].alias("name"), F.map_from_entries(x["attrs"]).alias("attrs")))
-    return parts.groupBy("build_id").agg(*[seq(c).alias(c) for c in SINGLE], *[many(c).alias(c) for c in MANY])
+def snapshot(items: DataFrame) -> DataFrame:
+    """One row per build from (build_id, seq, category, part): the first part of each single category, all memory and storage parts.
+
+    Parts that aren't typed yet (model, name, attrs) are typed first.
+    """
+    if "part" not in items.columns:
+        items = typed(items, "build_id", "seq")
+    first = lambda cat: F.min_by(F.when(F.col("category") == cat, F.col("part")), F.when(F.col("category") == cat, F.col("seq")))
+    every = lambda cat: F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == cat, F.struct("seq", "part")))), lambda x: x["part"])
+    return items.groupBy("build_id").agg(*[first(c).alias(c) for c in SINGLE], *[every(c).alias(c) for c in MANY])
 
 
 def text(slot: Column, key: str) -> Column:
-    return F.nullif(F.trim(F.try_element_at(slot["attrs"], F.lit(key))), F.lit(""))
+    return slot[key]
 
 
 def low(slot: Column, key: str) -> Column:
@@ -65,7 +80,7 @@ def low(slot: Column, key: str) -> Column:
 
 
 def num(slot: Column, key: str) -> Column:
-    return value_num(text(slot, key))
+    return slot[f"{key}_n"]
 
 
 def flag(slot: Column, key: str) -> Column:
@@ -181,7 +196,7 @@ def candidates(build: DataFrame, parts: DataFrame, category: str, chipsets: Data
         raise ValueError("exactly one build is asked for")
     slots = [c for c in SINGLE + MANY]
     frozen = build.sparkSession.createDataFrame(one, build.schema).select(*slots)
-    rows = parts.where(F.col("category") == category).select(F.col("product_id").alias("build_id"), part().alias("__new")).join(F.broadcast(frozen))
+    rows = typed(parts.where(F.col("category") == category)).select(F.col("product_id").alias("build_id"), F.col("part").alias("__new")).join(F.broadcast(frozen))
     put = F.concat(category, F.array("__new")) if category in MANY else F.col("__new")
     judged = evaluated(with_seeds(rows.withColumn(category, put).drop("__new"), chipsets, seed_watts))
     errors = F.transform(F.filter("issues", lambda i: i["severity"] == "E"), lambda i: i["code"])

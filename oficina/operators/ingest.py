@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specs import value_bool, value_num
-from ..functions.text import brand, clean_title, normalize_part_number
+from ..functions.noise import is_noise
+from ..functions.text import brand, chip_id, clean_title, match_key, normalize_part_number, part_number
 from ..sources.shared import cut
 
 # Precedence of attribute sources.
 PRECEDENCE = {"reference": 0, "title": 1, "page": 2, "manual": 3}
+OTHER = 1
 
 
 def keep_first(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,32 +28,33 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     The others are resolved within the batch as if taken in ``seq`` order: an item makes a new product,
     named after its seq, unless an earlier maker has its part number or, failing
     that, its match key. Makers are found in rounds, many at once: an open item that
-    is the earliest by both its keys and meets no maker is one. The keys are near unique, so the
-    rounds are few and their windows small.
+    is the earliest by both its keys and meets no maker is one. Items without a key are settled in
+    the first round that their other key allows.
     """
-    pn = normalize_part_number(F.col("part_number"))
-    base = items.withColumn("__pn", pn)
+    # An item without a key gets one of its own, so that null keys neither meet nor gather in one task.
+    own = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
+    base = items.withColumns({"__a": F.coalesce(normalize_part_number(F.col("part_number")), own), "__b": F.coalesce("match_key", own)})
     base = base.join(known_skus.select("store_id", "store_sku", F.col("product_id").alias("__s")), ["store_id", "store_sku"], "left")
-    base = base.join(known_parts.select(F.col("part_number").alias("__pn"), F.col("product_id").alias("__p")), "__pn", "left")
-    base = base.join(known_keys.select("match_key", F.col("product_id").alias("__k")), "match_key", "left")
-    base = cut(base.withColumn("__found", F.coalesce("__s", "__p", "__k").cast("string")).drop("__s", "__p", "__k"))
-    done = base.where("__found IS NOT NULL").select("seq", F.col("__found").alias("product_id"), F.lit(False).alias("is_new"))
-    todo = base.where("__found IS NULL").select("seq", "__pn", "match_key")
-    first = lambda key: F.when(F.col(key).isNotNull(), F.min("seq").over(Window.partitionBy(key)))
-    made = cut(todo.limit(0).withColumn("product_id", F.lit("")))
+    base = base.join(known_parts.select(F.col("part_number").alias("__a"), F.col("product_id").alias("__p")), "__a", "left")
+    base = base.join(known_keys.select(F.col("match_key").alias("__b"), F.col("product_id").alias("__k")), "__b", "left")
+    base = cut(base.select("seq", "__a", "__b", F.coalesce("__s", "__p", "__k").cast("string").alias("product_id")))
+    done = base.where("product_id IS NOT NULL").select("seq", "product_id", F.lit(False).alias("is_new"))
+    todo = base.where("product_id IS NULL").select("seq", "__a", "__b")
+    made = todo.limit(0).withColumn("product_id", F.lit(""))
     for _ in range(rounds):
-        by_part = made.where("__pn IS NOT NULL").select("__pn", F.col("product_id").alias("__p"))
-        by_key = made.where("match_key IS NOT NULL").select("match_key", F.col("product_id").alias("__k"))
-        open_ = todo.withColumns({"__a": first("__pn"), "__b": first("match_key")}).join(by_part, "__pn", "left").join(by_key, "match_key", "left")
+        first = lambda key, name: todo.groupBy(key).agg(F.min("seq").alias(name))  # noqa: B023, E731
+        open_ = todo.join(first("__a", "__first_a"), "__a").join(first("__b", "__first_b"), "__b")
+        open_ = open_.join(made.select("__a", F.col("product_id").alias("__p")), "__a", "left").join(made.select("__b", F.col("product_id").alias("__k")), "__b", "left")
         # A match by key only counts once no earlier open item could make the item's part number.
-        first_part = F.col("__a").isNull() | (F.col("__a") == F.col("seq"))
+        first_part = F.col("__first_a") == F.col("seq")
         by = F.coalesce("__p", F.when(first_part, F.col("__k")))
-        maker = F.col("__p").isNull() & F.col("__k").isNull() & first_part & (F.col("__b").isNull() | (F.col("__b") == F.col("seq")))
+        maker = F.col("__p").isNull() & F.col("__k").isNull() & first_part & (F.col("__first_b") == F.col("seq"))
         name = F.concat(F.lit("new-"), F.col("seq").cast("string"))
-        open_ = cut(open_.withColumns({"is_new": maker, "product_id": F.when(maker, name).otherwise(by)}).select("seq", "__pn", "match_key", "product_id", "is_new"))
-        done = cut(done.unionByName(open_.where("product_id IS NOT NULL").select("seq", "product_id", "is_new")))
-        made = cut(made.unionByName(open_.where("is_new").drop("is_new")))
-        todo = cut(open_.where("product_id IS NULL").select("seq", "__pn", "match_key"))
+        open_ = cut(open_.select("seq", "__a", "__b", F.when(maker, name).otherwise(by).alias("product_id"), maker.alias("is_new")))
+        # Every round is a checkpoint, so these unions of rounds stay flat.
+        done = done.unionByName(open_.where("product_id IS NOT NULL").select("seq", "product_id", "is_new"))
+        made = made.unionByName(open_.where("is_new").drop("is_new"))
+        todo = open_.where("product_id IS NULL").select("seq", "__a", "__b")
         if todo.isEmpty():
             break
     else:
@@ -59,6 +62,36 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     return items.join(done, "seq")
 
 
+def reference_specs(items: DataFrame, reference: DataFrame) -> DataFrame:
+    """(product_id, key, value_text, source) for items (product_id, category, title) whose chip a reference table knows.
+
+    ``reference`` has (category, chip_id, name, launch, specs map); name and launch become attributes too.
+    """
+    known = items.withColumn("chip_id", chip_id(F.col("category"), F.col("title"))).where("chip_id IS NOT NULL").join(reference, ["category", "chip_id"])
+    own = F.map_filter(F.create_map(F.lit("reference_model"), F.col("name"), F.lit("launch"), F.col("launch")), lambda _, v: v.isNotNull() & (v != ""))
+    pairs = F.concat(F.map_entries(F.map_filter(own, lambda k, _: ~F.map_contains_key("specs", k))), F.map_entries("specs"))
+    return known.select("product_id", F.explode(pairs).alias("p")).select("product_id", F.col("p.key").alias("key"), F.col("p.value").alias("value_text"), F.lit("reference").alias("source"))
+
+
+def run(raw: DataFrame, known_skus: DataFrame, known_parts: DataFrame, known_keys: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
+    """One batch from raw listings to tables.
+
+    ``raw`` has (seq, store_id, store_sku, category, title, maker, price_cash, in_stock). Noise
+    goes, of a (store, SKU) the first arrival stays, items are resolved to products, and listings
+    (store_id, store_sku, product_id, price_cash, in_stock) are upserted. ``changes`` are the listings whose price
+    or stock differs from before.
+    """
+    kept = raw.where(~F.coalesce(is_noise(F.col("category"), F.col("title")), F.lit(False)))
+    first = keep_first(kept, ["store_id", "store_sku"], ["seq"])
+    items = first.withColumns({"match_key": match_key(F.col("title")), "part_number": part_number(F.col("title"))})
+    resolved = cut(resolve(items, known_skus, known_parts, known_keys))
+    now = resolved.select("store_id", "store_sku", "product_id", "price_cash", "in_stock")
+    after = upsert(listings, now, ["store_id", "store_sku"], ["price_cash", "in_stock"], ["product_id"])
+    before = listings.select("store_id", "store_sku", F.struct("price_cash", "in_stock").alias("__old"))
+    changes = now.join(before, ["store_id", "store_sku"], "left").where(~F.struct("price_cash", "in_stock").eqNullSafe(F.col("__old"))).drop("__old")
+    return {"resolved": resolved, "products": new_products(resolved), "listings": after, "changes": changes, "review": review_queue(resolved)}
+
+
 def new_products(resolved: DataFrame) -> DataFrame:
     """Rows for the products that a batch made."""
     made = resolved.where("is_new")
@@ -84,7 +117,7 @@ def merge_attributes(rows: DataFrame) -> DataFrame:
 
     Text is cut at 256 characters; number and truth value stand beside it where the text is one.
     """
-    level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]), F.col("source")), F.lit(-1))
+    level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]), F.col("source")), F.lit(OTHER))
     best = rows.where(F.trim("value_text") != "").groupBy("product_id", "key").agg(F.max_by(F.struct(F.substring("value_text", 1, 256).alias("value_text"), "source"), F.struct(level, "seq")).alias("v"))
     out = best.select("product_id", "key", "v.*")
     return out.withColumns({"value_num": value_num(F.col("value_text")), "value_bool": value_bool(F.col("value_text"))})

@@ -51,6 +51,11 @@ def price_series(history: DataFrame) -> DataFrame:
     return history.groupBy("product_id", "day").agg(F.min("price_cash").alias("min_price"))
 
 
+def recent_series(daily: DataFrame, today: Column, days: int = 90) -> DataFrame:
+    """A daily series over the last 1 to 365 days, oldest first within a product."""
+    return daily.where(F.col("day") >= F.date_sub(today, max(1, min(days, 365))))
+
+
 def insights(series: DataFrame, price: str = "min_price") -> DataFrame:
     """One row per product of a daily series: current price, drops over 1 and 7 days,
     "lowest in N days" and the anomaly flag. One shuffle; a product's series is at most its retained days."""

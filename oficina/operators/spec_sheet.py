@@ -18,6 +18,20 @@ LABELS = [
     ("gpu", "clock", None, "clock_block"), ("gpu", "nucleos cuda", "cuda_cores", "int"), ("gpu", "conectores de energia", "power_connectors", "power"), ("gpu", "fonte recomendada", "recommended_psu_w", "int"),
     ("gpu", "suporte a apis", None, "apis_block"), ("gpu", "gpu", None, "gpu_name_or_chip"), ("gpu", "garantia", None, "skip"), ("cpu", "soquete", "socket", "socket"), ("cpu", "nucleos", "cores", "int"),
     ("cpu", "threads", "threads", "int"), ("cpu", "tdp", "tdp_w", "int"), ("cpu", "clock base", "base_clock_mhz", "mhz"), ("cpu", "graficos integrados", "has_igpu", "bool"),
+    ("gpu", "motor grafico", "gpu_model", "text"), ("gpu", "arquitetura", "gpu_architecture", "text"), ("gpu", "padrao de onibus", "interface", "pcie"), ("gpu", "barramento", "interface", "pcie"),
+    ("gpu", "directx", "directx", "text"), ("gpu", "opengl", "opengl", "text"), ("gpu", "relogio do motor", None, "clock_block"), ("gpu", "relogio base", "base_clock_mhz", "mhz"),
+    ("gpu", "relogio boost", "boost_clock_mhz", "mhz"), ("gpu", "relogio de memoria", "memory_clock_gbps", "gbps"), ("gpu", "tamanho de memoria", None, "gpu_memory"), ("gpu", "tipo de memoria", "memory_type", "mem_type"),
+    ("gpu", "largura de banda", "bandwidth_gbps", "gbps"), ("gpu", "processadores de fluxo", "stream_processors", "int"), ("gpu", "nucleos tensor", "tensor_cores", "int"), ("gpu", "nucleos rt", "rt_cores", "int"),
+    ("gpu", "resolucao maxima", "max_resolution", "text"), ("gpu", "saidas de video", "video_outputs", "list"), ("gpu", "entradas", "video_outputs", "list"), ("gpu", "hdcp", "hdcp", "bool"),
+    ("gpu", "consumo", "tdp_w", "int"), ("gpu", "tdp", "tdp_w", "int"), ("gpu", "comprimento", "length_mm", "int"), ("gpu", "litografia", "process_nm", "int"), ("gpu", "peso", "weight", "text"), ("gpu", "marca", None, "skip"), ("gpu", "modelo", None, "skip"),
+    ("cpu", "clock boost", "boost_clock_mhz", "mhz"), ("cpu", "cache l2", "cache_l2_mb", "int"), ("cpu", "cache l3", "cache_l3_mb", "int"), ("cpu", "tipo de memoria", "memory_type", "mem_type"),
+    ("cpu", "cooler incluso", "cooler_included", "bool"), ("cpu", "litografia", "process_nm", "int"), ("cpu", "marca", None, "skip"), ("cpu", "modelo", None, "skip"),
+    ("memory", "capacidade", "capacity_gb", "int"), ("memory", "velocidade", "speed_mhz", "int"), ("memory", "latencia", "cas_latency", "int"), ("memory", "tensao", "voltage_v", "num"), ("memory", "rgb", "rgb", "bool"),
+    ("storage", "capacidade", "capacity_gb", "int"), ("storage", "leitura", "read_mbps", "int"), ("storage", "gravacao", "write_mbps", "int"), ("storage", "tbw", "tbw", "int"), ("storage", "formato", "form_factor", "text"),
+    ("psu", "eficiencia", "efficiency", "text"), ("psu", "modular", "modular", "bool"), ("psu", "conectores", "connectors", "list"), ("psu", "ventoinha", "fan_mm", "int"), ("psu", "dimensoes", None, "dims"),
+    ("motherboard", "soquete", "socket", "socket"), ("motherboard", "memoria maxima", "max_memory_gb", "int"), ("motherboard", "slots m.2", "m2_slots", "int"), ("motherboard", "sata", "sata_ports", "int"), ("motherboard", "rede", "network", "text"),
+    ("cooler", "soquetes suportados", "socket_support", "list"), ("cooler", "altura", "height_mm", "int"), ("cooler", "radiador", "radiator_mm", "int"), ("cooler", "rpm", "max_rpm", "int"), ("cooler", "ruido", "noise_dba", "num"),
+    ("case", "formatos suportados", "supported_form_factors", "list"), ("case", "placa de video", "max_gpu_length_mm", "int"), ("case", "altura cooler", "max_cooler_height_mm", "int"), ("case", "radiador", "radiator_support_mm", "list"), ("case", "dimensoes", None, "dims"),
     ("motherboard", "memoria", None, "mobo_memory"), ("motherboard", "chipset", "chipset", "chipset"), ("motherboard", "formato", "form_factor", "form_factor"),
     ("storage", "interface", "interface", "storage_iface"), ("cooler", "tipo", "type", "cooler_type"), ("memory", "tipo", "type", "mem_type"), ("psu", "potencia", "wattage", "int"),
 ]
@@ -27,13 +41,29 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LABELS, "category string, rule string, key string, kind string")
 
 
+KINDS = [
+    "int", "num", "mhz", "gbps", "bits", "pcie", "power", "bool", "list", "mem_type", "socket", "form_factor", "chipset", "storage_iface", "cooler_type", "text", "skip",
+    "gpu_memory", "mobo_memory", "clock_block", "dims", "iface_or_outputs", "apis_block", "gpu_name_or_chip",
+]
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A whole label table from JSON lines (category, label, key, kind): labels normalised, unknown kinds refused."""
+    table = spark.read.schema("category string, label string, key string, kind string").json(path)
+    odd = table.where(F.col("category").isNull() | F.col("label").isNull() | ~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))).limit(1).collect()
+    if odd:
+        raise ValueError(f"not a label rule: {odd[0].asDict()}")
+    return table.select("category", normalize(F.col("label")).alias("rule"), "key", "kind").distinct()
+
+
 def matched(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Pairs with the rule of their label: the equal label, else the longest one inside it that leaves at most 12 characters."""
     if table.limit(MOST_RULES + 1).count() > MOST_RULES:
         raise ValueError("too many rules to broadcast")
     t = F.broadcast(table.withColumnRenamed("category", "__category"))
     norm = normalize(F.col("label"))
-    rest = F.length(F.trim(F.regexp_replace(F.col("__label"), F.concat(F.lit("^(.*?)"), F.col("rule")), "$1")))
+    at = F.instr(F.col("__label"), F.col("rule"))
+    rest = F.length(F.trim(F.concat(F.substring(F.col("__label"), F.lit(1), at - 1), F.substring(F.col("__label"), at + F.length("rule"), F.length("__label")))))
     fits = (F.col("category") == F.col("__category")) & ((F.col("__label") == F.col("rule")) | (F.contains("__label", "rule") & (rest <= LEFT_OVER)))
     out = pairs.withColumn("__label", norm).join(t, fits).drop("__category")
     keys = [c for c in pairs.columns]

@@ -372,19 +372,19 @@ _CATS = ["cpu", "gpu", "motherboard", "memory", "storage", "psu", "cooler", "cas
 
 def _parts(spark, sf):
     t = view(spark, sf, "titles")
-    p = table(spark, sf, "part")
-    rows = None
+    pairs = None  # one scan: the attributes of a part are chosen by its category
     for i, cat in enumerate(_CATS):
-        pairs = [F.struct(F.lit(k).alias("key"), F.expr(e).alias("value_text")) for k, e in _ATTRS[cat].items()]
-        part = p.where(F.col("p_partkey") % 8 == i).select(F.col("p_partkey").alias("product_id"), F.explode(F.array(*pairs)).alias("a")).select("product_id", "a.*").where("value_text IS NOT NULL")
-        rows = part if rows is None else rows.unionByName(part)
+        own = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(e).alias("value_text")) for k, e in _ATTRS[cat].items()])
+        is_own = F.col("p_partkey") % 8 == i
+        pairs = F.when(is_own, own) if pairs is None else pairs.when(is_own, own)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.explode(pairs).alias("a")).select("product_id", "a.*").where("value_text IS NOT NULL")
     maps = compatibility.attribute_map(rows)
     return t.select("product_id", "category", text.match_key(F.col("title")).alias("model"), F.col("title").alias("name")).join(maps, "product_id")
 
 
 def _builds(spark, sf):
     items = view(spark, sf, "build_items").select("build_id", "seq", F.col("part_id").alias("product_id"))
-    return compatibility.with_seeds(compatibility.snapshot(items.join(_parts(spark, sf), "product_id")))
+    return compatibility.with_seeds(compatibility.snapshot(items.join(compatibility.typed(_parts(spark, sf)), "product_id")))
 
 
 def _compat_sql() -> str:
@@ -568,9 +568,15 @@ def stream_over_limit(spark, sf):
     return over.groupBy("event_type").agg(F.count("*").alias("minutes"))
 
 
+def _all() -> dict:
+    from . import extra  # noqa: F401  registers its queries
+
+    return _ALL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

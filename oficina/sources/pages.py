@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import found, match_key, part_number, price_br
 
 ITEM = "array<struct<code:bigint,name:string,friendlyName:string,manufacturer:struct<name:string>,priceWithDiscount:double,price:double,maxInstallment:string,available:boolean,thumbnail:string>>"
+#: Positions of a page's technical text lie behind those of its description.
+AFTER = 1_000_000
 _EMBEDDED = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 # Words of section titles that open a specification section.
 SPEC_SECTIONS = "especifica|caracter|ficha|informac|detalhe"
@@ -70,6 +74,51 @@ def cards(df: DataFrame, href_col: str, text_col: str, price_pattern: str, marke
     })
 
 
+def unescaped(html: Column) -> Column:
+    """Named and numbered character references as characters; unknown ones stay."""
+    ref = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
+    named = F.str_to_map(F.lit(";".join(f"{name}={chr(code)}" for name, code in name2codepoint.items())), F.lit(";"), F.lit("="))
+
+    def char(r: Column) -> Column:
+        number = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 9), 16, 10)).when(r.startswith("#"), F.substring(r, 2, 9)).cast("int")
+        coded = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(F.element_at(named, r), coded, F.concat(F.lit("&"), r, F.lit(";")))
+
+    chars = F.concat(F.transform(F.regexp_extract_all(html, F.lit(ref), F.lit(1)), char), F.array(F.lit("")))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(html, ref, -1), chars, lambda a, b: F.array(a, b))), "")
+    return F.when(html.rlike(ref), joined).otherwise(html)
+
+
+def _plain(html: Column) -> Column:
+    """Text of HTML without its tags: breaks as line ends, references as characters, a no-break space as a blank."""
+    t = F.regexp_replace(F.regexp_replace(html, r"<br\s*/?>|</p>", "\n"), "<[^>]+>", "")
+    return F.replace(unescaped(t), F.lit("\u00a0"), F.lit(" "))
+
+
+def product_sheets(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFrame:
+    """(id..., pos, label, value) of server-rendered product pages.
+
+    A page has two sheets: the free description, of which only specification sections count, and the
+    technical text, all of which counts. The latter's rows come after the former's, so they win where a key repeats.
+    """
+    product = F.get_json_object(embedded(F.col(html_col)), "$.props.pageProps.product")
+    both = pages.select(*id_cols, F.get_json_object(product, "$.description").alias("__d"), F.get_json_object(product, "$.technicalInformation.text").alias("__t"))
+    free = spec_pairs(both.where("__d <> ''"), id_cols, "__d", gated=True)
+    technical = spec_pairs(both.where("__t <> ''"), id_cols, "__t")
+    return free.unionByName(technical.withColumn("pos", F.col("pos") + F.lit(AFTER)))
+
+
+def table_pairs(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFrame:
+    """(id..., pos, label, value) of tables (``th`` and ``td`` of a row) and of paragraphs that start with a bold label."""
+    html = F.col(html_col)
+    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.struct(found(r, r"(?is)<th[^>]*>(.*?)</th>").alias("label"), found(r, r"(?is)<td[^>]*>(.*?)</td>").alias("value")))
+    bold = r"(?is)<strong[^>]*>(.*?)</strong>"
+    paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda r: F.struct(found(r, bold).alias("label"), F.regexp_replace(r, bold, "").alias("value")))
+    out = pages.select(*id_cols, F.posexplode(F.concat(rows, paragraphs)).alias("pos", "x"))
+    label, value = F.trim(_plain(F.col("x.label"))), F.trim(F.regexp_replace(_plain(F.col("x.value")), r"^\s*:?\s*|\s+$", ""))
+    return out.select(*id_cols, "pos", label.alias("label"), value.alias("value")).where("label <> '' AND value <> ''")
+
+
 def spec_pairs(df: DataFrame, id_cols: list[str], html_col: str, gated: bool = False) -> DataFrame:
     """(id..., pos, label, value) of spec sheets in HTML.
 
@@ -78,8 +127,7 @@ def spec_pairs(df: DataFrame, id_cols: list[str], html_col: str, gated: bool = F
     """
     t = F.regexp_replace(F.regexp_replace(F.col(html_col), r"<br\s*/?>|</p>", "\n"), "<li[^>]*>", "\n- ")
     t = F.regexp_replace(t, "<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.replace(unescaped(t), F.lit("\u00a0"), F.lit(" "))
     lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: ~x.isin("", "-", "•", "*"))
     rows = df.select(*id_cols, F.posexplode(lines).alias("pos", "line"))
     bullet = F.substring("line", 1, 1).isin("-", "•", "*")
