@@ -15,12 +15,25 @@ def sellable() -> Column:
     return F.col("in_stock") & F.col("price_cash").isNotNull()
 
 
+def differing(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """Rows of each listing whose price or stock differs from the row before, by ``part`` and then ``order``.
+
+    Rows are compared within a part, and the first of a part with the last of the part before, so that a
+    listing with very many rows is dealt out by its parts.
+    """
+    now = F.struct("price_cash", "in_stock")
+    within = Window.partitionBy("listing_id", part).orderBy(*order)
+    out = rows.withColumns({"__n": F.row_number().over(within), "__before": F.lag(now).over(within)})
+    ends = rows.groupBy(F.col("listing_id").alias("__l"), F.col(part).alias("__p")).agg(F.max_by(now, F.struct(*order)).alias("__last"))
+    ends = ends.select("__l", "__p", F.lag("__last").over(Window.partitionBy("__l").orderBy("__p")).alias("__prev"))
+    out = out.join(ends, F.col("listing_id").eqNullSafe(F.col("__l")) & F.col(part).eqNullSafe(F.col("__p")))
+    before = F.when(F.col("__n") == 1, F.col("__prev")).otherwise(F.col("__before"))
+    return out.where(~before.eqNullSafe(now)).select(*rows.columns)
+
+
 def changes_only(history: DataFrame) -> DataFrame:
     """The observations of each listing that differ in price or stock from the one before; null prices become 0."""
-    w = Window.partitionBy("listing_id").orderBy("collected_at", "event_id")
-    first = F.lag("event_id").over(w).isNull()
-    same = F.lag("price_cash").over(w).eqNullSafe(F.col("price_cash")) & F.lag("in_stock").over(w).eqNullSafe(F.col("in_stock"))
-    kept = history.withColumn("__new", first | ~same).where("__new").drop("__new")
+    kept = differing(history, "day", ["collected_at", "event_id"])
     return kept.withColumn("price_cash", F.coalesce("price_cash", F.lit(0).cast("decimal(12,2)")))
 
 

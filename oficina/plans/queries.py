@@ -552,7 +552,7 @@ _SEEN = bindings.sql("history") + ", m AS (SELECT max(ts) AS t FROM events)"
 SELECT listing_id, v AS price_cash, in_stock FROM c WHERE e IS NULL OR p IS DISTINCT FROM price_cash OR s IS DISTINCT FROM in_stock""")
 def stream_change_history(spark, sf):
     """STR1-2: change-only history with state, driven once over everything that has landed."""
-    return streams.run_once(streams.change_only(_stream(spark, sf).drop("product_id", "event_type")), "changes", own_folder(spark, "stream")).drop("collected_at")
+    return streams.change_batches(_stream(spark, sf).drop("product_id", "event_type"), own_folder(spark, "stream")).drop("collected_at")
 
 
 @query(_SEEN + " SELECT product_id, day, min(price_cash) AS min_price FROM history, m WHERE in_stock AND price_cash > 0 AND day + 1 <= t - INTERVAL 1 DAY GROUP BY product_id, day", day="d", min_price="n")

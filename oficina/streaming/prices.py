@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.prices import differing
+
 _OUT = "listing_id long, price_cash double, in_stock boolean, collected_at timestamp"
 
 
@@ -37,6 +39,33 @@ def change_only(stream: DataFrame) -> DataFrame:
     return stream.groupBy("listing_id").applyInPandasWithState(step, _OUT, "price double, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def change_batches(stream: DataFrame, folder: str, name: str = "changes") -> DataFrame:
+    """As ``change_only``, in native expressions: each micro-batch meets the last price and stock of its listings.
+
+    A batch writes its changes and the listings' last rows under its number, so a batch that runs again
+    writes the same. Gives back all changes.
+    """
+    spark = stream.sparkSession
+    columns = ["listing_id", "price_cash", "in_stock", "collected_at"]
+    out, last = f"{folder}/{name}-out", f"{folder}/{name}-last"
+    schema = stream.select(*columns).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/none")
+
+    def step(batch: DataFrame, n: int) -> None:
+        rows = batch.select(*columns, F.to_date("collected_at").alias("day"), F.lit(1).alias("turn"))
+        if n > 0:  # what was last seen comes before everything: its day is null
+            seen = batch.sparkSession.read.schema(schema).parquet(f"{last}/{n - 1}")
+            rows = rows.unionByName(seen.withColumns({"day": F.lit(None).cast("date"), "turn": F.lit(0)}))
+        new = differing(rows, "day", ["collected_at"]).where("turn = 1").select(*columns)
+        new.withColumn("price_cash", F.coalesce("price_cash", F.lit(0.0))).write.mode("overwrite").parquet(f"{out}/{n}")
+        ends = rows.groupBy("listing_id").agg(F.max_by(F.struct("price_cash", "in_stock", "collected_at"), F.struct("turn", "collected_at")).alias("x"))
+        ends.select("listing_id", "x.*").write.mode("overwrite").parquet(f"{last}/{n}")
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/*")
+
+
 def daily_minimum(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Smallest positive in-stock price per product and day, final once the watermark has passed the day."""
     rows = stream.where("in_stock AND price_cash > 0").withWatermark("collected_at", late)
