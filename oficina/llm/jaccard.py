@@ -22,7 +22,7 @@ reachable by links. No link between different texts is lost:
 4. Cells meet where the bound leaves a link open. The smaller of two linked sets has its
    first common token where partners of its own size are still open, so one side of that
    join holds only such cells (``near``): a token that many texts have late in their order
-   meets nothing. Of each pair of groups the two members that meet in the most tokens are compared first,
+   meets nothing. A pair that meets is bounded again by all its common stored tokens. Of each pair of groups the two members that meet in the most tokens are compared first,
    on their whole texts; a link connects the groups and nothing more is asked of them.
    Of the pairs of groups still apart, the members of the smaller one are queries to the larger:
    each query's tokens are bounded against the group's cells, and only for what qualifies is the group
@@ -244,6 +244,21 @@ def _open(l: str, r: str, percent: int):
     return sizes & (c("reach", l) >= c("lo", r)) & (c("reach", r) >= c("lo", l))
 
 
+def _bounded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose common stored tokens, with all that may lie behind the stored ones, can reach a link.
+
+    Of the two lists of stored tokens one ends first in the common order; every common token up to
+    there is among the common stored ones, and behind it the set has ``need - 1`` tokens left.
+    """
+    out = pairs
+    for c in "ab":
+        out = out.join(cells.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")), c)
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    left = F.floor((percent * F.greatest("n_a", "n_b") + 99) / 100) - 1
+    fits = (100 + percent) * (common + left) >= percent * (F.col("n_a") + F.col("n_b"))
+    return out.where(fits).select(*pairs.columns).distinct()
+
+
 def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n, key, c, component_id) for every row of ``df``; c is the component (null without tokens)."""
     whole_set = ["h1", "h2"]
@@ -266,6 +281,9 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: in
     nameless = prefixes(df.where(F.col(id_col).isNull()), id_col, text_col, frequent, width, percent)
     nameless = nameless.join(groups.where("rep IS NULL").select("cls", *whole_set, "n", "g", "single"), whole_set).select(*columns)
     cells = stored(named.select(*columns).union(nameless.dropDuplicates(["cls"])), "cells")
+    # Rows that repeat an id and a text would each bring their cells.
+    if not sigs.where("n > 0").groupBy("id", *whole_set).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        cells = stored(cells.dropDuplicates(["cls"]), "cells")
     flat = _flat(cells, percent)
     close = F.col("reach") >= F.col("n")
     many = flat.where("not single").groupBy("token", "g").agg(F.min("cls").alias("cls"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"), F.max(close).alias("near"))
@@ -279,7 +297,8 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: in
     met = met.select(*ends, *pair).groupBy("x", "y", "a", "b").agg(F.count("*").alias("common"))
     met = met.groupBy("x", "y").agg(F.max(F.struct("common", "a", "b")).alias("best"))
     opened = stored(met.select("x", "y", "best.a", "best.b"), "opened")
-    links = verified(opened.select("a", "b"), classes, df, id_col, text_col, width, percent).join(opened, ["a", "b"]).select("x", "y")
+    tried = stored(_bounded(opened.select("a", "b"), cells, percent), "tried")
+    links = verified(tried, classes, df, id_col, text_col, width, percent).join(opened, ["a", "b"]).select("x", "y")
     links = stored(links, "links")
     first = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # What is not connected yet is opened, if it has members that were not compared: those of
@@ -300,7 +319,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: in
     asking = asking.join(union, ["token", "g"]).where(_open("q", "g", percent)).drop("lo_g", "hi_g", "reach_g")
     inside = inside.select("token", "g", "b", F.col("n").alias("lo_m"), F.col("n").alias("hi_m"), F.col("reach").alias("reach_m"))
     pairs = asking.join(inside, ["token", "g"]).where(_open("q", "m", percent)).select("a", "b", F.col("q").alias("x"), F.col("g").alias("y")).distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(_bounded(pairs, cells, percent), "pairs")
     more = verified(pairs.select("a", "b"), classes, df, id_col, text_col, width, percent).join(pairs, ["a", "b"]).select("x", "y")
     links = links.union(more)
     # 5: components over groups.
@@ -327,16 +346,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text: in a group without any id one text stays, and none beside an id.
     """
     rows = stored(_labelled(df, id_col, text_col, WIDTH, PERCENT), "labelled")
-    named = df.where(F.col(id_col).isNotNull())
-    rep = rows.where(F.col("component_id") == F.col("id")).select(F.col("id").alias("__rep")).distinct()
-    kept = named.join(rep, F.col(id_col) == F.col("__rep"), "left_semi")
-    again = named.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__k")).where("__k > 1").select("__again")
-    same = F.col(id_col) == F.col("__again")
-    kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    docs = df.select(F.struct(*df.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = docs.where("id IS NOT NULL")
+    kept = named.join(rows.where("component_id = id").select("id").distinct(), "id", "left_semi")
+    again = named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    kept = kept.join(again, "id", "left_anti").select("doc").union(kept.join(again, "id", "left_semi").dropDuplicates(["id", "text"]).select("doc"))
     nameless = rows.where("id IS NULL AND component_id IS NULL")
-    keys = nameless.where("n > 0").groupBy("c").agg(F.min("key").alias("__key")).select("__key").union(nameless.where("n = 0").select("key").distinct())
-    other = df.where(F.col(id_col).isNull()).join(keys, F.xxhash64(text_col) == F.col("__key"), "left_semi")
-    return kept.union(other.dropDuplicates([text_col]))
+    keys = nameless.where("n > 0").groupBy("c").agg(F.min("key").alias("key")).select("key").union(nameless.where("n = 0").select("key").distinct())
+    other = docs.where("id IS NULL").join(keys, F.xxhash64("text") == keys["key"], "left_semi")
+    return kept.select("doc").union(other.dropDuplicates(["text"]).select("doc")).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
