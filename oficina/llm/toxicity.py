@@ -7,7 +7,7 @@ Training reads at most about ``train_rows`` labelled rows (a parameter); their
 features are hashed on the executors, only the buckets reach the driver.
 
 Edge cases: null and empty texts score as the bias alone; labels other than 0 and
-1 are ignored; of repeated labels of an id the largest counts; without any label
+1 are ignored; of repeated labels of an id the largest counts, of repeated texts too; without any label
 every score is 0; repeated rows are scored one by one.
 """
 
@@ -64,6 +64,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     marks = bounded_share(marks, p.train_rows, id_col)
     # At most about train_rows ids and labels: a proven bound for the broadcast.
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(marks), id_col)
+    # An id on many rows counts once, with its largest text.
+    rows = rows.groupBy(id_col).agg(F.max("text").alias("text"), F.max("__label").alias("__label"))
     short_batches(docs.sparkSession)
     bits = p.bits
 
