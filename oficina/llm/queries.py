@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, pieces, pii, quality, token_counts, toxicity, url_filter
+from . import chat, decontaminate, jaccard, langid, licenses, merkle, pieces, pii, quality, token_counts, toxicity, url_filter, whitening
 from .common import documents, remainder
 
 
@@ -41,8 +41,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": licenses.query,
         "op10_quality_rules": quality.query,
+        "op11_whitening": whitening.query,
+        "op12_chat_format": chat.query,
+        "op13_merkle_manifest": merkle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.SQL, "op2_url_filter": url_filter.SQL, "op5_jaccard_join": jaccard.SQL, "op9_license_scan": licenses.SQL, "op10_quality_rules": quality.SQL}
+    return {
+        "op1_pii": pii.SQL,
+        "op2_url_filter": url_filter.SQL,
+        "op5_jaccard_join": jaccard.SQL,
+        "op9_license_scan": licenses.SQL,
+        "op10_quality_rules": quality.SQL,
+        "op12_chat_format": chat.SQL,
+        "op13_merkle_manifest": merkle.SQL,
+    }
