@@ -48,8 +48,8 @@ def leaf(columns: list[str], **instead: Column) -> Column:
     return digest(*[encoded(instead.get(c, F.col(f"`{c}`"))) for c in columns])
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """Adds ``place`` (from 0, within the group by ``order``) and ``size`` of the group; and the groups with their sizes.
+def numbered(df: DataFrame, group: str, order: list[str], name: str, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Adds ``place`` (from 0, within the group by ``order``), ``size`` and tree height ``h`` of the group; and the groups with both.
 
     Rows are dealt out by ranges of (group, order) and written with their place in the range; a range's
     start within a group is a running sum over ranges. So a group of any size is spread over many tasks.
@@ -61,89 +61,99 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> tuple[Da
     ranges = stored(ranges, f"{name}-ranges")
     whole = Window.partitionBy("__g")
     so_far = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("__g", "__r", (F.coalesce(F.sum("__n").over(so_far), F.lit(0)) - F.col("__first")).alias("__start"), F.sum("__n").over(whole).alias("size"))
+    starts = ranges.select("__g", "__r", (F.coalesce(F.sum("__n").over(so_far), F.lit(0)) - F.col("__first")).alias("__start"), F.sum("__n").over(whole).alias("size")).withColumn("h", height("size", fan))
     out = rows.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
-    out = out.withColumn("place", F.col("__row") + F.col("__start")).select(*df.columns, "place", "size")
-    return out, ranges.groupBy(F.col("__g").alias(group)).agg(F.sum("__n").alias("size"))
+    out = out.withColumn("place", F.col("__row") + F.col("__start")).select(*df.columns, "place", "size", "h")
+    return out, ranges.groupBy(F.col("__g").alias(group)).agg(F.sum("__n").alias("size")).withColumn("h", height("size", fan))
 
 
-def high(rows: DataFrame, fan: int) -> DataFrame:
-    """Adds ``__h``, the levels from the leaves of a group to its root: the least h with fan ** h >= size."""
+def height(size: str, fan: int) -> Column:
+    """Levels from the leaves of a group to its root: the least h with fan ** h >= size."""
     powers = [fan**e for e in range(64) if fan**e < 1 << 62]
-    return rows.withColumn("__h", reduce(Column.__add__, [(F.col("size") > F.lit(p).cast("long")).cast("int") for p in powers]))
+    return F.size(F.filter(F.array(*[F.lit(p).cast("long") for p in powers]), lambda p: p < F.col(size)))
 
 
 def tree(leaves: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> tuple[list[DataFrame], DataFrame]:
-    """The node table and the roots of leaves (g, size, place, digest).
+    """The node table and the roots of leaves (g, size, h, place, digest).
 
-    The table is a list of parts (g, size, level, place, digest), each with ``deep`` levels and the lowest nodes of
-    the next part; roots are (g, size, digest). One number, the greatest height, goes to the driver.
+    The table is a list of parts (g, size, h, level, place, digest), each with ``deep`` levels and the lowest nodes of
+    the next part; roots are (g, size, h, digest). One number, the greatest height, goes to the driver.
     """
-    most = high(leaves, fan).agg(F.max("__h").alias("h")).first()["h"] or 0
+    most = leaves.agg(F.max("h").alias("h")).first()["h"] or 0
     parts, units, block = [], leaves, fan**deep
     for low in range(0, max(most, 1), deep):
         levels = [F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])]
-        rows = high(units, fan).groupBy("g", "size", "__h", F.expr(f"place div {block}").alias("__block")).agg(levels[0].alias("__0"))
+        rows = units.groupBy("g", "size", "h", F.expr(f"place div {block}").alias("__block")).agg(levels[0].alias("__0"))
         for k in range(1, deep + 1):
             below = f"__{k - 1}"
             runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size({below}) + {fan - 1}) div {fan} - 1").cast("int")), lambda i: F.sha2(F.array_join(F.slice(below, i * fan + 1, fan), ""), 256))  # noqa: B023
-            rows = rows.withColumn(f"__{k}", F.when(F.col("__h") >= low + k, runs))
-        rows = rows.select("g", "size", "__block", F.posexplode(F.array(*[f"__{k}" for k in range(deep + 1)])).alias("__k", "__nodes"))
-        rows = rows.select("g", "size", "__block", "__k", F.posexplode("__nodes").alias("__p", "digest"))
+            rows = rows.withColumn(f"__{k}", F.when(F.col("h") >= low + k, runs))
+        rows = rows.select("g", "size", "h", "__block", F.posexplode(F.array(*[f"__{k}" for k in range(deep + 1)])).alias("__k", "__nodes"))
+        rows = rows.select("g", "size", "h", "__block", "__k", F.posexplode("__nodes").alias("__p", "digest"))
         width = F.element_at(F.array(*[F.lit(fan ** (deep - k)).cast("long") for k in range(deep + 1)]), F.col("__k") + 1)
-        rows = rows.select("g", "size", (F.col("__k") + low).alias("level"), (F.col("__block") * width + F.col("__p")).alias("place"), "digest")
+        rows = rows.select("g", "size", "h", (F.col("__k") + low).alias("level"), (F.col("__block") * width + F.col("__p")).alias("place"), "digest")
         parts.append(stored(rows, f"{name}-nodes-{low}"))
-        units = high(parts[-1].where(F.col("level") == low + deep), fan).where(F.col("__h") > low + deep).drop("level", "__h")
+        units = parts[-1].where((F.col("level") == low + deep) & (F.col("h") > low + deep)).drop("level")
     # A part's highest level stands in the next part again, so each takes the roots that it is the first to have.
-    tops = [high(p, fan).where((F.col("level") == F.col("__h")) & (F.col("__h") >= (i * deep + 1 if i else 0))) for i, p in enumerate(parts)]
-    return parts, reduce(DataFrame.unionByName, tops).select("g", "size", "digest")
+    tops = [p.where((F.col("level") == F.col("h")) & (F.col("h") >= (i * deep + 1 if i else 0))) for i, p in enumerate(parts)]
+    return parts, reduce(DataFrame.unionByName, tops).select("g", "size", "h", "digest")
+
+
+def _levels(low: int, fan: int, deep: int) -> Column:
+    """For k levels above ``low``: the level, the width of its nodes in nodes of ``low`` and in leaves."""
+    return F.array(*[F.struct(F.lit(low + k).alias("level"), F.lit(fan**k).cast("long").alias("width"), F.lit(fan ** (low + k)).cast("long").alias("leaves")) for k in range(deep)])
+
+
+def _whole(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def _coordinates(low: int, fan: int, deep: int) -> Column:
-    """The siblings, as (level, place), of the node at ``place`` of level ``low`` on its way up through ``deep`` levels."""
-    out = []
-    for k in range(deep):
-        here = F.expr(f"place div {fan**k}")
-        nodes = F.expr(f"(size + {fan ** (low + k) - 1}) div {fan ** (low + k)}")
-        for i in range(fan):
-            at = F.expr(f"place div {fan ** (k + 1)} * {fan} + {i}")
-            out.append(F.when((at != here) & (at < nodes) & (F.col("__h") > low + k), F.struct(F.lit(low + k).alias("level"), at.alias("at"))))
-    return F.array_compact(F.array(*out))
+    """The siblings, as (level, at), of the node at ``place`` of level ``low`` on its way up through ``deep`` levels."""
+
+    def run(x: Column) -> Column:
+        here, nodes = _whole(F.col("place"), x["width"]), _whole(F.col("size") + x["leaves"] - 1, x["leaves"])
+        whole = F.transform(F.array(*[F.lit(i) for i in range(fan)]), lambda i: F.struct(x["level"].alias("level"), (_whole(here, F.lit(fan)) * fan + i).alias("at")))
+        return F.filter(whole, lambda c: (c["at"] != here) & (c["at"] < nodes))
+
+    return F.flatten(F.transform(F.filter(_levels(low, fan, deep), lambda x: x["level"] < F.col("h")), run))
 
 
 def paths(leaves: DataFrame, parts: list[DataFrame], above: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> DataFrame:
     """``leaves`` with ``path``, from the leaf's level up: what stands before and after the own digest in each run.
 
-    ``above`` has a row for each group: (g, size, path, ...), with the path of the group's root; its other columns are added.
+    ``above`` has a row for each group: (g, h, path, ...), with the path of the group's root; its other columns are added.
     """
-    more = [c for c in above.columns if c not in ("g", "size", "path")]
+    more = [c for c in above.columns if c not in ("g", "size", "h", "path")]
     upper = None
     for i in reversed(range(len(parts))):
         low = i * deep
         if i:
-            units, own = parts[i].where(F.col("level") == low).select("g", "size", "place"), []
+            units, own = parts[i].where(F.col("level") == low).select("g", "size", "h", "place"), []
         else:
-            units, own = leaves, [c for c in leaves.columns if c not in ("g", "size", "place")]
-        asked = high(units, fan).select("g", "size", "place", "__h", *own, F.posexplode_outer(_coordinates(low, fan, deep)).alias("__n", "__c"))
+            units, own = leaves, [c for c in leaves.columns if c not in ("g", "size", "h", "place")]
+        asked = units.select("g", "size", "h", "place", *own, F.posexplode_outer(_coordinates(low, fan, deep)).alias("__n", "__c"))
         # A unit's own columns travel with its first coordinate only.
         carried = F.when(F.coalesce(F.col("__n"), F.lit(0)) == 0, F.struct(F.lit(True).alias("__"), *own))
-        asked = asked.select("g", "size", "place", "__h", carried.alias("__own"), F.col("__c.level").alias("__level"), F.col("__c.at").alias("__at"))
+        asked = asked.select("g", "size", "h", "place", carried.alias("__own"), F.col("__c.level").alias("__level"), F.col("__c.at").alias("__at"))
         nodes = parts[i].select(F.col("g").alias("__g"), F.col("level").alias("__l"), F.col("place").alias("__p"), "digest")
         found = asked.join(nodes, (F.col("g") == F.col("__g")) & (F.col("__level") == F.col("__l")) & (F.col("__at") == F.col("__p")), "left")
         sibling = F.when(F.col("digest").isNotNull(), F.struct("__level", "__at", "digest"))
-        rows = found.groupBy("g", "size", "place", "__h").agg(F.max("__own").alias("__own"), F.array_sort(F.collect_list(sibling)).alias("__s"))
-        steps = []
-        for k in range(deep):
-            here = F.expr(f"place div {fan**k}")
-            side = lambda test, k=k: F.array_join(F.transform(F.filter("__s", lambda s: (s["__level"] == low + k) & test(s["__at"])), lambda s: s["digest"]), "")  # noqa: B023, E731
-            steps.append(F.when(F.col("__h") > low + k, F.struct(side(lambda a, h=here: a < h).alias("before"), side(lambda a, h=here: a > h).alias("after"))))
-        rows = rows.select("g", "size", "place", *[f"__own.`{c}`" for c in own], F.array_compact(F.array(*steps)).alias("__path"))
+        rows = found.groupBy("g", "size", "h", "place").agg(F.max("__own").alias("__own"), F.array_sort(F.collect_list(sibling)).alias("__s"))
+
+        def step(x: Column) -> Column:
+            here, run = _whole(F.col("place"), x["width"]), F.filter("__s", lambda s: s["__level"] == x["level"])
+            joined = lambda side: F.array_join(F.transform(F.filter(run, lambda s: side(s["__at"])), lambda s: s["digest"]), "")
+            return F.struct(joined(lambda at: at < here).alias("before"), joined(lambda at: at > here).alias("after"))
+
+        steps = F.transform(F.filter(_levels(low, fan, deep), lambda x: x["level"] < F.col("h")), step)
+        rows = rows.select("g", "size", "h", "place", *[f"__own.`{c}`" for c in own], steps.alias("__path"))
         # Above a block stands the next part's unit of its number, or, where the group ends here, the group.
-        ends = high(above, fan).where((F.col("__h") <= low + deep) & (F.col("__h") > (low if i else -1))).withColumn("__block", F.lit(0).cast("long")).drop("size", "__h")
+        ends = above.where((F.col("h") <= low + deep) & (F.col("h") > (low if i else -1))).withColumn("__block", F.lit(0).cast("long")).drop("size", "h")
         over = ends if upper is None else ends.unionByName(upper.select("g", "path", *more, F.col("place").alias("__block")))
         over = over.withColumnsRenamed({"g": "__g", "path": "__above"})
         rows = rows.join(over, (F.col("g") == F.col("__g")) & (F.expr(f"place div {fan**deep}") == F.col("__block")))
-        rows = rows.select("g", "size", "place", *own, F.concat("__path", "__above").alias("path"), *more)
+        rows = rows.select("g", "size", "h", "place", *own, F.concat("__path", "__above").alias("path"), *more)
         upper = stored(rows, f"{name}-paths-{i}") if i else rows
     return upper
 
@@ -163,20 +173,20 @@ def manifest(leaves: DataFrame, group: str, order: list[str], fan: int = FAN, de
 
     ``order`` puts the leaves of a group into their places; the digest is the last key.
     """
-    rows, groups = numbered(leaves, group, [*order, "digest"], "leaves")
+    rows, groups = numbered(leaves, group, [*order, "digest"], "leaves", fan)
     # The groups' own tree: one group, named 0, whose leaves are the groups in order.
-    numbers, _ = numbered(groups.select(F.lit(0).cast("long").alias("__all"), F.col(group).alias("__name"), F.col("size").alias("__rows")), "__all", ["__name"], "groups")
-    numbers = stored(numbers, "group-numbers")
-    names = numbers.select(F.col("__name"), F.col("place").alias("g"))
+    named = groups.select(F.lit(0).cast("long").alias("__all"), F.col(group).alias("__name"), F.col("h").alias("__rows_h"))
+    numbers = stored(numbered(named, "__all", ["__name"], "groups", fan)[0], "group-numbers")
+    names = numbers.select("__name", F.col("place").alias("g"))
     rows = stored(rows.join(names, F.col(group).eqNullSafe(F.col("__name"))).drop("__name"), "places")
-    parts, roots = tree(rows.select("g", "size", "place", "digest"), "rows", fan, deep)
-    tops = numbers.drop("__rows").join(roots.select(F.col("g").alias("place"), "digest"), "place").select(F.lit(0).cast("long").alias("g"), "size", "place", "digest")
-    tops = stored(tops, "subroots")
+    parts, roots = tree(rows.select("g", "size", "h", "place", "digest"), "rows", fan, deep)
+    tops = numbers.select("size", "h", "place").join(roots.select(F.col("g").alias("place"), "digest"), "place")
+    tops = stored(tops.select(F.lit(0).cast("long").alias("g"), "size", "h", "place", "digest"), "subroots")
     top_parts, root = tree(tops, "groups", fan, deep)
-    start = root.select("g", "size", F.array().cast("array<struct<before:string,after:string>>").alias("path"), F.col("digest").alias("root"))
+    start = root.select("g", "h", F.array().cast("array<struct<before:string,after:string>>").alias("path"), F.col("digest").alias("root"))
     above = paths(tops.withColumnRenamed("digest", "subroot"), top_parts, start, "groups", fan, deep)
-    above = numbers.select(F.col("place").alias("g"), F.col("__rows").alias("size")).join(above.select(F.col("place").alias("g"), "path", "subroot", "root"), "g")
-    return paths(rows, parts, stored(above, "groups-above"), "rows", fan, deep).drop("g", "size", "place")
+    above = numbers.select(F.col("place").alias("g"), F.col("__rows_h").alias("h")).join(above.select(F.col("place").alias("g"), "path", "subroot", "root"), "g")
+    return paths(rows, parts, stored(above, "groups-above"), "rows", fan, deep).drop("g", "size", "h", "place")
 
 
 def tampered(id_col: str, text_col: str) -> Column:
