@@ -25,7 +25,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +62,18 @@ class Rendered:
     rewrites: list[int] = field(default_factory=list)
 
 
+def common(a: str, b: str) -> int:
+    """The length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def trace(turns: list[Turn], render: Callable[[list[Turn]], str]) -> Rendered:
     """Render every prefix and compare each output with the one before."""
     out = Rendered(render([]))
@@ -70,16 +81,16 @@ def trace(turns: list[Turn], render: Callable[[list[Turn]], str]) -> Rendered:
         now = render(turns[: k + 1])
         kept = len(out.text)
         if not now.startswith(out.text):
-            kept = len(commonprefix([out.text, now]))
+            kept = common(out.text, now)
             out.rewrites.append(k)
             out.texts = [t if t and t[1] <= kept else None for t in out.texts]
             out.spans = [(s[0], min(s[1], kept)) if s and t else None for s, t in zip(out.spans, out.texts)]
         out.spans.append((kept, len(now)))
         # The same prefix with the mark as its last text: equal up to the text and after it.
         marked = render([*turns[:k], (turns[k][0], MARK)])
-        at = marked.find(MARK, min(kept, len(commonprefix([marked, now]))))
+        at = marked.find(MARK, kept)
         tail = len(marked) - at - len(MARK)
-        sound = at >= kept and at + tail <= len(now) and now[:at] == marked[:at] and (not tail or now[-tail:] == marked[-tail:])
+        sound = 0 <= at and at + tail <= len(now) and now[:at] == marked[:at] and (not tail or now[-tail:] == marked[-tail:])
         out.texts.append((at, len(now) - tail) if sound else None)
         out.text = now
     return out

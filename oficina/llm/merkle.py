@@ -76,7 +76,7 @@ def height(size: str, fan: int) -> Column:
 def tree(leaves: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> tuple[list[DataFrame], DataFrame]:
     """The node table and the roots of leaves (g, size, h, place, digest).
 
-    The table is a list of parts (g, size, h, level, place, digest), each with ``deep`` levels and the lowest nodes of
+    The table is a list of parts (g, size, h, level, place, block, digest), each with ``deep`` levels and the lowest nodes of
     the next part; roots are (g, size, h, digest). One number, the greatest height, goes to the driver.
     """
     most = leaves.agg(F.max("h").alias("h")).first()["h"] or 0
@@ -91,9 +91,9 @@ def tree(leaves: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> tupl
         rows = rows.select("g", "size", "h", "__block", F.posexplode(F.array(*[f"__{k}" for k in range(deep + 1)])).alias("__k", "__nodes"))
         rows = rows.select("g", "size", "h", "__block", "__k", F.posexplode("__nodes").alias("__p", "digest"))
         width = F.element_at(F.array(*[F.lit(fan ** (deep - k)).cast("long") for k in range(deep + 1)]), F.col("__k") + 1)
-        rows = rows.select("g", "size", "h", (F.col("__k") + low).alias("level"), (F.col("__block") * width + F.col("__p")).alias("place"), "digest")
+        rows = rows.select("g", "size", "h", (F.col("__k") + low).alias("level"), (F.col("__block") * width + F.col("__p")).alias("place"), F.col("__block").alias("block"), "digest")
         parts.append(stored(rows, f"{name}-nodes-{low}"))
-        units = parts[-1].where((F.col("level") == low + deep) & (F.col("h") > low + deep)).drop("level")
+        units = parts[-1].where((F.col("level") == low + deep) & (F.col("h") > low + deep)).drop("level", "block")
     # A part's highest level stands in the next part again, so each takes the roots that it is the first to have.
     tops = [p.where((F.col("level") == F.col("h")) & (F.col("h") >= (i * deep + 1 if i else 0))) for i, p in enumerate(parts)]
     return parts, reduce(DataFrame.unionByName, tops).select("g", "size", "h", "digest")
@@ -132,14 +132,16 @@ def paths(leaves: DataFrame, parts: list[DataFrame], above: DataFrame, name: str
             units, own = parts[i].where(F.col("level") == low).select("g", "size", "h", "place"), []
         else:
             units, own = leaves, [c for c in leaves.columns if c not in ("g", "size", "h", "place")]
-        asked = units.select("g", "size", "h", "place", *own, F.posexplode_outer(_coordinates(low, fan, deep)).alias("__n", "__c"))
+        # A block's units, their coordinates and its nodes are dealt out by the block once, for both joins and the grouping.
+        units = units.withColumn("block", F.expr(f"place div {fan**deep}")).repartition("g", "block")
+        asked = units.select("g", "block", "size", "h", "place", *own, F.posexplode_outer(_coordinates(low, fan, deep)).alias("__n", "__c"))
         # A unit's own columns travel with its first coordinate only.
         carried = F.when(F.coalesce(F.col("__n"), F.lit(0)) == 0, F.struct(F.lit(True).alias("__"), *own))
-        asked = asked.select("g", "size", "h", "place", carried.alias("__own"), F.col("__c.level").alias("__level"), F.col("__c.at").alias("__at"))
-        nodes = parts[i].select(F.col("g").alias("__g"), F.col("level").alias("__l"), F.col("place").alias("__p"), "digest")
-        found = asked.join(nodes, (F.col("g") == F.col("__g")) & (F.col("__level") == F.col("__l")) & (F.col("__at") == F.col("__p")), "left")
+        asked = asked.select("g", "block", "size", "h", "place", carried.alias("__own"), F.col("__c.level").alias("__level"), F.col("__c.at").alias("__at"))
+        nodes = parts[i].where(F.col("level") < low + deep).select(F.col("g").alias("__g"), F.col("block").alias("__b"), F.col("level").alias("__l"), F.col("place").alias("__p"), "digest").repartition("__g", "__b")
+        found = asked.join(nodes, (F.col("g") == F.col("__g")) & (F.col("block") == F.col("__b")) & (F.col("__level") == F.col("__l")) & (F.col("__at") == F.col("__p")), "left")
         sibling = F.when(F.col("digest").isNotNull(), F.struct("__level", "__at", "digest"))
-        rows = found.groupBy("g", "size", "h", "place").agg(F.max("__own").alias("__own"), F.array_sort(F.collect_list(sibling)).alias("__s"))
+        rows = found.groupBy("g", "block", "size", "h", "place").agg(F.max("__own").alias("__own"), F.array_sort(F.collect_list(sibling)).alias("__s"))
 
         def step(x: Column) -> Column:
             here, run = _whole(F.col("place"), x["width"]), F.filter("__s", lambda s: s["__level"] == x["level"])
@@ -147,12 +149,12 @@ def paths(leaves: DataFrame, parts: list[DataFrame], above: DataFrame, name: str
             return F.struct(joined(lambda at: at < here).alias("before"), joined(lambda at: at > here).alias("after"))
 
         steps = F.transform(F.filter(_levels(low, fan, deep), lambda x: x["level"] < F.col("h")), step)
-        rows = rows.select("g", "size", "h", "place", *[f"__own.`{c}`" for c in own], steps.alias("__path"))
+        rows = rows.select("g", "block", "size", "h", "place", *[f"__own.`{c}`" for c in own], steps.alias("__path"))
         # Above a block stands the next part's unit of its number, or, where the group ends here, the group.
         ends = above.where((F.col("h") <= low + deep) & (F.col("h") > (low if i else -1))).withColumn("__block", F.lit(0).cast("long")).drop("size", "h")
         over = ends if upper is None else ends.unionByName(upper.select("g", "path", *more, F.col("place").alias("__block")))
         over = over.withColumnsRenamed({"g": "__g", "path": "__above"})
-        rows = rows.join(over, (F.col("g") == F.col("__g")) & (F.expr(f"place div {fan**deep}") == F.col("__block")))
+        rows = rows.join(over, (F.col("g") == F.col("__g")) & (F.col("block") == F.col("__block")))
         rows = rows.select("g", "size", "h", "place", *own, F.concat("__path", "__above").alias("path"), *more)
         upper = stored(rows, f"{name}-paths-{i}") if i else rows
     return upper
