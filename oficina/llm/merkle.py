@@ -9,7 +9,8 @@ group. The node table (group, level, place, digest) is written to the shared fol
 gives the coordinates of its siblings, known from its place and the size of its group alone; they are
 exploded, joined with the node table, put in order and concatenated. This too goes by ``DEEP`` levels: a
 leaf looks up its siblings within its block, the block's own proof is looked up once for all its leaves, and
-so on up to the dataset. So no node is asked for by more than FAN ** DEEP rows, whatever a group's size.
+so on up to the dataset. So no node is asked for by more than FAN ** DEEP rows, whatever a group's size, and both sides
+are shuffled once, by block: for that the session's ``spark.sql.requireAllClusterKeysForCoPartition`` is set to false.
 
 Defined results: a null value counts as ``-``, a value as its length in UTF-8 bytes, a colon and itself, so
 no two rows share a digest input. A null group is a group, the first one. A null id comes first in its group.
@@ -125,6 +126,8 @@ def paths(leaves: DataFrame, parts: list[DataFrame], above: DataFrame, name: str
     ``above`` has a row for each group: (g, h, path, ...), with the path of the group's root; its other columns are added.
     """
     more = [c for c in above.columns if c not in ("g", "size", "h", "path")]
+    # Rows that are dealt out by block stay there when they are joined by block and coordinate.
+    leaves.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     upper = None
     for i in reversed(range(len(parts))):
         low = i * deep
