@@ -29,7 +29,7 @@ from .common import documents, remainder, stored
 
 FAN = 3
 #: Levels built, and looked up, in one step.
-DEEP = 4
+DEEP = 6
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -49,23 +49,27 @@ def leaf(columns: list[str], **instead: Column) -> Column:
     return digest(*[encoded(instead.get(c, F.col(f"`{c}`"))) for c in columns])
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """Adds ``place`` (from 0, within the group by ``order``), ``size`` and tree height ``h`` of the group; and the groups with both.
+def numbered(df: DataFrame, group: str, order: list[str], name: str, fan: int = FAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their place in a range, the ranges' starts in their groups, and the groups.
 
-    Rows are dealt out by ranges of (group, order) and written with their place in the range; a range's
-    start within a group is a running sum over ranges. So a group of any size is spread over many tasks.
+    Rows are dealt out by ranges of (group, order) and written with the range (``__range``) and their place in it
+    (``__row``); a range's start within a group is a running sum over ranges. So a group of any size is spread over
+    many tasks. ``placed`` adds the place in the group to the rows, and the group's ``size`` and tree height ``h``.
     """
     sort = [group, *order]
     rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__at", F.monotonically_increasing_id())
     rows = stored(rows, name).withColumns({"__range": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
-    ranges = rows.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
-    ranges = stored(ranges, f"{name}-ranges")
-    whole = Window.partitionBy("__g")
+    ranges = rows.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__r")).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy("__group")
     so_far = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("__g", "__r", (F.coalesce(F.sum("__n").over(so_far), F.lit(0)) - F.col("__first")).alias("__start"), F.sum("__n").over(whole).alias("size")).withColumn("h", height("size", fan))
-    out = rows.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
-    out = out.withColumn("place", F.col("__row") + F.col("__start")).select(*df.columns, "place", "size", "h")
-    return out, ranges.groupBy(F.col("__g").alias(group)).agg(F.sum("__n").alias("size")).withColumn("h", height("size", fan))
+    starts = ranges.select("__group", "__r", (F.coalesce(F.sum("__n").over(so_far), F.lit(0)) - F.col("__first")).alias("__start"), F.sum("__n").over(whole).alias("size"))
+    groups = ranges.groupBy(F.col("__group").alias(group)).agg(F.sum("__n").alias("size"))
+    return rows, starts.withColumn("h", height("size", fan)), groups.withColumn("h", height("size", fan))
+
+
+def placed(rows: DataFrame, starts: DataFrame, group: str) -> DataFrame:
+    out = rows.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn("place", F.col("__row") + F.col("__start")).drop("__group", "__range", "__r", "__row", "__start")
 
 
 def height(size: str, fan: int) -> Column:
@@ -74,13 +78,13 @@ def height(size: str, fan: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(p).cast("long") for p in powers]), lambda p: p < F.col(size)))
 
 
-def tree(leaves: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> tuple[list[DataFrame], DataFrame]:
+def tree(leaves: DataFrame, groups: DataFrame, name: str, fan: int = FAN, deep: int = DEEP) -> tuple[list[DataFrame], DataFrame]:
     """The node table and the roots of leaves (g, size, h, place, digest).
 
     The table is a list of parts (g, size, h, level, place, block, digest), each with ``deep`` levels and the lowest nodes of
     the next part; roots are (g, size, h, digest). One number, the greatest height, goes to the driver.
     """
-    most = leaves.agg(F.max("h").alias("h")).first()["h"] or 0
+    most = groups.agg(F.max("h").alias("h")).first()["h"] or 0
     parts, units, block = [], leaves, fan**deep
     for low in range(0, max(most, 1), deep):
         levels = [F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])]
@@ -178,16 +182,17 @@ def manifest(leaves: DataFrame, group: str, order: list[str], fan: int = FAN, de
 
     ``order`` puts the leaves of a group into their places; the digest is the last key.
     """
-    rows, groups = numbered(leaves, group, [*order, "digest"], "leaves", fan)
+    rows, starts, groups = numbered(leaves, group, [*order, "digest"], "leaves", fan)
     # The groups' own tree: one group, named 0, whose leaves are the groups in order.
-    named = groups.select(F.lit(0).cast("long").alias("__all"), F.col(group).alias("__name"), F.col("h").alias("__rows_h"))
-    numbers = stored(numbered(named, "__all", ["__name"], "groups", fan)[0], "group-numbers")
+    named = groups.select(F.lit(0).cast("long").alias("g"), F.col(group).alias("__name"), F.col("h").alias("__rows_h"))
+    named, named_starts, all_groups = numbered(named, "g", ["__name"], "groups", fan)
+    numbers = stored(placed(named, named_starts, "g"), "group-numbers")
     names = numbers.select("__name", F.col("place").alias("g"))
-    rows = stored(rows.join(names, F.col(group).eqNullSafe(F.col("__name"))).drop("__name"), "places")
-    parts, roots = tree(rows.select("g", "size", "h", "place", "digest"), "rows", fan, deep)
-    tops = numbers.select("size", "h", "place").join(roots.select(F.col("g").alias("place"), "digest"), "place")
-    tops = stored(tops.select(F.lit(0).cast("long").alias("g"), "size", "h", "place", "digest"), "subroots")
-    top_parts, root = tree(tops, "groups", fan, deep)
+    rows = placed(rows, starts.join(names, F.col("__group").eqNullSafe(F.col("__name"))).drop("__name"), group)
+    parts, roots = tree(rows.select("g", "size", "h", "place", "digest"), numbers.select(F.col("__rows_h").alias("h")), "rows", fan, deep)
+    tops = numbers.select("g", "size", "h", "place").join(roots.select(F.col("g").alias("place"), "digest"), "place")
+    tops = stored(tops.select("g", "size", "h", "place", "digest"), "subroots")
+    top_parts, root = tree(tops, all_groups, "groups", fan, deep)
     start = root.select("g", "h", F.array().cast("array<struct<before:string,after:string>>").alias("path"), F.col("digest").alias("root"))
     above = paths(tops.withColumnRenamed("digest", "subroot"), top_parts, start, "groups", fan, deep)
     above = numbers.select(F.col("place").alias("g"), F.col("__rows_h").alias("h")).join(above.select(F.col("place").alias("g"), "path", "subroot", "root"), "g")
