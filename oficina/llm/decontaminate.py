@@ -16,15 +16,16 @@ ends, with the shortest stretch of that distance. The windows around hits are jo
 where they touch, so these runs are those of the whole text.
 
 Edge cases: null and empty texts have no hit, texts of any length are searched; items
-without a word character have nothing to find; items shorter than ``WORDS_BELOW`` must
-stand as whole words without an edit, so that a word inside a word is no hit (``least`` leaves
-out items shorter than it; by default none is); equal items with different ids are all
+without a word character have nothing to find; items shorter than ``words_below``
+characters must stand as whole words without an edit, so that a word inside a word is no hit (0: every item has
+the edits that ``rate`` gives; ``least`` leaves out items shorter than it; by default none is); equal items with different ids are all
 reported, a repeated (id, text) row of the benchmark counts once; repeated rows are matched one
 by one, with null ids too; an empty benchmark or table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import documents, fresh, plain_words, short_batches, stored
 
 RATE = 0.08
-#: Shorter items are matched as whole words, without edits.
+#: Default of ``words_below``: shorter items are matched as whole words, without edits.
 WORDS_BELOW = 24
 BLOCK_CHARS = 4_000_000
 
@@ -44,8 +45,8 @@ def normal(text: str | None) -> str:
     return b" ".join(plain_words(text)).decode("utf-8", "replace")
 
 
-def budget(item: str, rate: float) -> int:
-    return int(len(item) * rate) if len(item) >= WORDS_BELOW else 0
+def budget(item: str, rate: float, words_below: int = WORDS_BELOW) -> int:
+    return int(len(item) * rate) if len(item) >= words_below else 0
 
 
 def cut(item: str, k: int) -> list[tuple[int, str]]:
@@ -114,10 +115,11 @@ def start_of(back: dict[str, int], m: int, text: str, end: int, d: int) -> int:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, words_below: int = WORDS_BELOW):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate), masks(t), masks(t[::-1])) for i, t in items]
+        self.words_below = words_below
+        self.items = [(i, t, budget(t, rate, words_below), masks(t), masks(t[::-1])) for i, t in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _, _) in enumerate(self.items):
             for offset, piece in cut(t, k):
@@ -137,7 +139,7 @@ class Matcher:
         for n, found in starts.items():
             key, item, k, peq, back = self.items[n]
             m = len(item)
-            if m < WORDS_BELOW:
+            if m < self.words_below:
                 out += [(key, a, a + m, 0) for a in found if text[max(0, a - 1) : a].strip() + text[a + m : a + m + 1].strip() == ""]
                 continue
             found.sort()
@@ -152,6 +154,17 @@ class Matcher:
         return out
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(shared, key: str, rate: float, words_below: int) -> Matcher:
+    """One matcher for each worker process, of the block last asked for."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher(shared.value, rate, words_below)
+    return _BUILT[key]
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS, least: int = 1) -> Iterator[list[tuple[object, str]]]:
     """Normalised items in lists of about ``block_chars`` characters."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).distinct()
@@ -165,7 +178,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
             yield items
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = 1, block_chars: int = BLOCK_CHARS, words_below: int = WORDS_BELOW) -> DataFrame:
     """(id, item_id, start, end, distance): every place where an item stands, within its edit budget.
 
     One block is matched when the result is read. Of several, each is matched, written to the shared folder
@@ -178,9 +191,11 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     names, kinds = [id_col, "item_id", "start", "end", "distance"], [*(to_arrow_type(t) for _, t in fields), pa.int64(), pa.int64(), pa.int32()]
     rows = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def found_in(shared):
+    def found_in(held):
+        key = uuid.uuid4().hex
+
         def work(batches):
-            m = Matcher(shared.value, rate)
+            m = _matcher(held, key, rate, words_below)
             for b in batches:
                 hits = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in m.find(normal(t))]
                 columns = list(zip(*hits)) if hits else [()] * len(names)
@@ -201,10 +216,10 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rate: float = RATE, least: int = 1) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rate: float = RATE, least: int = 1, words_below: int = WORDS_BELOW) -> DataFrame:
     """The rows of ``df`` in whose text no benchmark item stands; judged by the text's hash, so ids may be null or repeat."""
     key = fresh("__key", df.columns)
-    hit = matches(df.select(F.xxhash64(text_col).alias(key), text_col), benchmark, key, text_col, rate=rate, least=least).select(key).distinct()
+    hit = matches(df.select(F.xxhash64(text_col).alias(key), text_col), benchmark, key, text_col, rate=rate, least=least, words_below=words_below).select(key).distinct()
     return df.join(hit, F.xxhash64(text_col) == F.col(key), "left_anti")
 
 

@@ -93,7 +93,11 @@ def _counts(text: bytes, buckets: int, step: int = 1 << 20) -> np.ndarray:
 
 
 def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, params: LangIdParams = LangIdParams()) -> LangIdModel | None:
-    """Fit on at most about ``train_rows`` rows of ``df`` that have a language and a letter."""
+    """Fit on at most about ``train_rows`` rows of ``df`` that have a language and a letter.
+
+    A fifth of them is held out for the temperature and the bound of rejection, however many there are; under five
+    rows that is none, so the temperature is 1 and nothing is rejected.
+    """
     p = params
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = bounded_share(rows.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), p.train_rows, id_col, "text", "lang")
@@ -118,8 +122,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, params: Lang
     y = np.array([langs.index(r.lang) for r in got])
     rng = np.random.default_rng(p.seed)
     order = rng.permutation(len(got))
-    held = order[: len(order) // 5] if len(order) >= 50 else order
-    fit = order[len(order) // 5 :] if len(order) >= 50 else order
+    held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     emb = rng.normal(0, 0.1, (buckets, p.dim)).astype(np.float32)
     soft = np.zeros((p.dim, len(langs)), np.float32)
     soft += rng.normal(0, 0.1, soft.shape).astype(np.float32)
@@ -154,11 +157,11 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, params: Lang
             bias -= rate * 0.1 * g.sum(0)
             emb -= rate * boost * (x.T @ back)
             done += 1
-    z = np.concatenate([dense(held[a : a + 64]) @ emb @ soft + bias for a in range(0, len(held), 64)])
+    z = np.concatenate([np.zeros((0, len(langs)), np.float32), *[dense(held[a : a + 64]) @ emb @ soft + bias for a in range(0, len(held), 64)]])
     nll = lambda t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-    heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=nll)
+    heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=nll) if len(held) else 1.0
     own = np.sort(softmax(z / heat)[np.arange(len(held)), y[held]])
-    below = min(p.reject_most, float(own[int(p.reject_share * len(own))]))
+    below = min(p.reject_most, float(own[int(p.reject_share * len(own))])) if len(held) else 0.0
     table = np.zeros((buckets + 1, len(langs) + 1), np.float32)
     table[:buckets, :-1] = emb @ soft
     table[:buckets, -1] = 1

@@ -6,7 +6,8 @@ match at text word p and template word q votes for the diagonal p - q. Votes are
 counted by (text, template, diagonal), diagonals close to each other are merged
 (insertions and deletions; a tenth of the template's words apart, ``NEAR`` at least), and a
 merged span is verified by the template's words: the share of them that stand in the span
-in voted positions must reach the template's least share, and the words that tell it from
+in voted positions, times the share of these positions that come in the template's order (the longest
+rising run of template places by text place), must reach the template's least share, and the words that tell it from
 its kin (``must``) have to be among them. A place counts once, however often it votes. The
 short exact phrases of the base are templates like the others: a phrase stands at p
 exactly if all its words stand on one diagonal. Two different runs of words have one
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, grams, plain_words, short_batches
@@ -207,6 +208,17 @@ def hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(work, f"row long, id {kind}, n_words long, hashes array<long>")
 
 
+def _places() -> Column:
+    """(place in the text, minus the place in the template) of a diagonal's votes: of several at one place the last in the template sorts first."""
+    return F.transform("voted", lambda t: F.struct((F.col("diagonal") + t).alias("at"), (-t).alias("back")))
+
+
+def longest_rise(values: Column) -> Column:
+    """Length of the longest strictly rising subsequence: ``tails`` holds the least end of those of each length."""
+    step = lambda tails, x: F.concat(F.filter(tails, lambda t: t < x), F.array(x), F.slice(F.filter(tails, lambda t: t >= x), 2, 1 << 30))
+    return F.size(F.aggregate(values, F.array().cast("array<int>"), step))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row for each row of ``df``: id, n_words, the base's counts and places, labels, score, spans."""
     spark = df.sparkSession
@@ -216,6 +228,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=
     diagonal = hits.groupBy("row", "id", "n_words", *kind, (F.col("pos") - 1 - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("voted"), F.min("pos").alias("low"), F.max("pos").alias("high")
     )
+    diagonal = diagonal.withColumn("places", _places())
     # Neighbouring diagonals of one text and template merge; base phrases stay apart.
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     near = F.greatest(F.lit(NEAR), F.floor(F.col("words") / 10))
@@ -223,11 +236,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=
     merged = (
         diagonal.withColumn("__run", F.sum(far.cast("int")).over(by))
         .groupBy("row", "id", "n_words", *kind, "__run")
-        .agg(F.array_distinct(F.flatten(F.collect_list("voted"))).alias("voted"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("voted"))).alias("voted"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     )
     standing = F.size(F.array_distinct(F.flatten(F.transform("voted", lambda p: F.sequence(p, p + K - 1)))))
     real = F.col("template") >= 0
-    merged = merged.withColumn("share", F.when(real, standing / F.col("words")).otherwise(0.0))
+    order = longest_rise(F.transform("places", lambda x: -x["back"])) / F.size("voted")
+    merged = merged.withColumn("share", F.when(real, standing / F.col("words") * order).otherwise(0.0))
     merged = merged.withColumn("ok", real & (F.col("share") >= F.col("least")) & (F.size(F.array_except("must", "voted")) == 0))
     base, found = F.col("base") & F.col("ok"), F.col("ok")
     joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
@@ -272,9 +286,11 @@ v AS (SELECT rid, template, label, least, must, base, size, pos - tpos AS diagon
 n AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER q > greatest({NEAR}, size // 10), true) THEN 1 ELSE 0 END AS far
       FROM v WINDOW q AS (PARTITION BY rid, template ORDER BY diagonal)),
 r AS (SELECT *, sum(far) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM n),
-c AS (SELECT rid, template, label, least, must, base, size, run, min(diagonal) AS diagonal, flatten(list(voted)) AS voted
+c AS (SELECT rid, template, label, least, must, base, size, run, min(diagonal) AS diagonal, flatten(list(voted)) AS voted,
+        list_sort(flatten(list(list_transform(voted, lambda p: {{'place': diagonal + p, 'back': -p}})))) AS places
       FROM r GROUP BY rid, template, label, least, must, base, size, run),
-s AS (SELECT *, len(list_distinct(flatten(list_transform(voted, lambda p: [p, p + 1, p + 2]))))::DOUBLE / size AS reached FROM c),
+s AS (SELECT *, len(list_distinct(flatten(list_transform(voted, lambda p: [p, p + 1, p + 2]))))::DOUBLE / size
+        * (len(list_reduce(list_prepend([]::BIGINT[], list_transform(places, lambda x: [-x.back])), lambda a, b: list_filter(a, lambda t: t < b[1]) || b || list_filter(a, lambda t: t >= b[1])[2:])) / len(list_distinct(voted))) AS reached FROM c),
 m AS (SELECT rid, base, label, diagonal, reached AS share, CASE WHEN list_has_all(voted, must) THEN least ELSE 2 END AS least FROM s),
 a AS (SELECT rid, count(*) FILTER (base AND share >= least) AS n_base,
         min(diagonal) FILTER (base AND share >= least) AS first_word, max(diagonal) FILTER (base AND share >= least) AS last_word,

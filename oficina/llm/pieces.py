@@ -26,6 +26,7 @@ piece is longest is taken; repeated rows are encoded one by one, null ids are ke
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -108,32 +109,43 @@ class Transducer:
             self.fits[a, b] = got
         return got
 
-    def path(self, s: str) -> tuple[int, ...]:
+    def path(self, s: str) -> array:
         """Ids of the shortest path of a stretch: states (place, last piece) are relaxed in the order of their places.
 
         Under the pair acceptor what is reached at a place with a finite weight is the merge
-        encoding of what lies before it, so a place has one such state.
+        encoding of what lies before it, so a place has one such state. Costs are held for the places ahead only; of a
+        place behind, four bytes tell the length of its last piece (places with several states keep them all).
         """
         n, fits, fit, merges, lexicon = len(s), self.fits, self.fit, self.merges, self.lexicon
-        # best[place][last piece] = (weight so far, last piece of the state before, length of the last piece)
-        best: list[dict[str, tuple[float, str, int]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, "", 0)
-        for i in range(n):
-            here = best[i].items()
-            if not here:
+        # ahead[place][last piece] = (weight so far, last piece of the state before, length of the last piece)
+        ahead: dict[int, dict[str, tuple[float, str, int]]] = {0: {"": (0.0, "", 0)}}
+        sizes, several = array("i", bytes(4 * (n + 1))), {}
+        for i in range(n + 1):
+            states = ahead.pop(i, None)
+            if not states:
                 continue
+            (_, _, sizes[i]) = next(iter(states.values()))
+            if len(states) > 1 or i - sizes[i] in several:
+                several[i] = states
+            if i == n:
+                last = min(states, key=lambda p: (states[p][0], -len(p)))
+                break
+            here = states.items()
             j, c = i + 1, s[i]
             node = lexicon.get(c, _NONE)
             arc = node.get("") or (c, self.byte_weight * len(c.encode("utf-8", "surrogatepass")))
             while True:  # the lexicon's arcs from this place, shortest first
                 if arc:
                     p, weight = arc
-                    to, there = p if merges else "", best[j]
+                    to = p if merges else ""
                     for last, (cost, _, _) in here:
                         if merges:
                             ok = fits.get((last, p))
                             if not (fit(last, p) if ok is None else ok):
                                 continue
+                        there = ahead.get(j)
+                        if there is None:
+                            there = ahead[j] = {}
                         old = there.get(to)
                         if old is None or cost + weight < old[0]:
                             there[to] = (cost + weight, last, j - i)
@@ -144,41 +156,46 @@ class Transducer:
                     break
                 j += 1
                 arc = node.get("")
-        i, out = n, []
-        last = min(best[n], key=lambda p: (best[n][p][0], -len(p)))
+        i, out = n, array("i")
         while i:
-            _, before, size = best[i][last]
+            size, before = sizes[i], None
+            if i in several:
+                # Before a place with one state only, that state's last piece is not written: it is the only one.
+                _, before, size = several[i][last] if last in several[i] else next(iter(several[i].values()))
             p = s[i - size : i]
             got = self.id.get(p)
-            out.append((got,) if got is not None else tuple(self.byte[b] for b in p.encode("utf-8", "surrogatepass")))
+            out.extend((got,) if got is not None else [self.byte[b] for b in reversed(p.encode("utf-8", "surrogatepass"))])
             i, last = i - size, before
-        return tuple(x for part in reversed(out) for x in part)
+        out.reverse()
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> array:
         if not text:
-            return []
+            return array("i")
         stretches = _STRETCH.findall(MARK + text.translate(self.rules))
         got = list(map(self.paths.get, stretches))
         if None in got:
             got = [self.kept(s) if x is None else x for s, x in zip(stretches, got)]
-        return list(chain.from_iterable(got))
+        return array("i", chain.from_iterable(got))
 
-    def kept(self, s: str) -> tuple[int, ...]:
-        """Path of a stretch, remembered; it falls apart between characters that no piece holds side by side."""
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids(text).tolist()
+
+    def kept(self, s: str) -> tuple[int, ...] | array:
+        """Path of a stretch, remembered if short; it falls apart between characters that no piece holds side by side."""
         got = self.older.get(s)
         if got is None:
-            inner, a, parts = self.inner, 0, []
-            for i in range(1, len(s)):
-                if s[i - 1 : i + 1] not in inner:
-                    parts.append(s[a:i])
+            inner, a = self.inner, 0
+            whole = array("i")
+            for i in range(1, len(s) + 1):
+                if i == len(s) or s[i - 1 : i + 1] not in inner:
+                    p = s[a:i]
+                    if not a and i == len(s):
+                        whole = self.path(p)
+                    else:
+                        whole.extend(self.paths.get(p) or self.kept(p))
                     a = i
-            if parts:
-                parts.append(s[a:])
-                got = ()
-                for p in parts:
-                    got += self.paths.get(p) or self.kept(p)
-            else:
-                got = self.path(s)
+            got = tuple(whole) if len(s) <= 64 else whole
         if len(s) <= 64:
             if len(self.paths) >= self.most_paths:
                 self.older, self.paths = self.paths, {}
@@ -230,8 +247,8 @@ def encode(df: DataFrame, keep: list[str], text_col: str, model_path: str = MODE
         ids, n_bytes, same = [], [], []
         low, high = min(t.byte.values(), default=0), max(t.byte.values(), default=-1)
         for text in texts.to_pylist():
-            x = t.encode(text)
-            a = np.array(x, np.int32)
+            x = t.ids(text)
+            a = np.frombuffer(x, np.int32)
             ids.append(a)
             n_bytes.append(int(((a >= low) & (a <= high)).sum()))
             same.append(t.decode(x) == (text or ""))
