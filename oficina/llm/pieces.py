@@ -10,7 +10,7 @@ The machines are compiled from a public model file (its path is a parameter):
   merging the joined text of two neighbours gives back exactly these two, else infinity.
   Scores alone would not give the merge order. Its arcs are made when first needed.
 
-An input is composed with them state by state (place, last piece) and the shortest path in the
+An input is composed with them state by state (a place and its last piece) and the shortest path in the
 tropical semiring is taken: places go in order, and each arc relaxes ``min(old, cost + weight)``. Without
 a pair acceptor (``merges=False``) the state is the place alone and the scores decide.
 
@@ -56,6 +56,7 @@ def load(path: str = MODEL) -> list[tuple[str, float, str]]:
 
 
 _NONE: dict = {}
+_END: list = [{}, None]
 
 
 class Transducer:
@@ -66,19 +67,20 @@ class Transducer:
             raise ValueError("a piece has a word mark inside")
         self.merges = merges
         self.rules = str.maketrans(RULES)
-        self.lexicon: dict = {}  # a node maps characters to nodes, and "" to (piece, weight)
+        self.lexicon: list = [{}, None]  # a node: what characters lead to, and (piece, weight) where a piece ends
         for p, s in self.score.items():
             node = self.lexicon
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (p, -s)
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = (p, -s)
         self.byte_weight = 10.0 - min(self.score.values(), default=0.0)
         self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # character pairs that some piece holds
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "special" else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.paths: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the full table before this one
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.most_paths, self.most_fits = stretches, pairs
 
     def merged(self, text: str) -> list[str]:
@@ -98,74 +100,62 @@ class Transducer:
 
     def fit(self, a: str, b: str) -> bool:
         """Arc of the pair acceptor; an empty ``a`` asks for ``b`` at the start of a stretch."""
-        got = self.fits.get((a, b))
+        got = self.fits.get(a, _NONE).get(b)
         if got is None:
-            if len(self.fits) >= self.most_fits:
+            if self.n_fits >= self.most_fits:
                 self.fits.clear()
+                self.n_fits = 0
             if a and a + b in self.id and self.fit("", a + b):
                 got = False  # the two would become one piece
             else:
                 got = self.merged(a + b) == ([a, b] if a else [b])
-            self.fits[a, b] = got
+            self.fits.setdefault(a, {})[b] = got
+            self.n_fits += 1
         return got
 
     def path(self, s: str) -> array:
-        """Ids of the shortest path of a stretch: states (place, last piece) are relaxed in the order of their places.
+        """Ids of the shortest path of a stretch: states are relaxed in the order of their places.
 
-        Under the pair acceptor what is reached at a place with a finite weight is the merge
-        encoding of what lies before it, so a place has one such state. Costs are held for the places ahead only; of a
-        place behind, four bytes tell the length of its last piece (places with several states keep them all).
+        Under the pair acceptor what is reached at a place with a finite weight is the merge encoding of
+        what lies before it, and without it the place alone is the state. So a place has one state, and 16 bytes:
+        its weight so far and its last piece.
         """
-        n, fits, fit, merges, lexicon = len(s), self.fits, self.fit, self.merges, self.lexicon
-        # ahead[place][last piece] = (weight so far, last piece of the state before, length of the last piece)
-        ahead: dict[int, dict[str, tuple[float, str, int]]] = {0: {"": (0.0, "", 0)}}
-        sizes, several = array("i", bytes(4 * (n + 1))), {}
-        for i in range(n + 1):
-            states = ahead.pop(i, None)
-            if not states:
+        n, fits, fit, merges, root = len(s), self.fits, self.fit, self.merges, self.lexicon[0]
+        cost = array("d", bytes(8 * (n + 1)))
+        piece: list[str | None] = [None] * (n + 1)
+        piece[0] = ""
+        for i in range(n):
+            last = piece[i]
+            if last is None:
                 continue
-            (_, _, sizes[i]) = next(iter(states.values()))
-            if len(states) > 1 or i - sizes[i] in several:
-                several[i] = states
-            if i == n:
-                last = min(states, key=lambda p: (states[p][0], -len(p)))
-                break
-            here = states.items()
+            known, base = fits.get(last, _NONE) if merges else _NONE, cost[i]
             j, c = i + 1, s[i]
-            node = lexicon.get(c, _NONE)
-            arc = node.get("") or (c, self.byte_weight * len(c.encode("utf-8", "surrogatepass")))
+            node = root.get(c, _END)
+            arc = node[1] or (c, self.byte_weight * len(c.encode("utf-8", "surrogatepass")))
             while True:  # the lexicon's arcs from this place, shortest first
-                if arc:
+                if arc is not None:
                     p, weight = arc
-                    to = p if merges else ""
-                    for last, (cost, _, _) in here:
-                        if merges:
-                            ok = fits.get((last, p))
-                            if not (fit(last, p) if ok is None else ok):
-                                continue
-                        there = ahead.get(j)
-                        if there is None:
-                            there = ahead[j] = {}
-                        old = there.get(to)
-                        if old is None or cost + weight < old[0]:
-                            there[to] = (cost + weight, last, j - i)
+                    ok = known.get(p)
+                    if ok is None:
+                        ok = not merges or fit(last, p)
+                    if ok and (piece[j] is None or base + weight < cost[j]):
+                        piece[j], cost[j] = p, base + weight
                 if j == n:
                     break
-                node = node.get(s[j])
+                node = node[0].get(s[j])
                 if node is None:
                     break
                 j += 1
-                arc = node.get("")
+                arc = node[1]
         i, out = n, array("i")
         while i:
-            size, before = sizes[i], None
-            if i in several:
-                # Before a place with one state only, that state's last piece is not written: it is the only one.
-                _, before, size = several[i][last] if last in several[i] else next(iter(several[i].values()))
-            p = s[i - size : i]
+            p = piece[i]
             got = self.id.get(p)
-            out.extend((got,) if got is not None else [self.byte[b] for b in reversed(p.encode("utf-8", "surrogatepass"))])
-            i, last = i - size, before
+            if got is not None:
+                out.append(got)
+            else:
+                out.extend([self.byte[b] for b in reversed(p.encode("utf-8", "surrogatepass"))])
+            i -= len(p)
         out.reverse()
         return out
 
@@ -185,17 +175,17 @@ class Transducer:
         """Path of a stretch, remembered if short; it falls apart between characters that no piece holds side by side."""
         got = self.older.get(s)
         if got is None:
-            inner, a = self.inner, 0
-            whole = array("i")
-            for i in range(1, len(s) + 1):
-                if i == len(s) or s[i - 1 : i + 1] not in inner:
-                    p = s[a:i]
-                    if not a and i == len(s):
-                        whole = self.path(p)
-                    else:
-                        whole.extend(self.paths.get(p) or self.kept(p))
-                    a = i
-            got = tuple(whole) if len(s) <= 64 else whole
+            inner = self.inner
+            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
+            if cuts:
+                got = array("i")
+                for a, b in zip([0, *cuts], [*cuts, len(s)]):
+                    p = s[a:b]
+                    got.extend(self.paths.get(p) or self.kept(p))
+            else:
+                got = self.path(s)
+            if len(s) <= 64:
+                got = tuple(got)
         if len(s) <= 64:
             if len(self.paths) >= self.most_paths:
                 self.older, self.paths = self.paths, {}
