@@ -133,7 +133,8 @@ class Transducer:
             node = root.get(c, _END)
             arc = node[1] or (c, self.byte_weight * len(c.encode("utf-8", "surrogatepass")))
             while True:  # the lexicon's arcs from this place, shortest first
-                if arc is not None:
+                # Under the pair acceptor a place that has been reached has its only state.
+                if arc is not None and (piece[j] is None or not merges):
                     p, weight = arc
                     ok = known.get(p)
                     if ok is None:
@@ -192,6 +193,10 @@ class Transducer:
             self.paths[s] = got
         return got
 
+    def forget(self) -> None:
+        """Give up the remembered paths, which a worker that goes on to other work need not hold."""
+        self.paths, self.older = {}, {}
+
     def decode(self, ids) -> str:
         """Text of the ids: pieces and bytes joined, the leading mark dropped."""
         out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -220,6 +225,7 @@ def _mapped(df: DataFrame, keep: list[str], col: str, schema: str, names: list[s
         t = _transducer(pieces.value, key)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *each(t, b.column(b.num_columns - 1))], names=[*b.schema.names[:-1], *names])
+        t.forget()
 
     return df.select(*keep, df[col].alias(fresh("__in", keep))).mapInArrow(work, f"{kinds}, {schema}")
 
