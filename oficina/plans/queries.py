@@ -15,6 +15,7 @@ from ..operators import builds, catalog, compatibility, ingest, prices, runs, sp
 from ..sources import bindings, pages
 from ..sources.shared import own_folder
 from ..sources.bindings import table, view
+from ..streaming import alerts
 from ..streaming import prices as streams
 
 
@@ -541,24 +542,24 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = streams.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
     return raw.select(
         F.col("user_id").alias("listing_id"), F.floor(F.col("user_id") / 3).cast("long").alias("product_id"), F.round("value", 2).alias("price_cash"),
-        (F.col("event_type") != "error").alias("in_stock"), F.col("ts").cast("timestamp").alias("collected_at"), "event_type",
+        (F.col("event_type") != "error").alias("in_stock"), F.col("ts").cast("timestamp").alias("collected_at"), "event_type", "event_id",
     )
 
 
 _SEEN = bindings.sql("history") + ", m AS (SELECT max(ts) AS t FROM events)"
 
 
-@query(bindings.sql("history") + """, c AS (SELECT *, round((SELECT value FROM events e WHERE e.event_id = history.event_id), 2) AS v, lag(price_cash) OVER w AS p, lag(in_stock) OVER w AS s, lag(event_id) OVER w AS e FROM history WINDOW w AS (PARTITION BY listing_id ORDER BY collected_at))
+@query(bindings.sql("history") + """, c AS (SELECT *, round((SELECT value FROM events e WHERE e.event_id = history.event_id), 2) AS v, lag(price_cash) OVER w AS p, lag(in_stock) OVER w AS s, lag(event_id) OVER w AS e FROM history WINDOW w AS (PARTITION BY listing_id ORDER BY collected_at, event_id))
 SELECT listing_id, v AS price_cash, in_stock FROM c WHERE e IS NULL OR p IS DISTINCT FROM price_cash OR s IS DISTINCT FROM in_stock""")
 def stream_change_history(spark, sf):
     """STR1-2: change-only history with state, driven once over everything that has landed."""
-    return streams.change_batches(_stream(spark, sf).drop("product_id", "event_type"), own_folder(spark, "stream")).drop("collected_at")
+    return streams.change_batches(_stream(spark, sf).drop("product_id", "event_type"), own_folder(spark, "stream")).drop("collected_at", "event_id")
 
 
 @query(_SEEN + " SELECT product_id, day, min(price_cash) AS min_price FROM history, m WHERE in_stock AND price_cash > 0 AND day + 1 <= t - INTERVAL 1 DAY GROUP BY product_id, day", day="d", min_price="n")
 def stream_daily_minimum(spark, sf):
     """STR4: daily minimum in tumbling windows, for the days that the watermark has passed."""
-    return streams.run_once(streams.daily_minimum(_stream(spark, sf).drop("event_type", "listing_id")), "daily", own_folder(spark, "stream"))
+    return streams.run_once(streams.daily_minimum(_stream(spark, sf).drop("event_type", "listing_id", "event_id")), "daily", own_folder(spark, "stream"))
 
 
 @query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS minutes FROM (SELECT event_type, date_trunc('minute', ts) AS w, count(*) AS n FROM events GROUP BY ALL), m WHERE n > 1 AND w + INTERVAL 1 MINUTE <= t - INTERVAL 1 MINUTE GROUP BY event_type")
@@ -568,6 +569,47 @@ def stream_over_limit(spark, sf):
     return over.groupBy("event_type").agg(F.count("*").alias("minutes"))
 
 
+# Of prices at one time the lowest counts, then the smallest listing; the chain of firings goes from one to the first price after its rest.
+_ALERTS = bindings.sql("history") + """, RECURSIVE_MARK a AS (SELECT s_suppkey AS alert_id, s_suppkey % (SELECT count(DISTINCT product_id) FROM history) AS product_id, CAST(abs(s_acctbal) / 100 AS DECIMAL(12,2)) AS target_price,
+  s_suppkey % 4 <> 0 AS confirmed, CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2024-01-03 00:00:00' END AS last_triggered_at FROM supplier),
+mark AS (SELECT epoch_ms(max(ts)) - 3600000 AS t FROM events),
+hit AS (SELECT alert_id, collected_at AS moment, price_cash AS price, listing_id FROM history h JOIN a ON a.product_id = h.product_id, mark WHERE confirmed AND in_stock AND price_cash IS NOT NULL AND target_price >= price_cash
+  AND (last_triggered_at IS NULL OR collected_at > last_triggered_at + INTERVAL 24 HOUR) AND (epoch_us(collected_at) // 60000000 + 1) * 60000 <= t),
+fired(alert_id, moment) AS (SELECT alert_id, min(moment) FROM hit GROUP BY alert_id
+  UNION ALL SELECT f.alert_id, min(h.moment) FROM fired f JOIN hit h ON h.alert_id = f.alert_id AND h.moment > f.moment + INTERVAL 24 HOUR GROUP BY f.alert_id),
+x AS (SELECT h.alert_id, h.moment, min({'p': h.price, 'l': h.listing_id}) AS x FROM fired f JOIN hit h ON h.alert_id = f.alert_id AND h.moment = f.moment GROUP BY ALL)"""
+_ALERTS = _ALERTS.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK ", "")
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = view(spark, sf_dir, "history").select("product_id").distinct().count()
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("alert_id"), (F.col("s_suppkey") % n).alias("product_id"), (F.abs("s_acctbal") / 100).cast("decimal(12,2)").alias("target_price"), (F.col("s_suppkey") % 4 != 0).alias("confirmed"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.to_timestamp(F.lit("2024-01-03 00:00:00"))).alias("last_triggered_at"), F.lit(0).cast("long").alias("trigger_count"),
+    )
+
+
+def _fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = alerts.read_prices(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    seen = events.select(
+        F.floor(F.col("user_id") / 3).cast("long").alias("product_id"), F.col("user_id").alias("listing_id"), F.col("value").cast("decimal(12,2)").alias("price_cash"),
+        (F.col("event_type") != "error").alias("in_stock"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    return streams.run_once(alerts.with_rest(alerts.reached(seen, _alerts(spark, sf_dir))), "alerts", own_folder(spark, "stream"))
+
+
+@query(_ALERTS + " SELECT alert_id, x.l AS listing_id, CAST(x.p AS DOUBLE) AS price, epoch_us(moment) AS at_us FROM x")
+def stream_alerts(spark, sf):
+    """STR3, SNK6: alerts fired by a stream of prices, each at most once in 24 hours, as far as the watermark has come."""
+    return _fired(spark, sf).select("alert_id", "listing_id", "price", F.unix_micros("at").alias("at_us"))
+
+
+@query(_ALERTS + ", y AS (SELECT alert_id, max(moment) AS moment, count(*) AS n FROM x GROUP BY alert_id) SELECT a.alert_id, epoch_us(coalesce(moment, last_triggered_at)) AS last_us, coalesce(n, 0) AS trigger_count FROM a LEFT JOIN y ON y.alert_id = a.alert_id")
+def stream_alerts_stamped(spark, sf):
+    """SNK6: the alerts after their firings were stamped and counted."""
+    return alerts.fired_alerts(_alerts(spark, sf), _fired(spark, sf)).select("alert_id", F.unix_micros("last_triggered_at").alias("last_us"), "trigger_count")
+
+
 def _all() -> dict:
     from . import extra  # noqa: F401  registers its queries
 

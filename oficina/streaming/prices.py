@@ -1,52 +1,26 @@
-"""Streaming forms of the price pipeline: change-only history, daily minimum, alerts, request limits."""
+"""Streaming forms of the price pipeline: change-only history, daily minimum, request limits (alerts: ``alerts``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.prices import differing
 
-_OUT = "listing_id long, price_cash double, in_stock boolean, collected_at timestamp"
-
-
 def read_stream(spark: SparkSession, folder: str, schema, files: str = "*.parquet") -> DataFrame:
     """Landed observation files as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
-def change_only(stream: DataFrame) -> DataFrame:
-    """Observations that differ from the listing's latest one; the state is that one price and stock."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("collected_at", kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            price = None if pd.isna(r.price_cash) else float(r.price_cash)
-            now = (-1.0 if price is None else price, bool(r.in_stock))
-            if last is None or tuple(last) != now:
-                out.append((key[0], 0.0 if price is None else price, now[1], r.collected_at))
-                last = now
-        if last is not None:
-            state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["listing_id", "price_cash", "in_stock", "collected_at"])
-
-    return stream.groupBy("listing_id").applyInPandasWithState(step, _OUT, "price double, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def change_batches(stream: DataFrame, folder: str, name: str = "changes") -> DataFrame:
-    """As ``change_only``, in native expressions: each micro-batch meets the last price and stock of its listings.
+    """Observations that differ from the listing's latest one: each micro-batch meets the last price and stock of its listings.
 
-    A batch writes its changes and the listings' last rows under its number, so a batch that runs again
-    writes the same. Gives back all changes.
+    ``stream`` has (listing_id, price_cash, in_stock, collected_at, event_id); of observations at one time the order is that of
+    their ids. A batch writes its changes and the listings' last rows under its number, so a batch that runs again writes
+    the same. Gives back all changes.
     """
     spark = stream.sparkSession
-    columns = ["listing_id", "price_cash", "in_stock", "collected_at"]
+    columns = ["listing_id", "price_cash", "in_stock", "collected_at", "event_id"]
     out, last = f"{folder}/{name}-out", f"{folder}/{name}-last"
     schema = stream.select(*columns).schema
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/none")
@@ -56,9 +30,9 @@ def change_batches(stream: DataFrame, folder: str, name: str = "changes") -> Dat
         if n > 0:  # what was last seen comes before everything: its day is null
             seen = batch.sparkSession.read.schema(schema).parquet(f"{last}/{n - 1}")
             rows = rows.unionByName(seen.withColumns({"day": F.lit(None).cast("date"), "turn": F.lit(0)}))
-        new = differing(rows, "day", ["collected_at"]).where("turn = 1").select(*columns)
+        new = differing(rows, "day", ["collected_at", "event_id"]).where("turn = 1").select(*columns)
         new.withColumn("price_cash", F.coalesce("price_cash", F.lit(0.0))).write.mode("overwrite").parquet(f"{out}/{n}")
-        ends = rows.groupBy("listing_id").agg(F.max_by(F.struct("price_cash", "in_stock", "collected_at"), F.struct("turn", "collected_at")).alias("x"))
+        ends = rows.groupBy("listing_id").agg(F.max_by(F.struct("price_cash", "in_stock", "collected_at", "event_id"), F.struct("turn", "collected_at", "event_id")).alias("x"))
         ends.select("listing_id", "x.*").write.mode("overwrite").parquet(f"{last}/{n}")
 
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
@@ -79,24 +53,6 @@ def over_limit(stream: DataFrame, key: str, at: str, most: int = 60, late: str =
     return n.where(F.col("n") > most).select(F.col("w.start").alias("minute"), key, "n")
 
 
-def alerts_with_rest(stream: DataFrame, hours: int = 24) -> DataFrame:
-    """Fired alerts (alert_id, price, at), at most one per alert and ``hours``; the state is the time of the last one."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values("at", kind="stable").itertuples(index=False):
-            t = int(pd.Timestamp(r.at).value // 1000)
-            if last is None or t - last > hours * 3_600_000_000:
-                out.append((key[0], float(r.price), r.at))
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["alert_id", "price", "at"])
-
-    return stream.groupBy("alert_id").applyInPandasWithState(step, "alert_id long, price double, at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drive a stream over everything that has landed and give back what it wrote, as a batch."""
     out = f"{checkpoint}/{name}-out"

@@ -110,16 +110,16 @@ def test_changes_over_batches_equal_one_pass(spark, tmp_path):
     from oficina.streaming import prices as streams
 
     rng = random.Random(11)
-    rows = [(rng.randrange(4), rng.choice([1.0, 2.0, None]), rng.random() < 0.8, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i + rng.randrange(5))) for i in range(120)]
-    schema = "listing_id long, price_cash double, in_stock boolean, collected_at timestamp"
+    rows = [(rng.randrange(4), rng.choice([1.0, 2.0, None]), rng.random() < 0.8, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * (i - i % 3) + rng.randrange(5)), i) for i in range(120)]
+    schema = "listing_id long, price_cash double, in_stock boolean, collected_at timestamp, event_id long"
     for n, at in enumerate(range(0, 120, 40)):
         spark.createDataFrame(rows[at : at + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
     got = streams.change_batches(stream, str(tmp_path / "a"))
     wanted, last = [], {}
-    for r in sorted(rows, key=lambda r: r[3]):
+    for r in sorted(rows, key=lambda r: r[3:]):
         if last.get(r[0]) != r[1:3]:
-            wanted.append((r[0], r[1] or 0.0, r[2], r[3]))
+            wanted.append((r[0], r[1] or 0.0, *r[2:]))
         last[r[0]] = r[1:3]
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
     one = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

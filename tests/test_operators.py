@@ -208,11 +208,5 @@ def test_streams(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
     stream = lambda: streams.read_stream(spark, folder, spark.createDataFrame([], schema).schema)
-    got = streams.run_once(streams.change_only(stream()), "changes", str(tmp_path))
-    assert sorted((r.listing_id, r.price_cash, r.in_stock) for r in got.collect()) == [(1, 4.0, False), (1, 4.0, True), (1, 5.0, True), (1, 9.0, True), (2, 0.0, True)]
     daily = streams.run_once(streams.daily_minimum(stream(), "1 hour"), "daily", str(tmp_path))
     assert [(r.product_id, r.day, r.min_price) for r in daily.collect()] == [(1, dt.date(2024, 1, 1), 4.0)]
-    alerts = [(1, 5.0, t(0)), (1, 4.0, t(3)), (1, 3.0, t(30))]
-    spark.createDataFrame(alerts, "alert_id long, price double, at timestamp").coalesce(1).write.parquet(str(tmp_path / "alerts"))
-    fired = streams.run_once(streams.alerts_with_rest(streams.read_stream(spark, str(tmp_path / "alerts"), spark.createDataFrame([], "alert_id long, price double, at timestamp").schema)), "alerts", str(tmp_path))
-    assert sorted(r.price for r in fired.collect()) == [3.0, 5.0]
