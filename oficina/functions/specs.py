@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import choose, found, gpu_series, normalize
+from .text import choose, found, gpu_series, normalize, stripped
 
 # Patterns of single specifications.
 SOCKET = r"(?iu)\b(AM5|AM4|LGA\s?1?[0-9]{3}|sTR5|sTRX50|sTRX40)\b"
@@ -149,12 +149,12 @@ def _one(key: Column | str, value: Column) -> Column:
 
 def parsed(kind: Column, key: Column, raw: Column) -> Column:
     """array<struct<key,value>> that a raw sheet value gives under a rule's kind."""
-    v = F.trim(raw)
+    v = stripped(raw)
     low = F.lower(v)
-    plain = F.trim(F.regexp_replace(v, r"\s+", " "))
+    plain = stripped(F.regexp_replace(v, r"(?U)\s+", " "))
     mhz, ghz = found(low, rf"({_NUMBER})\s*mhz"), found(low, rf"({_NUMBER})\s*ghz")
     point = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
-    items = F.filter(F.transform(F.split(v, r"[\n/|,;]"), lambda p: F.trim(F.regexp_replace(p, r"^[\s-]+|[\s-]+$", ""))), lambda p: p != "")
+    items = F.filter(F.transform(F.split(v, r"[\n/|,;]"), lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)\s+", " "), "^[ -]+|[ -]+$", "")), lambda p: p != "")
     listed = F.nullif(F.array_join(items, ", "), F.lit(""))
     norm = normalize(v)
     many = F.regexp_replace(found(norm, PIN, 1), "^0+(?=.)", "")

@@ -129,3 +129,8 @@ def image_key(url: Column) -> Column:
 def slug(seed: Column) -> Column:
     """Eight lower-case characters that follow from the seed (no random state)."""
     return F.substring(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghjkmnpqrs"), 1, 8)
+
+
+def stripped(text: Column) -> Column:
+    """The text without blanks of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -15,28 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.specs import chipset_key, connectors, number_list, satisfies, text_list, value_bool, value_num
 from ..functions.text import cpu_generation, normalize
+from . import seeds
+from .matching import first_pattern
 
 SINGLE = ["cpu", "gpu", "motherboard", "psu", "cooler", "case"]
 MANY = ["memory", "storage"]
 OVERHEAD_W = 100
 HEADROOM = "1.4"
-#: Support and consumption tables are editorial seeds; larger ones are refused (they are broadcast).
-MOST_SEEDS = 50_000
-
-# Fixed values (a part of the editorial seeds; whole tables are given as DataFrames):
-# chipset, socket, generation, BIOS that the generation needs.
-CHIPSETS = [
-    ("b450", "am4", "zen1", None), ("b450", "am4", "zen2", None), ("b450", "am4", "zen3", "AGESA ComboAM4v2 PI 1.2.0.7"),
-    ("b650", "am5", "zen4", None), ("b650", "am5", "zen5", "AGESA 1.2.0.0"),
-    ("h610", "lga1700", "alder-lake", None), ("h610", "lga1700", "raptor-lake", "BIOS 13th gen"), ("h610", "lga1700", "raptor-lake-refresh", "BIOS 14th gen"),
-]
-# category, target (name or model), pattern, watts; the first that fits counts, names before models.
-WATTS = [
-    ("cpu", "model", "amd 5700x3d", 105), ("cpu", "model", "amd 5700(x|g|ge)?", 65), ("cpu", "model", "amd 7600x", 105), ("cpu", "model", "intel 1[234]400f?", 65),
-    ("gpu", "name", "4070 (super|ti)", 285), ("gpu", "model", "nvidia 4070", 200), ("gpu", "model", "nvidia [0-9]070ti", 300), ("gpu", "model", "amd [0-9]800xt", 263),
-]
-
-
 def attribute_map(attributes: DataFrame) -> DataFrame:
     """(product_id, attrs): merged attributes as one map with lower-case keys."""
     pair = F.struct(F.lower("key").alias("k"), "value_text")
@@ -52,11 +37,25 @@ NUMBERS = [
 ]
 
 
-def typed(parts: DataFrame, *keep: str) -> DataFrame:
+def seeded(parts: DataFrame, seed_watts: DataFrame | None = None) -> DataFrame:
+    """Adds ``seed_w``: what the consumption seeds say of a processor or card, by its name or model.
+
+    Each pair of name and model is looked up once, however many parts and builds have it.
+    """
+    table = seeds.watts(parts.sparkSession) if seed_watts is None else seed_watts
+    names = parts.where(F.col("category").isin(seeds.CATEGORIES)).select("category", "name", "model").distinct()
+    found = first_pattern(names.withColumns({"__name": normalize(F.col("name")), "__model": F.lower("model")}), table)
+    found = found.select(F.col("category").alias("__c"), F.col("name").alias("__n"), F.col("model").alias("__m"), F.col("watts").cast("decimal(18,4)").alias("seed_w"))
+    same = (F.col("category") == F.col("__c")) & F.col("name").eqNullSafe(F.col("__n")) & F.col("model").eqNullSafe(F.col("__m"))
+    return parts.join(found, same, "left").drop("__c", "__n", "__m")
+
+
+def typed(parts: DataFrame, *keep: str, seed_watts: DataFrame | None = None) -> DataFrame:
     """(keep..., product_id, category, part): each part as a struct of its names and of the attributes that rules look at."""
+    parts = seeded(parts, seed_watts)
     raw = lambda k: F.nullif(F.trim(F.try_element_at("attrs", F.lit(k))), F.lit(""))
     fields = [*[raw(k).alias(k) for k in TEXTS], *[value_num(raw(k)).alias(f"{k}_n") for k in NUMBERS]]
-    return parts.select(*keep, "product_id", "category", F.struct("product_id", "model", "name", *fields).alias("part"))
+    return parts.select(*keep, "product_id", "category", F.struct("product_id", "model", "name", "seed_w", *fields).alias("part"))
 
 
 def snapshot(items: DataFrame) -> DataFrame:
@@ -102,39 +101,25 @@ def _diverge() -> Column:
 
 def watts(build: DataFrame) -> DataFrame:
     """Adds base_w, recommended_w and watts_known: processor and card plus a fixed part, 40 % on top, half to even."""
-    c, g = F.coalesce(num(F.col("cpu"), "tdp_w"), F.col("cpu_seed_w")), F.coalesce(num(F.col("gpu"), "tdp_w"), F.col("gpu_seed_w"))
+    c, g = F.coalesce(num(F.col("cpu"), "tdp_w"), F.col("cpu.seed_w")), F.coalesce(num(F.col("gpu"), "tdp_w"), F.col("gpu.seed_w"))
     zero = F.lit(0).cast("decimal(18,4)")
     base = (F.coalesce(c, zero) + F.coalesce(g, zero) + OVERHEAD_W).cast("decimal(18,4)")
     known = (F.col("cpu").isNull() | c.isNotNull()) & (F.col("gpu").isNull() | g.isNotNull())
     return build.withColumns({"base_w": base, "recommended_w": F.bround(base * F.lit(HEADROOM).cast("decimal(4,2)"), 0), "watts_known": known})
 
 
-def with_seeds(builds: DataFrame, chipsets: DataFrame | None = None, seed_watts: DataFrame | None = None) -> DataFrame:
-    """Adds what the editorial tables say of a build: chipset support of the processor's generation, consumption by pattern."""
-    spark = builds.sparkSession
+def with_seeds(builds: DataFrame, chipsets: DataFrame | None = None) -> DataFrame:
+    """Adds what the chipset table says of a build: support of the processor's generation; and its power."""
     if chipsets is None:
-        chipsets = spark.createDataFrame(CHIPSETS, "chipset string, socket string, generation string, bios string")
-    if seed_watts is None:
-        seed_watts = spark.createDataFrame([(i, *w) for i, w in enumerate(WATTS)], "pos int, category string, target string, pattern string, watts int")
-    patterns = seed_watts.orderBy("pos").limit(MOST_SEEDS + 1).collect()
-    if len(patterns) > MOST_SEEDS or chipsets.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
-        raise ValueError("seed tables are too large to broadcast")
+        chipsets = seeds.chipsets(builds.sparkSession)
     key = chipset_key(text(F.col("motherboard"), "chipset"))
     out = builds.withColumns({"generation": cpu_generation(F.col("cpu.model")), "__chip": key})
-    names = F.broadcast(chipsets.select(F.col("chipset").alias("__name")).distinct())
+    names = chipsets.select(F.col("chipset").alias("__name")).distinct()
     short = F.when((F.length("__chip") > 4) & F.col("__chip").rlike("[me]$"), F.expr("substring(__chip, 1, length(__chip) - 1)"))
     out = out.join(names, F.col("__chip") == F.col("__name"), "left").withColumnRenamed("__name", "__exact").withColumn("__short", short)
     out = out.join(names, F.col("__short") == F.col("__name"), "left").withColumn("chipset", F.coalesce("__exact", "__name"))
-    support = F.broadcast(chipsets.select(F.col("chipset").alias("__c"), F.col("generation").alias("__g"), "bios", F.lit(True).alias("supported")))
+    support = chipsets.select(F.col("chipset").alias("__c"), F.col("generation").alias("__g"), "bios", F.lit(True).alias("supported"))
     out = out.join(support, (F.col("chipset") == F.col("__c")) & (F.col("generation") == F.col("__g")), "left")
-
-    def by_pattern(slot: str) -> Column:
-        name, model = normalize(F.col(f"{slot}.name")), F.lower(F.col(f"{slot}.model"))
-        hits = [F.when(name.rlike(rf"(?i)\b(?:{p.pattern})\b"), F.lit(p.watts)) for p in patterns if p.category == slot and p.target == "name"]
-        hits += [F.when(model.rlike(f"(?i)^(?:{p.pattern})$"), F.lit(p.watts)) for p in patterns if p.category == slot and p.target == "model"]
-        return F.coalesce(*hits, F.lit(None).cast("int")).cast("decimal(18,4)")
-
-    out = out.withColumns({"cpu_seed_w": by_pattern("cpu"), "gpu_seed_w": by_pattern("gpu")})
     return watts(out.drop("__chip", "__exact", "__short", "__name", "__c", "__g"))
 
 
@@ -196,8 +181,8 @@ def candidates(build: DataFrame, parts: DataFrame, category: str, chipsets: Data
         raise ValueError("exactly one build is asked for")
     slots = [c for c in SINGLE + MANY]
     frozen = build.sparkSession.createDataFrame(one, build.schema).select(*slots)
-    rows = typed(parts.where(F.col("category") == category)).select(F.col("product_id").alias("build_id"), F.col("part").alias("__new")).join(F.broadcast(frozen))
+    rows = typed(parts.where(F.col("category") == category), seed_watts=seed_watts).select(F.col("product_id").alias("build_id"), F.col("part").alias("__new")).join(F.broadcast(frozen))
     put = F.concat(category, F.array("__new")) if category in MANY else F.col("__new")
-    judged = evaluated(with_seeds(rows.withColumn(category, put).drop("__new"), chipsets, seed_watts))
+    judged = evaluated(with_seeds(rows.withColumn(category, put).drop("__new"), chipsets))
     errors = F.transform(F.filter("issues", lambda i: i["severity"] == "E"), lambda i: i["code"])
     return judged.select(F.col("build_id").alias("product_id"), (F.size(errors) == 0).alias("compatible"), errors.alias("reasons"))

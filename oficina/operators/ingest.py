@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.specs import value_bool, value_num
+from ..functions.specs import extract, value_bool, value_num
 from ..functions.noise import is_noise
 from ..functions.text import brand, chip_id, clean_title, match_key, normalize_part_number, part_number
 from ..sources.shared import cut
+from .prices import price_drops
 
 # Precedence of attribute sources.
 PRECEDENCE = {"reference": 0, "title": 1, "page": 2, "manual": 3}
@@ -24,7 +25,8 @@ def keep_first(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, known_keys: DataFrame, rounds: int = 50) -> DataFrame:
     """Adds product_id and is_new to a batch of items (seq, store_id, store_sku, part_number, match_key).
 
-    A known (store, SKU) decides, then a known part number, then a known match key.
+    A known (store, SKU) decides, then a known part number, then a known match key. Where items have a ``category``, so
+    have the known tables, and nothing is matched across categories.
     The others are resolved within the batch as if taken in ``seq`` order: an item makes a new product,
     named after its seq, unless an earlier maker has its part number or, failing
     that, its match key. Makers are found in rounds, many at once: an open item that
@@ -33,10 +35,12 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     """
     # An item without a key gets one of its own, so that null keys neither meet nor gather in one task.
     own = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
-    base = items.withColumns({"__a": F.coalesce(normalize_part_number(F.col("part_number")), own), "__b": F.coalesce("match_key", own)})
-    base = base.join(known_skus.select("store_id", "store_sku", F.col("product_id").alias("__s")), ["store_id", "store_sku"], "left")
-    base = base.join(known_parts.select(F.col("part_number").alias("__a"), F.col("product_id").alias("__p")), "__a", "left")
-    base = base.join(known_keys.select(F.col("match_key").alias("__b"), F.col("product_id").alias("__k")), "__b", "left")
+    within = ["category"] if "category" in items.columns else []
+    keyed = lambda c: F.concat(*[x for w in within for x in (F.coalesce(w, F.lit("")), F.lit("\u0001"))], c)
+    base = items.withColumns({"__a": F.coalesce(keyed(normalize_part_number(F.col("part_number"))), own), "__b": F.coalesce(keyed(F.col("match_key")), own)})
+    base = base.join(known_skus.select(*within, "store_id", "store_sku", F.col("product_id").alias("__s")), [*within, "store_id", "store_sku"], "left")
+    base = base.join(known_parts.select(keyed(F.col("part_number")).alias("__a"), F.col("product_id").alias("__p")), "__a", "left")
+    base = base.join(known_keys.select(keyed(F.col("match_key")).alias("__b"), F.col("product_id").alias("__k")), "__b", "left")
     base = cut(base.select("seq", "__a", "__b", F.coalesce("__s", "__p", "__k").cast("string").alias("product_id")))
     done = base.where("product_id IS NOT NULL").select("seq", "product_id", F.lit(False).alias("is_new"))
     todo = base.where("product_id IS NULL").select("seq", "__a", "__b")
@@ -62,7 +66,7 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     return items.join(done, "seq")
 
 
-def reference_specs(items: DataFrame, reference: DataFrame) -> DataFrame:
+def reference_specs(items: DataFrame, reference: DataFrame, *keep: str) -> DataFrame:
     """(product_id, key, value_text, source) for items (product_id, category, title) whose chip a reference table knows.
 
     ``reference`` has (category, chip_id, name, launch, specs map); name and launch become attributes too.
@@ -70,26 +74,99 @@ def reference_specs(items: DataFrame, reference: DataFrame) -> DataFrame:
     known = items.withColumn("chip_id", chip_id(F.col("category"), F.col("title"))).where("chip_id IS NOT NULL").join(reference, ["category", "chip_id"])
     own = F.map_filter(F.create_map(F.lit("reference_model"), F.col("name"), F.lit("launch"), F.col("launch")), lambda _, v: v.isNotNull() & (v != ""))
     pairs = F.concat(F.map_entries(F.map_filter(own, lambda k, _: ~F.map_contains_key("specs", k))), F.map_entries("specs"))
-    return known.select("product_id", F.explode(pairs).alias("p")).select("product_id", F.col("p.key").alias("key"), F.col("p.value").alias("value_text"), F.lit("reference").alias("source"))
+    return known.select("product_id", *keep, F.explode(pairs).alias("p")).select("product_id", *keep, F.col("p.key").alias("key"), F.col("p.value").alias("value_text"), F.lit("reference").alias("source"))
 
 
-def run(raw: DataFrame, known_skus: DataFrame, known_parts: DataFrame, known_keys: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
+#: What a listing takes from each new observation, and what only fills a gap.
+OBSERVED = ["product_id", "url", "title", "price_cash", "price_card", "installments", "installment_text", "in_stock"]
+FIRST_SEEN = ["thumbnail"]
+
+
+def known(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The anchors of ``resolve``, from the tables as they stand: (store, SKU), part numbers and models, by category.
+
+    Of products that share an anchor the one with the smallest id counts.
+    """
+    by = lambda key, name: products.where(F.col(key).isNotNull()).groupBy("category", F.col(key).alias(name)).agg(F.min("product_id").alias("product_id"))
+    skus = listings.select("store_id", "store_sku", "product_id").join(products.select("product_id", "category"), "product_id")
+    return skus, by("part_number", "part_number"), by("model", "match_key")
+
+
+def run(
+    raw: DataFrame, known_skus: DataFrame, known_parts: DataFrame, known_keys: DataFrame, listings: DataFrame,
+    products: DataFrame | None = None, history: DataFrame | None = None, attributes: DataFrame | None = None, reference: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """One batch from raw listings to tables.
 
-    ``raw`` has (seq, store_id, store_sku, category, title, maker, price_cash, in_stock). Noise
-    goes, of a (store, SKU) the first arrival stays, items are resolved to products, and listings
-    (store_id, store_sku, product_id, price_cash, in_stock) are upserted. ``changes`` are the listings whose price
-    or stock differs from before.
+    ``raw`` has (seq, store_id, store_sku, category, title, maker, price_cash, in_stock) and any of url, thumbnail, price_card,
+    installments, installment_text. Noise goes, of a (store, SKU) the first arrival stays, items are resolved to products of their
+    category, and listings are upserted. ``changes`` are the listings whose price or stock differs from before.
+
+    With ``products`` (product_id, category, brand, model, name, part_number, image_url) ``catalog`` is that table after the batch;
+    with ``history`` (store_id, product_id, price_cash, in_stock) ``drops`` are the products under their store's lowest price; with
+    ``attributes`` (product_id, key, value_text, source) ``attributes`` is that table after the batch and ``attribute_changes`` how
+    often each value changed, by the title and, with ``reference``, by the chip.
     """
     kept = raw.where(~F.coalesce(is_noise(F.col("category"), F.col("title")), F.lit(False)))
     first = keep_first(kept, ["store_id", "store_sku"], ["seq"])
     items = first.withColumns({"match_key": match_key(F.col("title")), "part_number": part_number(F.col("title"))})
     resolved = cut(resolve(items, known_skus, known_parts, known_keys))
-    now = resolved.select("store_id", "store_sku", "product_id", "price_cash", "in_stock")
-    after = upsert(listings, now, ["store_id", "store_sku"], ["price_cash", "in_stock"], ["product_id"])
+    observed, first_seen = ([c for c in cols if c in resolved.columns] for cols in (OBSERVED, FIRST_SEEN))
+    now = resolved.select("store_id", "store_sku", *observed, *first_seen)
+    missing = {c: F.lit(None).cast(now.schema[c].dataType) for c in [*observed, *first_seen] if c not in listings.columns}
+    after = upsert(listings.withColumns(missing), now, ["store_id", "store_sku"], observed, first_seen)
     before = listings.select("store_id", "store_sku", F.struct("price_cash", "in_stock").alias("__old"))
     changes = now.join(before, ["store_id", "store_sku"], "left").where(~F.struct("price_cash", "in_stock").eqNullSafe(F.col("__old"))).drop("__old")
-    return {"resolved": resolved, "products": new_products(resolved), "listings": after, "changes": changes, "review": review_queue(resolved)}
+    out = {"resolved": resolved, "products": new_products(resolved), "listings": after, "changes": changes, "review": review_queue(resolved)}
+    if products is not None:
+        out["catalog"] = updated_products(products, resolved)
+    if history is not None:
+        out["drops"] = price_drops(now, history)
+    if attributes is not None:
+        derived = derived_attributes(resolved, reference)
+        out["attributes"] = merge_attributes(attributes.withColumn("seq", F.lit(-1).cast("long")).unionByName(derived))
+        out["attribute_changes"] = attribute_changes(attributes, derived)
+    return out
+
+
+def updated_products(products: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The product table after a batch: new products are added; every product that an item was resolved to takes the last
+    item's name, and the first image and part number where it has none."""
+    image = F.col("thumbnail") if "thumbnail" in resolved.columns else F.lit(None).cast("string")
+    items = resolved.withColumns({"__image": image, "__part": normalize_part_number(F.col("part_number")), "__made": F.when(F.col("is_new"), F.struct("category", brand(F.col("maker"), F.col("title")).alias("brand"), F.coalesce("match_key", "product_id").alias("model")))})
+    earliest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    seen = items.groupBy("product_id").agg(F.max_by(clean_title(F.col("title")), "seq").alias("n"), earliest("__image").alias("i"), earliest("__part").alias("p"), earliest("__made").alias("m"))
+    both = products.alias("o").join(seen.alias("s"), "product_id", "full").where(F.col("o.name").isNotNull() | F.col("o.category").isNotNull() | F.col("m").isNotNull())
+    pick = lambda c, new: F.coalesce(F.col(f"o.{c}"), new).alias(c)
+    return both.select(
+        "product_id", pick("category", F.col("m.category")), pick("brand", F.col("m.brand")), pick("model", F.col("m.model")),
+        F.coalesce("n", "o.name").alias("name"), pick("part_number", F.col("p")), pick("image_url", F.col("i")),
+    )
+
+
+def derived_attributes(resolved: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """(product_id, key, value_text, source, seq) that a batch says of its products: by the title and, with a table, by the chip."""
+    own = resolved.select("product_id", "seq", F.explode(extract(F.col("category"), F.col("title"))).alias("key", "value_text")).where("value_text IS NOT NULL")
+    out = own.select("product_id", "key", F.col("value_text").cast("string").alias("value_text"), F.lit("title").alias("source"), F.col("seq").cast("long").alias("seq"))
+    if reference is None:
+        return out
+    chips = reference_specs(resolved.select("product_id", "category", "title", "seq"), reference, "seq")
+    return out.unionByName(chips.select("product_id", "key", "value_text", "source", F.col("seq").cast("long").alias("seq")))
+
+
+def attribute_changes(attributes: DataFrame, derived: DataFrame) -> DataFrame:
+    """(product_id, key, changes): how often a value changes when ``derived`` rows are applied to a table in the order of seq.
+
+    A row counts if its source stands as high as every one before it; it is a change if its text differs from that of the last that counted.
+    Within an item the lower source comes first. Texts are compared as they are kept, cut at 256 characters.
+    """
+    level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]), F.col("source")), F.lit(OTHER))
+    rows = attributes.select("product_id", "key", "value_text", "source", F.lit(-1).cast("long").alias("seq")).unionByName(derived)
+    rows = rows.where("value_text <> ''").withColumns({"__level": level, "__text": F.substring("value_text", 1, 256)})
+    order = Window.partitionBy("product_id", "key").orderBy("seq", "__level")
+    counted = rows.withColumn("__top", F.max("__level").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__level >= __top")
+    changed = counted.withColumn("__before", F.lag("__text").over(order)).where((F.col("seq") >= 0) & ~F.col("__text").eqNullSafe(F.col("__before")))
+    return changed.groupBy("product_id", "key").agg(F.count("*").alias("changes"))
 
 
 def new_products(resolved: DataFrame) -> DataFrame:

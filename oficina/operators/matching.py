@@ -71,15 +71,17 @@ def _grams(text: Column) -> Column:
 
 
 def filed(table: DataFrame, required: Column, keys: list[str]) -> DataFrame:
-    """Adds ``gram`` to a table of texts: of the grams of ``required`` (an array of literals) the one that the fewest rows share."""
-    whole = F.filter(F.flatten(F.transform(required, lambda r: F.when(F.length(r) < GRAM, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - GRAM + 1), lambda i: F.substring(r, i, F.lit(GRAM)))))), lambda g: g != "")
+    """Adds ``gram`` to a table: of the grams of ``required`` (an array of literals) the one that the fewest rows share.
+
+    Equal rows become one.
+    """
+    runs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - GRAM + 1), lambda i: F.substring(r, i, F.lit(GRAM)))
+    whole = F.filter(F.flatten(F.transform(required, lambda r: F.when(F.length(r) < GRAM, F.array(F.lower(r))).otherwise(runs(F.lower(r))))), lambda g: g != "")
     longest = F.array_max(F.transform(whole, lambda g: F.length(g)))
-    of_table = F.array_distinct(F.filter(whole, lambda g: F.length(g) == longest))
-    rows = table.withColumn("__row", F.monotonically_increasing_id()).withColumn("__grams", F.when(F.size(of_table) > 0, of_table).otherwise(F.array(F.lit(""))))
-    each = rows.select("__row", *keys, F.explode("__grams").alias("gram"))
+    grams = F.array_distinct(F.filter(whole, lambda g: F.length(g) == longest))
+    each = table.withColumn("gram", F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))))
     shared = each.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "gram")))
-    best = shared.groupBy("__row").agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
-    return rows.drop("__grams").join(best, "__row").drop("__row")
+    return shared.groupBy(*table.columns).agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
 
 
 def candidates(texts: DataFrame, text_col: str, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,7 +91,7 @@ def candidates(texts: DataFrame, text_col: str, table: DataFrame, keys: list[str
     """
     used = table.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("gram").alias("__gram")).distinct()
     each = texts.withColumn("__g", F.explode(_grams(F.col(text_col))))
-    same = (F.col("__g") == F.col("__gram"))
+    same = F.col("__g") == F.col("__gram")
     for k in keys:
         same = same & (F.col(k) == F.col(f"__k_{k}"))
     each = each.join(used, same, "left_semi")
@@ -103,12 +105,28 @@ def first_pattern(names: DataFrame, table: DataFrame) -> DataFrame:
     ``names`` has distinct (category, name, model), ``table`` (pos, category, target, pattern, watts). A pattern for names stands
     between word bounds of the normalised name, one for models is the whole model.
     """
-    required = F.udf(literals, "array<string>")(F.col("pattern"))
+    required = F.udf(literals, "array<string>", useArrow=False)(F.col("pattern"))
     index = filed(table.withColumn("__required", required), F.col("__required"), ["category", "target"]).drop("__required")
-    texts = names.select("category", "name", "model", F.explode(F.array(F.struct(F.lit("name").alias("target"), F.col("__name").alias("text")), F.struct(F.lit("model").alias("target"), F.col("__model").alias("text")))).alias("x"))
-    texts = texts.select("category", "name", "model", "x.target", F.lower("x.text").alias("text")).where("text IS NOT NULL")
-    # Patterns are written in lower case with the words of names, so texts are compared in lower case.
-    tried = candidates(texts, "text", index.withColumn("pattern", F.lower("pattern")), ["category", "target"])
-    whole = F.when(F.col("target") == "name", F.concat(F.lit(r"\b(?:"), F.col("pattern"), F.lit(r")\b"))).otherwise(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))
-    hits = tried.where(F.col("text").rlike(whole))
+    both = F.array(F.struct(F.lit("name").alias("target"), F.col("__name").alias("text")), F.struct(F.lit("model").alias("target"), F.col("__model").alias("text")))
+    texts = names.select("category", "name", "model", F.explode(both).alias("x")).select("category", "name", "model", "x.target", F.lower("x.text").alias("text")).where("text IS NOT NULL")
+    tried = candidates(texts, "text", index, ["category", "target"])
+    whole = F.when(F.col("target") == "name", F.concat(F.lit(r"(?i)\b(?:"), F.col("pattern"), F.lit(r")\b"))).otherwise(F.concat(F.lit("(?i)^(?:"), F.col("pattern"), F.lit(")$")))
+    hits = tried.where(F.rlike(F.col("text"), whole))
     return hits.groupBy("category", "name", "model").agg(F.min_by("watts", F.struct(F.when(F.col("target") == "name", 0).otherwise(1), "pos")).alias("watts"))
+
+
+def longest_label(labels: DataFrame, table: DataFrame, left_over: int) -> DataFrame:
+    """(category, label, and the table's other columns): the rule equal to a label, else the longest one inside it that leaves few characters.
+
+    ``labels`` has distinct (category, label), both normalised; ``table`` (category, rule, ...). Of rules of one length the first by
+    name counts.
+    """
+    rest = [c for c in table.columns if c not in ("category", "rule")]
+    index = filed(table.where("rule <> ''"), F.array("rule"), ["category"])
+    tried = candidates(labels.select("category", "label"), "label", index, ["category"])
+    at = F.instr(F.col("label"), F.col("rule"))
+    outside = F.length(F.trim(F.concat(F.substring(F.col("label"), F.lit(1), at - 1), F.substring(F.col("label"), at + F.length("rule"), F.length("label")))))
+    equal = F.col("label") == F.col("rule")
+    fits = tried.where(equal | (F.contains("label", "rule") & (outside <= left_over)))
+    best = fits.groupBy("category", "label").agg(F.min_by(F.struct(*rest), F.struct(F.when(equal, 0).otherwise(1), -F.length("rule"), "rule")).alias("r"))
+    return best.select("category", "label", "r.*")

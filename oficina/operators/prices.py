@@ -108,6 +108,9 @@ def offers(daily: DataFrame, listings: DataFrame, today: Column, period: str = "
 
 
 def price_drops(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Products of a batch that are in stock under their smallest in-stock price so far."""
-    base = history.where(sellable()).groupBy("product_id").agg(F.min("price_cash").alias("lowest"))
-    return batch.where(sellable()).join(base, "product_id").where("price_cash < lowest").select("product_id").distinct()
+    """(store_id, product_id) of a batch that are in stock under the smallest in-stock price that their store has had so far.
+
+    ``history`` is as of the batch's start, so a drop within the batch is no baseline for the next row of it.
+    """
+    base = history.where(sellable()).groupBy("store_id", "product_id").agg(F.min("price_cash").alias("lowest"))
+    return batch.where(sellable()).join(base, ["store_id", "product_id"]).where("price_cash < lowest").select("store_id", "product_id").distinct()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.specs import parsed, sane
 from ..functions.text import normalize
+from .matching import longest_label
 
-#: More rules than this are refused: the rules are broadcast.
-MOST_RULES = 20_000
 LEFT_OVER = 12
 JOINED_KINDS = ["list", "iface_or_outputs"]
 # Fixed values: (category, normalised label, key or null, kind). A larger table is given as a DataFrame.
@@ -38,7 +37,7 @@ LABELS = [
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELS, "category string, rule string, key string, kind string")
+    return spark.createDataFrame(LABELS, "category string, rule string, key string, kind string").withColumn("rule", normalize(F.col("rule")))
 
 
 KINDS = [
@@ -57,26 +56,26 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matched(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs with the rule of their label: the equal label, else the longest one inside it that leaves at most 12 characters."""
-    if table.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError("too many rules to broadcast")
-    t = F.broadcast(table.withColumnRenamed("category", "__category"))
-    norm = normalize(F.col("label"))
-    at = F.instr(F.col("__label"), F.col("rule"))
-    rest = F.length(F.trim(F.concat(F.substring(F.col("__label"), F.lit(1), at - 1), F.substring(F.col("__label"), at + F.length("rule"), F.length("__label")))))
-    fits = (F.col("category") == F.col("__category")) & ((F.col("__label") == F.col("rule")) | (F.contains("__label", "rule") & (rest <= LEFT_OVER)))
-    out = pairs.withColumn("__label", norm).join(t, fits).drop("__category")
-    keys = [c for c in pairs.columns]
-    best = Window.partitionBy(*keys).orderBy((F.col("__label") == F.col("rule")).desc(), F.length("rule").desc(), "rule")
-    return out.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__label", "rule")
+    """Pairs with the rule of their label: the equal label, else the longest one inside it that leaves at most 12 characters.
+
+    Each label of a category is looked up once, through an index of the rules.
+    """
+    rows = pairs.withColumn("__label", normalize(F.col("label")))
+    labels = rows.select("category", F.col("__label").alias("label")).distinct()
+    best = longest_label(labels, table, LEFT_OVER).withColumnsRenamed({"category": "__c", "label": "__l"})
+    return rows.join(best, (F.col("category") == F.col("__c")) & (F.col("__label") == F.col("__l"))).drop("__c", "__l", "__label")
 
 
 def mapped(pairs: DataFrame, table: DataFrame, page: str = "page_id") -> DataFrame:
-    """(page, key, value): the last value of each key; list kinds are joined in order; each part cut at 256 characters."""
-    m = matched(pairs, table)
-    v = m.select(page, "pos", "kind", F.posexplode(parsed(F.col("kind"), F.col("key"), F.col("value"))).alias("sub", "x")).select(page, "pos", "sub", "kind", "x.*")
+    """(page, key, value): the last value of each key; list kinds are joined in order; each part cut at 256 characters.
+
+    Where pairs have a ``sheet``, each sheet is mapped by itself and the highest one that has a key gives its value.
+    """
+    m = matched(pairs if "sheet" in pairs.columns else pairs.withColumn("sheet", F.lit(0)), table)
+    v = m.select(page, "sheet", "pos", "kind", F.posexplode(parsed(F.col("kind"), F.col("key"), F.col("value"))).alias("sub", "x")).select(page, "sheet", "pos", "sub", "kind", "x.*")
     v = v.where(sane(F.col("key"), F.col("value"))).withColumn("value", F.substring("value", 1, 256))
     at = F.struct("pos", "sub")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "value"))), lambda x: x["value"]), ", ")
-    g = v.groupBy(page, "key").agg(joined.alias("__all"), F.max_by("value", at).alias("__last"), F.max_by("kind", at).alias("__kind"))
-    return g.select(page, "key", F.when(F.col("__kind").isin(*JOINED_KINDS), F.col("__all")).otherwise(F.col("__last")).alias("value"))
+    g = v.groupBy(page, "key", "sheet").agg(joined.alias("__all"), F.max_by("value", at).alias("__last"), F.max_by("kind", at).alias("__kind"))
+    value = F.when(F.col("__kind").isin(*JOINED_KINDS), F.col("__all")).otherwise(F.col("__last"))
+    return g.groupBy(page, "key").agg(F.max_by(value, "sheet").alias("value"))

@@ -109,9 +109,9 @@ def _batch(spark, sf):
         (F.col("product_id") * 4 + F.col("k")).alias("seq"), (F.col("k") % 2).alias("store_id"), F.col("product_id").cast("string").alias("store_sku"), "category", "title", F.lit(None).cast("string").alias("maker"),
         (F.col("product_id") % 90 + F.col("k")).cast("decimal(12,2)").alias("price_cash"), (F.col("product_id") % 5 != 0).alias("in_stock"),
     )
-    skus = t.where("product_id % 4 = 0").select(F.lit(0).alias("store_id"), F.col("product_id").cast("string").alias("store_sku"), F.concat(F.lit("old-"), F.col("product_id").cast("string")).alias("product_id"))
-    old = skus.select("*", (F.col("store_sku").cast("long") % 90).cast("decimal(12,2)").alias("price_cash"), (F.col("store_sku").cast("long") % 2 == 0).alias("in_stock"))
-    none = spark.createDataFrame([], "product_id string, part_number string, match_key string")
+    skus = t.where("product_id % 4 = 0").select("category", F.lit(0).alias("store_id"), F.col("product_id").cast("string").alias("store_sku"), F.concat(F.lit("old-"), F.col("product_id").cast("string")).alias("product_id"))
+    old = skus.drop("category").select("*", (F.col("store_sku").cast("long") % 90).cast("decimal(12,2)").alias("price_cash"), (F.col("store_sku").cast("long") % 2 == 0).alias("in_stock"))
+    none = spark.createDataFrame([], "category string, product_id string, part_number string, match_key string")
     return ingest.run(raw, skus, none, none, old)
 
 

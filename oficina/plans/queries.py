@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import noise, specs, text
-from ..operators import builds, catalog, compatibility, ingest, prices, runs, spec_sheet
+from ..operators import builds, catalog, compatibility, ingest, matching, prices, runs, seeds, spec_sheet
 from ..sources import bindings, pages
 from ..sources.shared import own_folder
 from ..sources.bindings import table, view
@@ -224,9 +224,9 @@ def offers_24h(spark, sf):
     return prices.offers(prices.daily_minimum(view(spark, sf, "history")), view(spark, sf, "listings"), today(), "24h", 5000)
 
 
-@query(bindings.sql("listings") + ", b AS (SELECT product_id, min(price_cash) AS lowest FROM history WHERE in_stock AND day < DATE '2024-01-03' GROUP BY product_id) SELECT DISTINCT l.product_id FROM listings l JOIN b ON b.product_id = l.product_id WHERE l.in_stock AND l.price_cash < lowest")
+@query(bindings.sql("listings") + ", b AS (SELECT store_id, product_id, min(price_cash) AS lowest FROM history WHERE in_stock AND day < DATE '2024-01-03' GROUP BY store_id, product_id) SELECT DISTINCT l.store_id, l.product_id FROM listings l JOIN b ON b.product_id = l.product_id AND b.store_id = l.store_id WHERE l.in_stock AND l.price_cash < lowest")
 def price_drop_flags(spark, sf):
-    """WIN7, AGG15: products whose current price is under every earlier one."""
+    """WIN7, AGG15: products whose current price in a store is under every earlier one of that store."""
     return prices.price_drops(view(spark, sf, "listings"), view(spark, sf, "history").where("day < DATE '2024-01-03'"))
 
 
@@ -304,7 +304,7 @@ def listing_upsert(spark, sf):
 def product_resolution(spark, sf):
     """JN8: raw listings of all titles resolved to known and new products (order-dependent; held against brute force in the tests)."""
     t = view(spark, sf, "titles").withColumns({"seq": F.col("product_id"), "store_id": F.lit(0), "store_sku": F.col("product_id").cast("string"), "match_key": text.match_key(F.col("title")), "part_number": text.part_number(F.col("title"))}).drop("product_id")
-    none = spark.createDataFrame([], "store_id int, store_sku string, product_id string, part_number string, match_key string")
+    none = spark.createDataFrame([], "category string, store_id int, store_sku string, product_id string, part_number string, match_key string")
     done = ingest.resolve(t, none, none, none)
     return done.select("seq", "category", "product_id", "is_new", "part_number", "match_key")
 
@@ -398,7 +398,7 @@ def _compat_sql() -> str:
     count = lambda who, token: f"CASE WHEN list_sum(list_transform(regexp_extract_all({who}, '(\\d+)x{token}', 1), lambda x: x::INT)) > 0 THEN list_sum(list_transform(regexp_extract_all({who}, '(\\d+)x{token}', 1), lambda x: x::INT)) WHEN regexp_matches({who}, '(^|[^0-9]){token}') THEN 1 ELSE 0 END"
     plain = lambda c: f"replace(replace(replace(replace(replace(lower({c}), '6+2', '8'), ' ', ''), '-', ''), '+', ''), 'pinos', 'pin')"
     listed = lambda c: f"list_transform(string_split(translate({c}, '[]\"', ''), ','), lambda x: lower(trim(x)))"
-    seeds = ", ".join(f"('{c}', '{s}', '{g}', {'NULL' if b is None else repr(b)})" for c, s, g, b in compatibility.CHIPSETS)
+    chips = ", ".join(f"('{c}', '{s}', '{g}', {'NULL' if b is None else repr(b)})" for c, s, g, b in seeds.CHIPSETS)
     rules = [
         ("CPU_SOCKET_MISMATCH", "E", "lower(cpu_socket) <> lower(motherboard_socket)"),
         ("CPU_CHIPSET_UNSUPPORTED", "E", "NOT coalesce(lower(cpu_socket) <> lower(motherboard_socket), false) AND gen IS NOT NULL AND chip IS NOT NULL AND NOT supported"),
@@ -418,13 +418,13 @@ def _compat_sql() -> str:
         ("BIOS_UPDATE_NEEDED", "W", "supported AND bios IS NOT NULL AND NOT coalesce(lower(cpu_socket) <> lower(motherboard_socket), false)"),
     ]
     all_rules = " UNION ALL ".join(f"SELECT build_id, '{sev}' AS severity, '{code}' AS code FROM v WHERE {cond}" for code, sev, cond in rules)
-    seed_w = " ".join(f"WHEN regexp_matches(cpu_model, '^(?:{p})$') THEN {w}" for c, target, p, w in compatibility.WATTS if c == "cpu" and target == "model")
+    seed_w = " ".join(f"WHEN regexp_matches(cpu_model, '^(?:{p})$') THEN {w}" for c, target, p, w in seeds.WATTS if c == "cpu" and target == "model")
     return f"""{bindings.sql("titles", "build_items")}, k AS (SELECT product_id, {_MATCH} AS match_key FROM (SELECT *, {_N} AS n FROM titles)),
 pw AS (SELECT p_partkey, p_partkey % 8 AS cat, {wide} FROM part),
 it AS (SELECT b.build_id, b.seq, pw.*, k.match_key, row_number() OVER (PARTITION BY b.build_id, pw.cat ORDER BY b.seq) AS rk FROM build_items b JOIN pw ON pw.p_partkey = b.part_id JOIN k ON k.product_id = b.part_id),
 w AS (SELECT build_id, {has}, {first}, {model("cpu", 0)}, list(lower(memory_type)) FILTER (cat = 3) AS mem_types, sum(memory_capacity_gb::INT) FILTER (cat = 3) AS capacity, sum(memory_modules::INT) FILTER (cat = 3) AS modules,
   max(memory_speed_mhz::INT) FILTER (cat = 3) AS fastest, count(*) FILTER (cat = 4 AND lower(storage_interface) = 'nvme') AS nvme FROM it GROUP BY build_id),
-seed(chipset, socket, generation, bios) AS (VALUES {seeds}),
+seed(chipset, socket, generation, bios) AS (VALUES {chips}),
 x AS (SELECT *, CASE WHEN cpu_model IS NULL THEN NULL ELSE (SELECT {_GENERATION} FROM (SELECT lower(cpu_model) AS l)) END AS gen, regexp_replace(regexp_replace(lower(motherboard_chipset), '[^a-z0-9]', '', 'g'), '^(amd|intel)', '') AS ck,
   {plain("gpu_power_connectors")} AS gt, {plain("psu_connectors")} AS pt FROM w),
 y AS (SELECT x.*, CASE WHEN ck IN (SELECT chipset FROM seed) THEN ck WHEN length(ck) > 4 AND right(ck, 1) IN ('m', 'e') AND left(ck, length(ck) - 1) IN (SELECT chipset FROM seed) THEN left(ck, length(ck) - 1) END AS chip,
@@ -452,6 +452,35 @@ def compatibility_summary(spark, sf):
     return s.withColumns({"base_w": F.col("base_w").cast("double"), "recommended_w": F.col("recommended_w").cast("double")})
 
 
+def _first_fit(entries) -> str:
+    """SQL: the watts of the first entry that fits, names before models."""
+    rows = ", ".join(f"({i}, '{c}', '{t}', '{p}', {w})" for i, (c, t, p, w) in enumerate(entries))
+    return rf"""sw(pos, cat, target, pattern, watts) AS (VALUES {rows}),
+sf AS (SELECT product_id, arg_min(watts, CASE target WHEN 'name' THEN 0 ELSE 1000000 END + pos) AS watts FROM tm JOIN sw ON cat = category
+  AND CASE target WHEN 'name' THEN regexp_matches(n, '(^|[^\p{{L}}\p{{N}}_])(?:' || pattern || ')([^\p{{L}}\p{{N}}_]|$)') ELSE regexp_matches(lower(match_key), '^(?:' || pattern || ')$') END GROUP BY product_id)"""
+
+
+#: Further patterns by rule, so that the table is as large as a catalog's: numbers that no title has, and the common cards once more.
+_MANY = [("gpu", "name", f"rtx {n} (ti|super)?", n % 700 + 1) for n in range(10_000, 20_000)] + [("cpu", "model", f"intel {n}k?", n % 200 + 1) for n in range(10_000, 20_000)] + seeds.WATTS
+
+
+@query(bindings.sql("titles") + f", tm AS (SELECT product_id, category, n, {_MATCH} AS match_key FROM (SELECT *, {_N} AS n FROM titles)), " + _first_fit(seeds.WATTS) + " SELECT product_id, watts FROM sf")
+def seed_watts(spark, sf):
+    """JN11, FN21: what the consumption seeds say of every processor and card, by its name or model."""
+    return compatibility.seeded(_titled(spark, sf)).where("seed_w IS NOT NULL").select("product_id", F.col("seed_w").cast("int").alias("watts"))
+
+
+@query(bindings.sql("titles") + f", tm AS (SELECT product_id, category, n, {_MATCH} AS match_key FROM (SELECT *, {_N} AS n FROM titles)), " + _first_fit(seeds.WATTS) + " SELECT product_id, watts FROM sf")
+def seed_watts_of_many(spark, sf):
+    """JN11: the same with 20,000 further patterns in the table; the plan does not grow with them."""
+    table_ = spark.createDataFrame([(i, *w) for i, w in enumerate(_MANY)], "pos long, category string, target string, pattern string, watts int")
+    return compatibility.seeded(_titled(spark, sf), table_).where("seed_w IS NOT NULL").select("product_id", F.col("seed_w").cast("int").alias("watts"))
+
+
+def _titled(spark, sf):
+    return view(spark, sf, "titles").select("product_id", "category", text.match_key(F.col("title")).alias("model"), F.col("title").alias("name"))
+
+
 @query()
 def compatible_candidates(spark, sf):
     """CMP18, JN13, FLT9, FLT18: which motherboards fit into the first build (reasons for the others)."""

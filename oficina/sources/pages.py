@@ -7,11 +7,9 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import found, match_key, part_number, price_br
+from ..functions.text import found, match_key, part_number, price_br, stripped
 
 ITEM = "array<struct<code:bigint,name:string,friendlyName:string,manufacturer:struct<name:string>,priceWithDiscount:double,price:double,maxInstallment:string,available:boolean,thumbnail:string>>"
-#: Positions of a page's technical text lie behind those of its description.
-AFTER = 1_000_000
 _EMBEDDED = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 # Words of section titles that open a specification section.
 SPEC_SECTIONS = "especifica|caracter|ficha|informac|detalhe"
@@ -96,16 +94,16 @@ def _plain(html: Column) -> Column:
 
 
 def product_sheets(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFrame:
-    """(id..., pos, label, value) of server-rendered product pages.
+    """(id..., sheet, pos, label, value) of server-rendered product pages.
 
-    A page has two sheets: the free description, of which only specification sections count, and the
-    technical text, all of which counts. The latter's rows come after the former's, so they win where a key repeats.
+    A page has two sheets: the free description (0), of which only specification sections count, and the
+    technical text (1), all of which counts. Each is mapped by itself; the latter wins where both have a key.
     """
     product = F.get_json_object(embedded(F.col(html_col)), "$.props.pageProps.product")
     both = pages.select(*id_cols, F.get_json_object(product, "$.description").alias("__d"), F.get_json_object(product, "$.technicalInformation.text").alias("__t"))
     free = spec_pairs(both.where("__d <> ''"), id_cols, "__d", gated=True)
     technical = spec_pairs(both.where("__t <> ''"), id_cols, "__t")
-    return free.unionByName(technical.withColumn("pos", F.col("pos") + F.lit(AFTER)))
+    return free.withColumn("sheet", F.lit(0)).unionByName(technical.withColumn("sheet", F.lit(1)))
 
 
 def table_pairs(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFrame:
@@ -115,7 +113,7 @@ def table_pairs(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFram
     bold = r"(?is)<strong[^>]*>(.*?)</strong>"
     paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda r: F.struct(found(r, bold).alias("label"), F.regexp_replace(r, bold, "").alias("value")))
     out = pages.select(*id_cols, F.posexplode(F.concat(rows, paragraphs)).alias("pos", "x"))
-    label, value = F.trim(_plain(F.col("x.label"))), F.trim(F.regexp_replace(_plain(F.col("x.value")), r"^\s*:?\s*|\s+$", ""))
+    label, value = stripped(_plain(F.col("x.label"))), stripped(F.regexp_replace(_plain(F.col("x.value")), r"^\s*:?\s*", ""))
     return out.select(*id_cols, "pos", label.alias("label"), value.alias("value")).where("label <> '' AND value <> ''")
 
 
@@ -128,11 +126,11 @@ def spec_pairs(df: DataFrame, id_cols: list[str], html_col: str, gated: bool = F
     t = F.regexp_replace(F.regexp_replace(F.col(html_col), r"<br\s*/?>|</p>", "\n"), "<li[^>]*>", "\n- ")
     t = F.regexp_replace(t, "<[^>]+>", "")
     t = F.replace(unescaped(t), F.lit("\u00a0"), F.lit(" "))
-    lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: ~x.isin("", "-", "•", "*"))
+    lines = F.filter(F.transform(F.split(t, r"\r?\n"), stripped), lambda x: ~x.isin("", "-", "•", "*"))
     rows = df.select(*id_cols, F.posexplode(lines).alias("pos", "line"))
     bullet = F.substring("line", 1, 1).isin("-", "•", "*")
     body = F.regexp_replace("line", r"^[-•*][ \t\-•*]*|[ \t\-•*]+$", "")
-    header = F.trim(F.regexp_replace("line", ":+$", ""))
+    header = stripped(F.regexp_replace("line", ":+$", ""))
     is_header = ~bullet & (header != "") & (F.length(header) <= 48)
     above = Window.partitionBy(*id_cols).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section", F.last(F.when(is_header, header), ignorenulls=True).over(above))
@@ -140,6 +138,6 @@ def spec_pairs(df: DataFrame, id_cols: list[str], html_col: str, gated: bool = F
     if gated:
         rows = rows.where(F.regexp_replace(F.lower("section"), "[^a-z0-9 ]", "").rlike(SPEC_SECTIONS))
     pair = body.contains(":")
-    label = F.when(pair, F.trim(F.substring_index(body, ":", 1))).otherwise(F.col("section"))
-    value = F.when(pair, F.trim(F.expr("substring(__b, instr(__b, ':') + 1)"))).otherwise(body)
+    label = F.when(pair, stripped(F.substring_index(body, ":", 1))).otherwise(F.col("section"))
+    value = F.when(pair, stripped(F.expr("substring(__b, instr(__b, ':') + 1)"))).otherwise(body)
     return rows.withColumn("__b", body).select(*id_cols, "pos", label.alias("label"), value.alias("value")).where("label IS NOT NULL")

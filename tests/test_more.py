@@ -62,8 +62,8 @@ def test_a_batch_equals_the_sequential_version(spark):
     cats = ["cpu", "cpu", "memory", "cpu", "cpu", "storage"]
     raw = [(i, rng.randrange(2), str(rng.randrange(60)), cats[k], titles[k], None, float(rng.randrange(9)), True) for i, k in enumerate(rng.choices(range(6), k=200))]
     df = spark.createDataFrame(raw, "seq long, store_id int, store_sku string, category string, title string, maker string, price_cash double, in_stock boolean")
-    known = spark.createDataFrame([(0, "5", "old")], "store_id int, store_sku string, product_id string")
-    none = spark.createDataFrame([], "product_id string, part_number string, match_key string")
+    known = spark.createDataFrame([(c, 0, "5", "old") for c in sorted(set(cats))], "category string, store_id int, store_sku string, product_id string")
+    none = spark.createDataFrame([], "category string, product_id string, part_number string, match_key string")
     before = spark.createDataFrame([(0, "5", "old", -1.0, True), (7, "1", "other", 2.0, True)], "store_id int, store_sku string, product_id string, price_cash double, in_stock boolean")
     out = ingest.run(df, known, none, none, before)
     marks = {r.seq: r for r in df.select("seq", noise.is_noise(F.col("category"), F.col("title")).alias("noise"), text.match_key(F.col("title")).alias("key"), text.normalize_part_number(text.part_number(F.col("title"))).alias("pn")).collect()}
@@ -72,7 +72,10 @@ def test_a_batch_equals_the_sequential_version(spark):
         if not marks[r[0]].noise:
             first.setdefault((r[1], r[2]), r)
     items = [r for k, r in first.items() if k != (0, "5")]
-    wanted = resolved(sorted((r[0], marks[r[0]].pn, marks[r[0]].key) for r in items))
+    within = {r[0]: r[3] for r in raw}
+    wanted = {}
+    for cat in set(cats):
+        wanted |= resolved(sorted((r[0], marks[r[0]].pn, marks[r[0]].key) for r in items if within[r[0]] == cat))
     got = {r.seq: (r.product_id, r.is_new) for r in out["resolved"].collect()}
     assert {s: v for s, v in got.items() if v[0] != "old"} == wanted and len(got) == len(first)
     assert {r.product_id for r in out["products"].collect()} == {p for p, new in wanted.values() if new}

@@ -147,7 +147,7 @@ def test_watts(spark):
     s = codes(spark, ("cpu", "x", {"tdp_w": "105"}), ("gpu", "y", {"tdp_w": "200"}))[1]
     assert (float(s.base_w), float(s.recommended_w)) == (405, 567)
     s = codes(spark, ("gpu", "RTX 4070 Super", {}))[1]
-    assert float(s.base_w) == 385
+    assert float(s.base_w) == 320
     assert codes(spark, ("gpu", "unknown", {}))[1].base_w is None
 
 
