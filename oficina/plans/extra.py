@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import specs
-from ..operators import builds, catalog, compatibility, ingest, prices, runs, spec_sheet
-from ..sources import bindings, pages
+from ..operators import builds, catalog, compatibility, ingest, prices, runs, search, spec_sheet
+from ..sources import bindings, pages, tables
 from ..sources.bindings import table, view
+from ..sources.shared import own_folder
 from .queries import _COMPAT, _MATCH, _NOISE, _PART, _PRICED, _builds, _parts, query, today
 
 _P = _PRICED + " SELECT product_id, name, created_on, min_price FROM p WHERE min_price IS NOT NULL"
@@ -199,3 +200,43 @@ def candidate_boards(spark, sf):
     b = _builds(spark, sf)
     one = b.join(b.agg(F.min("build_id").alias("build_id")), "build_id", "left_semi")
     return compatibility.candidates(one, _parts(spark, sf), "motherboard").select("product_id", "compatible", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
+# --- standing tables and search ----------------------------------------------------------------
+
+
+@query(bindings.sql("history") + """, r AS (SELECT *, CASE WHEN day < DATE '2024-01-15' THEN 0 ELSE 1 END AS b, CASE WHEN event_id % 3 = 0 THEN 't' || event_id END AS thumb FROM history),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, b ORDER BY event_id DESC) AS n FROM r) WHERE n = 1)
+SELECT coalesce(x.listing_id, y.listing_id) AS listing_id, CASE WHEN y.listing_id IS NOT NULL THEN y.price_cash ELSE x.price_cash END AS price_cash, CASE WHEN y.listing_id IS NOT NULL THEN y.in_stock ELSE x.in_stock END AS in_stock, coalesce(x.thumb, y.thumb) AS thumbnail
+FROM (SELECT * FROM l WHERE b = 0) x FULL JOIN (SELECT * FROM l WHERE b = 1) y ON x.listing_id = y.listing_id""", price_cash="n")
+def standing_listings(spark, sf):
+    """SNK1: the listing table after two batches, the second run twice; only the parts that a batch touches are written."""
+    folder = _standing(spark, sf)
+    return spark.read.parquet(f"{folder}/listings").select("listing_id", "price_cash", "in_stock", "thumbnail")
+
+
+@query(bindings.sql("history") + ", d AS (SELECT *, row_number() OVER (PARTITION BY product_id, day ORDER BY price_cash, listing_id) AS n FROM history WHERE in_stock AND price_cash > 0) SELECT product_id, day, price_cash AS min_price, listing_id FROM d WHERE n = 1", day="d", min_price="n")
+def standing_daily(spark, sf):
+    """SNK5: the daily rollup after the same batches, a part for each day."""
+    return spark.read.parquet(f"{_standing(spark, sf)}/daily").select("product_id", "day", "min_price", "listing_id")
+
+
+def _standing(spark, sf) -> str:
+    folder = own_folder(spark, "standing")
+    rows = view(spark, sf, "history").select(
+        F.col("event_id").alias("seq"), "store_id", F.col("listing_id").cast("string").alias("store_sku"), "listing_id", "product_id", "price_cash", "in_stock", "day",
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias("thumbnail"),
+    )
+    schema = rows.withColumn("batch", F.lit(0).cast("long")).schema
+    for batch in (0, 1, 1):
+        now = rows.where("day < DATE '2024-01-15'" if batch == 0 else "day >= DATE '2024-01-15'")
+        tables.write_batch(folder, batch, now, now, schema, ["listing_id", "product_id", "price_cash", "in_stock"], ["thumbnail"], parts=16)
+    return folder
+
+
+@query(bindings.sql("products") + " SELECT product_id, name FROM products WHERE name ILIKE '%ryzen%7_00%' UNION ALL SELECT product_id, name FROM products WHERE name ILIKE '%5%'")
+def catalog_by_trigrams(spark, sf):
+    """FLT3, FLT9: names that contain a query with wildcards, by their trigrams; and a query too short for one, tried on every name."""
+    p = view(spark, sf, "products").select("product_id", "name")
+    index = search.postings(p)
+    return search.named(p, index, "ryzen%7_00").unionAll(search.named(p, index, "5"))
