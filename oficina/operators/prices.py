@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import differing_in_order
+
 RAW_DAYS = 90
 DAILY_MONTHS = 24
 #: A price under this share (in %) of the 30-day median is an anomaly.
@@ -37,6 +39,12 @@ def changes_only(history: DataFrame) -> DataFrame:
     return kept.withColumn("price_cash", F.coalesce("price_cash", F.lit(0).cast("decimal(12,2)")))
 
 
+def changes_by_ranges(history: DataFrame) -> DataFrame:
+    """As ``changes_only``, by one shuffle into ranges of (listing, time): for listings that hold very many rows of a day."""
+    kept = differing_in_order(history, "listing_id", ["price_cash", "in_stock"], ["collected_at", "event_id"])
+    return kept.withColumn("price_cash", F.coalesce("price_cash", F.lit(0).cast("decimal(12,2)")))
+
+
 def daily_minimum(history: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """(product, day) with its smallest positive in-stock price and the listing that had it (smallest id among equals)."""
     rows = history.where(F.col("in_stock") & (F.col("price_cash") > 0))

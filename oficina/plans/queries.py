@@ -167,6 +167,13 @@ def change_history(spark, sf):
     return prices.changes_only(view(spark, sf, "history")).select("listing_id", "event_id", "price_cash", "in_stock")
 
 
+@query(bindings.sql("history") + """, c AS (SELECT *, lag(price_cash) OVER w AS p, lag(in_stock) OVER w AS s, lag(event_id) OVER w AS e FROM history WINDOW w AS (PARTITION BY listing_id ORDER BY collected_at, event_id))
+SELECT listing_id, event_id, coalesce(price_cash, 0)::DECIMAL(12,2) AS price_cash, in_stock FROM c WHERE e IS NULL OR p IS DISTINCT FROM price_cash OR s IS DISTINCT FROM in_stock""", price_cash="n")
+def change_history_by_ranges(spark, sf):
+    """WIN4, SNK3: the same by ranges of (listing, time), shuffled once, the rows of a listing dealt out."""
+    return prices.changes_by_ranges(view(spark, sf, "history")).select("listing_id", "event_id", "price_cash", "in_stock")
+
+
 @query(bindings.sql("history") + """ SELECT product_id, day, min(price_cash) AS min_price, arg_min(listing_id, price_cash * 100000000 + listing_id) AS listing_id FROM history WHERE in_stock AND price_cash > 0 GROUP BY product_id, day""", day="d", min_price="n")
 def daily_rollup(spark, sf):
     """AGG9, FLT10: daily minimum and its listing."""
