@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and
 returns a DataFrame; all but the last return the columns of ``documents``. ``run``
 writes each result to the shared folder as Parquet and reads it back for the next.
+
+Defined results: a null text is an empty one; it has no letter, so the language stage rejects it. Null ids and sources are
+values like others; of a group of near duplicates a row with an id stays before one without. Equal rows are copies, of which
+one stays. A table without a single labelled text teaches no language, so all of it is rejected; an empty table gives no rows
+in any stage. Further columns are carried by every stage but the last.
 """
 
 from __future__ import annotations
