@@ -92,11 +92,18 @@ def known(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFram
     return skus, by("part_number", "part_number"), by("model", "match_key")
 
 
+def arrivals(raw: DataFrame, noise: bool = True) -> DataFrame:
+    """Raw listings without noise (unless it was taken out before), of a (store, SKU) the first, with the keys that products are matched by."""
+    kept = raw.where(~F.coalesce(is_noise(F.col("category"), F.col("title")), F.lit(False))) if noise else raw
+    first = keep_first(kept, ["store_id", "store_sku"], ["seq"])
+    return first.withColumns({"match_key": match_key(F.col("title")), "part_number": part_number(F.col("title"))})
+
+
 def run(
     raw: DataFrame, known_skus: DataFrame, known_parts: DataFrame, known_keys: DataFrame, listings: DataFrame,
     products: DataFrame | None = None, history: DataFrame | None = None, attributes: DataFrame | None = None, reference: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """One batch from raw listings to tables.
+    """One batch from raw listings to tables. What is known comes from ``known`` or, without moving the catalog, from ``anchors.lookup``.
 
     ``raw`` has (seq, store_id, store_sku, category, title, maker, price_cash, in_stock) and any of url, thumbnail, price_card,
     installments, installment_text. Noise goes, of a (store, SKU) the first arrival stays, items are resolved to products of their
@@ -107,10 +114,7 @@ def run(
     ``attributes`` (product_id, key, value_text, source) ``attributes`` is that table after the batch and ``attribute_changes`` how
     often each value changed, by the title and, with ``reference``, by the chip.
     """
-    kept = raw.where(~F.coalesce(is_noise(F.col("category"), F.col("title")), F.lit(False)))
-    first = keep_first(kept, ["store_id", "store_sku"], ["seq"])
-    items = first.withColumns({"match_key": match_key(F.col("title")), "part_number": part_number(F.col("title"))})
-    resolved = cut(resolve(items, known_skus, known_parts, known_keys))
+    resolved = cut(resolve(arrivals(raw), known_skus, known_parts, known_keys))
     observed, first_seen = ([c for c in cols if c in resolved.columns] for cols in (OBSERVED, FIRST_SEEN))
     now = resolved.select("store_id", "store_sku", *observed, *first_seen)
     missing = {c: F.lit(None).cast(now.schema[c].dataType) for c in [*observed, *first_seen] if c not in listings.columns}

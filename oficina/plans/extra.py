@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import specs
 from ..operators import builds, catalog, compatibility, ingest, prices, runs, search, spec_sheet
-from ..sources import bindings, pages, tables
+from ..sources import anchors, bindings, pages, tables
 from ..sources.bindings import table, view
-from ..sources.shared import own_folder
-from .queries import _COMPAT, _MATCH, _NOISE, _PART, _PRICED, _builds, _parts, query, today
+from ..sources.shared import cut, own_folder
+from .queries import _COMPAT, _MATCH, _N, _NOISE, _PART, _PRICED, _builds, _parts, query, today
 
 _P = _PRICED + " SELECT product_id, name, created_on, min_price FROM p WHERE min_price IS NOT NULL"
 
@@ -240,3 +242,24 @@ def catalog_by_trigrams(spark, sf):
     p = view(spark, sf, "products").select("product_id", "name")
     index = search.postings(p)
     return search.named(p, index, "ryzen%7_00").unionAll(search.named(p, index, "5"))
+
+
+@query(f"""{bindings.sql("titles")}, k AS (SELECT product_id, category, {_MATCH} AS m, {_PART} AS p FROM (SELECT *, {_N} AS n FROM titles)),
+s AS (SELECT * FROM k WHERE product_id % 3 <> 0), sm AS (SELECT category, m, min(CAST(product_id AS VARCHAR)) AS f FROM s GROUP BY ALL), sp AS (SELECT category, p, min(CAST(product_id AS VARCHAR)) AS f FROM s GROUP BY ALL)
+SELECT k.product_id, CASE WHEN k.product_id % 3 <> 0 THEN CAST(k.product_id AS VARCHAR) END AS by_sku, sp.f AS by_part, sm.f AS by_model
+FROM k LEFT JOIN sp ON sp.category = k.category AND sp.p = k.p LEFT JOIN sm ON sm.category = k.category AND sm.m = k.m""")
+def standing_anchors(spark, sf):
+    """JN8, SNK2: the product that each title's SKU, part number and match key lead to, through the standing index after a catalog and a batch."""
+    pid = F.col("product_id").cast("string")
+    t = ingest.arrivals(view(spark, sf, "titles").select("*", F.col("product_id").alias("seq"), F.lit(0).alias("store_id"), pid.alias("store_sku")), noise=False)
+    products = t.where("product_id % 3 = 1").select(pid.alias("product_id"), "store_id", "store_sku", "category", "part_number", F.col("match_key").alias("model"))
+    name = f"anchors_{uuid.uuid4().hex}"
+    anchors.create(spark, name, own_folder(spark, "anchors"), buckets=16)
+    anchors.seed(products, products, name, 0)
+    anchors.extend(t.where("product_id % 3 = 2").withColumns({"product_id": pid, "is_new": F.lit(True)}), name, 1)
+    skus, parts, models = anchors.lookup(t, name, 2)
+    own = lambda found, to: found.withColumnRenamed("product_id", to)
+    out = t.join(own(skus, "by_sku"), ["category", "store_id", "store_sku"], "left").join(own(parts, "by_part"), ["category", "part_number"], "left").join(own(models, "by_model"), ["category", "match_key"], "left")
+    out = cut(out.select("product_id", "by_sku", "by_part", "by_model"))
+    spark.sql(f"DROP TABLE {name}")
+    return out

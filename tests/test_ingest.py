@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oficina.functions import noise, specs, text
 from oficina.operators import ingest, prices, spec_sheet
-from oficina.sources import pages
+from oficina.sources import anchors, pages
 
 RAW = "seq long, store_id int, store_sku string, category string, title string, maker string, price_cash double, in_stock boolean, url string, thumbnail string, price_card double, installment_text string"
 PRODUCTS = "product_id string, category string, brand string, model string, name string, part_number string, image_url string"
@@ -132,3 +132,83 @@ def test_blanks_of_any_kind_go(spark):
     assert [(r.label, r.value) for r in pages.table_pairs(df, ["id"], "html").collect()] == [("Cor", "16 GB"), ("A", "b")]
     got = spark.range(1).select(specs.parsed(F.lit("list"), F.lit("k"), F.lit("HDMI  2.1 x,\t- DP\t1.4 -\n\n|x")).alias("x")).first().x
     assert [v.value for v in got] == ["HDMI 2.1 x, DP 1.4, x"]
+
+
+def raw_batch(rng, first, n=60):
+    out = []
+    for i in range(first, first + n):
+        category, title = rng.choice(TITLES)
+        out.append((i, rng.randrange(2), str(rng.randrange(25)), category, title, rng.choice([None, "AMD"]), rng.choice([None, 10.0, 20.0]), rng.random() < 0.8, f"u{i}", None, None, None))
+    return out
+
+
+def scans(plan, name):
+    """How many scans of a table a physical plan has, and how many of them stand under a shuffle of their own rows."""
+    n = moved = 0
+
+    def walk(node, shuffled):
+        nonlocal n, moved
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan(), shuffled)
+        if kind == "FileSourceScanExec" and name in node.toString():
+            n += 1
+            moved += shuffled
+        for i in range(node.children().size()):
+            # What comes out of a join or an aggregate has the size of the batch.
+            walk(node.children().apply(i), kind == "ShuffleExchangeExec" or (shuffled and kind not in ("SortMergeJoinExec", "BroadcastHashJoinExec", "ShuffledHashJoinExec")))
+
+    walk(plan, False)
+    return n, moved
+
+
+def test_batches_through_the_standing_index_equal_the_sequential_version(spark, tmp_path):
+    rng = random.Random(10)
+    name = "anchors_two"
+    anchors.create(spark, name, str(tmp_path / "anchors"), buckets=8)
+    products = {"p1": {"category": "cpu", "brand": "AMD", "model": "amd 7700x", "name": "old", "part_number": None, "image_url": None}, "p2": {"category": "motherboard", "brand": "Asus", "model": "amd 5600", "name": "board", "part_number": None, "image_url": "i"}}
+    listings = {(0, "3"): {"product_id": "p1", "price_cash": 10.0, "in_stock": True, "title": "old", "url": "u", "thumbnail": None, "price_card": None, "installment_text": None}}
+    frame = lambda t, schema: spark.createDataFrame([(*(k if isinstance(k, tuple) else (k,)), *v.values()) for k, v in t.items()], schema)
+    anchors.seed(frame(products, PRODUCTS), frame(listings, LISTINGS), name, 0)
+    for number, raw in enumerate((raw_batch(rng, 100), raw_batch(rng, 200)), 1):
+        df = spark.createDataFrame(raw, RAW)
+        facts = {r["seq"]: r.asDict() for r in df.select("seq", F.coalesce(noise.is_noise(F.col("category"), F.col("title")), F.lit(False)).alias("noise"), text.match_key(F.col("title")).alias("key"), text.normalize_part_number(text.part_number(F.col("title"))).alias("pn"), text.brand(F.col("maker"), F.col("title")).alias("brand"), text.clean_title(F.col("title")).alias("name")).collect()}
+        for f in facts.values():
+            f["specs"] = {}
+        # Twice: a repeated batch finds and writes the same.
+        for _ in range(2):
+            out = ingest.run(df, *anchors.lookup(ingest.arrivals(df), name, number), frame(listings, LISTINGS), frame(products, PRODUCTS))
+            anchors.extend(out["resolved"], name, number)
+        after = simulated(raw, facts, (products, listings, {}, []))
+        assert {r.product_id: {k: v for k, v in r.asDict().items() if k != "product_id"} for r in out["catalog"].collect()} == after[0]
+        assert {(r.store_id, r.store_sku): r.product_id for r in out["listings"].collect()} == {k: v["product_id"] for k, v in after[1].items()}
+        products, listings = after[:2]
+        # The index stands as if it were written anew from the catalog: same answers to every key.
+        again = ingest.known(frame(listings, LISTINGS), frame(products, PRODUCTS))
+        items = ingest.arrivals(spark.createDataFrame(raw_batch(random.Random(99), 1000, 200), RAW)).select("store_id", "store_sku", "category", "part_number", "match_key")
+        for mine, theirs in zip(anchors.lookup(items, name, number + 1), again):
+            keys = [c for c in theirs.columns if c != "product_id"]
+            theirs = theirs.join(items.withColumn("part_number", text.normalize_part_number(F.col("part_number"))).select(*[c for c in keys if c != "category"], *(["category"] if "store_id" not in keys else [])).distinct(), [c for c in keys if c != "category" or "store_id" not in keys], "left_semi")
+            assert sorted(map(repr, (r.asDict() for r in mine.select(sorted(mine.columns)).collect()))) == sorted(map(repr, (r.asDict() for r in theirs.select(sorted(theirs.columns)).collect())))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame_ in anchors.lookup(ingest.arrivals(df), name, 9):
+            assert scans(frame_._jdf.queryExecution().executedPlan(), name) == (1, 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_an_index_registered_again_is_the_same_and_odd_keys_stay_apart(spark, tmp_path):
+    path, schema = str(tmp_path / "a"), "seq long, store_id int, store_sku string, category string, part_number string, match_key string, product_id string, is_new boolean"
+    rows = [(1, None, "1 2", "cpu", None, None, "a", True), (2, 1, None, "cpu", "", "", "b", True), (3, 1, "", None, None, "x", "c", True)]
+    anchors.create(spark, "anchors_a", path, buckets=4)
+    anchors.extend(spark.createDataFrame(rows, schema), "anchors_a", 1)
+    anchors.extend(spark.createDataFrame([], schema), "anchors_a", 2)
+    spark.sql("DROP TABLE anchors_a")
+    anchors.create(spark, "anchors_b", path, buckets=4)
+    skus, parts, models = anchors.lookup(spark.createDataFrame(rows, schema), "anchors_b", 3)
+    assert sorted((r.store_id is None, r.store_sku or "", r.product_id) for r in skus.collect()) == [(False, "", "b"), (False, "", "c"), (True, "1 2", "a")]
+    assert sorted((r.match_key, r.product_id) for r in models.collect()) == [("", "b"), ("x", "c")]
+    assert anchors.lookup(spark.createDataFrame(rows, schema), "anchors_b", 1)[0].isEmpty()
+    spark.sql("DROP TABLE anchors_b")
