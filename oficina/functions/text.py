@@ -126,6 +126,11 @@ def image_key(url: Column) -> Column:
     return F.concat(F.substring(F.sha2(url.cast("binary"), 256), 1, 40), F.coalesce(ext, F.lit(".img")))
 
 
+def public_url(key: Column, base: str | None = None) -> Column:
+    """The address that an image is shown under: below ``base``, else below the site's own image path."""
+    return F.concat(F.lit(f"{base.rstrip('/') if base else '/images'}/"), key)
+
+
 def slug(seed: Column) -> Column:
     """Eight lower-case characters that follow from the seed (no random state)."""
     return F.substring(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghjkmnpqrs"), 1, 8)

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prices import sellable
 
 
+# Categories in the order in which they are shown.
+CATEGORY_ORDER = ["cpu", "motherboard", "gpu", "memory", "storage", "psu", "case", "cooler"]
+
+
+def display_order(category: Column) -> Column:
+    """A category's place in lists, from 1; unknown ones come last, by null."""
+    return F.nullif(F.array_position(F.lit(CATEGORY_ORDER), category), F.lit(0))
+
+
+def in_display_order(items: DataFrame, by: str, *then: str) -> DataFrame:
+    """Adds ``position``, from 1, of each row of ``by`` (a build, a cart): by its category's place, then by the columns named."""
+    w = Window.partitionBy(by).orderBy(display_order(F.col("category")).asc_nulls_last(), *then)
+    return items.withColumn("position", F.row_number().over(w))
+
+
 def priced(products: DataFrame, listings: DataFrame) -> DataFrame:
     """Products with min_price (sellable listings) and in_stock_listings (price or not)."""
     agg = listings.groupBy("product_id").agg(F.min(F.when(sellable(), F.col("price_cash"))).alias("min_price"), F.count_if("in_stock").alias("in_stock_listings"))

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import specs
-from ..operators import builds, catalog, compatibility, ingest, prices, runs, search, spec_sheet
+from ..functions import specs, text
+from ..operators import builds, catalog, compatibility, ingest, paging, prices, runs, search, spec_sheet
 from ..sources import anchors, bindings, pages, tables
 from ..sources.bindings import table, view
 from ..sources.shared import cut, own_folder
@@ -263,3 +263,42 @@ def standing_anchors(spark, sf):
     out = cut(out.select("product_id", "by_sku", "by_part", "by_model"))
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+@query("""SELECT CASE s WHEN 0 THEN 'alfa' ELSE 'beta' END AS store, p_partkey AS code, CAST(p_retailprice AS DECIMAL(12,2)) AS price_cash, 'ddr' || (4 + p_partkey % 2) AS memory_type,
+CASE WHEN s = 0 AND p_partkey % 4 <> 0 THEN p_partkey % 12 || 'x' END AS installment_text, CASE s WHEN 0 THEN '/images/' ELSE 'https://img.example/x/' END || sha256('https://' || p_name || '.JPG')[1:40] || '.jpg' AS image
+FROM part, (SELECT unnest([0, 1]) AS s) WHERE s = 0 OR p_partkey % 3 = 0""", price_cash="n")
+def listings_of_stores(spark, sf):
+    """SRC3, SET5, FN22: listing pages of two stores as one table, with what titles say by category, installments and image addresses."""
+    p = table(spark, sf, "part")
+    title = F.concat("p_name", F.lit(" DDR"), (4 + F.col("p_partkey") % 2).cast("string"))
+    url = F.concat(F.lit("https://"), "p_name", F.lit(".JPG"))
+
+    def store(name, parts, installment, base):
+        item = F.struct(F.col("p_partkey").alias("code"), title.alias("name"), F.col("p_name").alias("friendlyName"), F.col("p_retailprice").alias("price"), installment.alias("maxInstallment"), url.alias("thumbnail"))
+        page = parts.groupBy(F.floor(F.col("p_partkey") / 60).alias("page")).agg(F.collect_list(item).alias("data"))
+        outer = F.to_json(F.struct(F.struct(F.struct(F.to_json(F.struct(F.struct("data").alias("catalogServer"))).alias("data")).alias("pageProps")).alias("props")))
+        html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), outer, F.lit("</script>"))
+        found = pages.listing(pages.listing_items(page.select("page", html.alias("html")))[0], name, f"https://{name}.example", F.lit("memory"))
+        return found.withColumn("image", text.public_url(text.image_key(F.col("thumbnail")), base))
+
+    alfa = store("alfa", p, F.when(F.col("p_partkey") % 4 != 0, F.concat((F.col("p_partkey") % 12).cast("string"), F.lit("x"))), None)
+    beta = store("beta", p.where("p_partkey % 3 = 0"), F.lit(None).cast("string"), "https://img.example/x/")
+    return pages.together(alfa, beta.drop("installment_text")).select("store", "code", "price_cash", F.col("specs")["type"].alias("memory_type"), "installment_text", "image")
+
+
+@query(bindings.sql("titles", "build_items") + """ SELECT build_id, part_id, row_number() OVER (PARTITION BY build_id ORDER BY CASE category WHEN 'cpu' THEN 1 WHEN 'motherboard' THEN 2 WHEN 'gpu' THEN 3 WHEN 'memory' THEN 4 WHEN 'storage' THEN 5 WHEN 'psu' THEN 6 WHEN 'case' THEN 7 ELSE 8 END, seq) AS position
+FROM build_items b JOIN titles t ON t.product_id = b.part_id""")
+def build_lines(spark, sf):
+    """SRT4: the parts of every build in the order in which their categories are shown."""
+    items = view(spark, sf, "build_items").drop("product_id").join(view(spark, sf, "titles").select(F.col("product_id").alias("part_id"), "category"), "part_id")
+    return catalog.in_display_order(items, "build_id", "seq").select("build_id", "part_id", "position")
+
+
+@query(_P + " ORDER BY min_price DESC, product_id LIMIT 20 OFFSET 25", created_on="d", min_price="n")
+def deep_page(spark, sf):
+    """SRT2: a page far down an order that is written in ranges; it reads the range that it lies in (a limited page by feature)."""
+    rows = _search(spark, sf)[0].select("product_id", "name", "created_on", "min_price")
+    path, order = own_folder(spark, "order"), [F.desc("min_price"), F.asc("product_id")]
+    paging.write(rows, order, path, parts=16)
+    return paging.page(spark, path, rows.schema, order, paging.counts(spark, path), 25, 20)

@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.specs import extract
 from ..functions.text import found, match_key, part_number, price_br, stripped
 
 ITEM = "array<struct<code:bigint,name:string,friendlyName:string,manufacturer:struct<name:string>,priceWithDiscount:double,price:double,maxInstallment:string,available:boolean,thumbnail:string>>"
@@ -40,16 +41,30 @@ def listing_items(pages: DataFrame, html_col: str = "html") -> tuple[DataFrame,
         F.col("i.price").cast("decimal(12,2)").alias("price_card"),
         F.coalesce("i.available", F.lit(False)).alias("in_stock"),
         F.col("i.thumbnail").alias("thumbnail"),
+        F.col("i.maxInstallment").alias("installment_text"),
     )
     return items, read.where(F.col("__items").isNull()).select(*pages.columns)
 
 
-def listing(items: DataFrame, store: str, base_url: str) -> DataFrame:
-    """Items of a listing page as raw listings with url, SKU and derived keys."""
+def listing(items: DataFrame, store: str, base_url: str, category: Column | None = None) -> DataFrame:
+    """Items of a listing page as raw listings with url, SKU and derived keys; with a category also ``category`` and the ``specs`` that its titles say.
+
+    Such pages name installments as a text only, so ``installments`` is null.
+    """
+    if category is not None:
+        items = items.withColumn("category", category).withColumns({"specs": extract(F.col("category"), F.col("title")), "installments": F.lit(None).cast("int")})
     url = F.concat(F.lit(base_url + "/produto/"), F.col("code").cast("string"), F.lit("/"), F.col("friendly_name"))
     return items.withColumns({"store": F.lit(store), "store_sku": F.col("code").cast("string"), "product_url": url, "match_key": match_key(F.col("title")), "part_number": part_number(F.col("title"))})
 
 
+def together(*listings: DataFrame) -> DataFrame:
+    """Raw listings of several pages and stores as one table; a column that a store does not give is null. Repeated rows stay."""
+    out = listings[0]
+    for more in listings[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def cards(df: DataFrame, href_col: str, text_col: str, price_pattern: str, marker: str, sku_pattern: str) -> DataFrame:
     """Store cards (link and visible text) as raw listings; a card without a price is dropped.
 
