@@ -12,7 +12,8 @@ the other urls the rules' verdicts are labels to learn from:
    the host's, the host's by that of all labels; from one half up it is blocked.
 
 Counts are aggregated before every shuffle, so a host with a third of all pages
-costs each task one row per distinct path.
+costs each task one row per distinct path; nodes, templates and addresses over more than a thousandth of all paths or rows are
+dealt out where they meet their verdicts (an address by the kept columns, so rows equal in all of them stay together).
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is
 judged as the template of that empty host; without any label everything is judged
@@ -69,18 +70,18 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _met(t: DataFrame, wild: DataFrame, total: int) -> DataFrame:
-    """``t`` with ``__wild`` of its node. A node over more than 1 / HOT_NODES of all paths is dealt out.
+def _dealt(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], total: int) -> DataFrame:
+    """``rows`` with the facts of their key. A key whose ``__n`` is over 1 / HOT_NODES of ``total`` is dealt out.
 
-    There are at most HOT_NODES such nodes, so their list may be broadcast; their verdicts are
-    repeated SALTS times and meet their paths in that many parts.
+    There are at most HOT_NODES such keys, so their list may be broadcast; their facts are
+    repeated SALTS times and meet their rows in that many parts, by the columns ``spread``.
     """
-    hot = wild.where(F.col("__n") * HOT_NODES > total).select("host", "template", F.lit(SALTS).alias("__parts"))
-    t = t.join(F.broadcast(hot), ["host", "template"], "left")
-    t = t.withColumn("__salt", F.pmod(F.xxhash64("path"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    hot = facts.where(F.col("__n") * HOT_NODES > total).select(*keys, F.lit(SALTS).alias("__parts"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     parts = F.when(F.col("__n") * HOT_NODES > total, SALTS - 1).otherwise(0)
-    wild = wild.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts))).drop("__n")
-    return t.join(wild, ["host", "template", "__salt"], "left").drop("__salt")
+    facts = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts))).drop("__n")
+    return rows.join(facts, [*keys, "__salt"], "left").drop("__salt")
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def templates(labelled: DataFrame) -> DataFrame:
         seg = F.get("__segments", F.lit(d))
         children = t.where(F.size("__segments") > d).groupBy("host", "template", seg.alias("__seg")).agg(F.sum("pages").alias("pages"), F.count("*").alias("paths"))
         wild = children.groupBy("host", "template").agg(((F.count("*") > CHILDREN) | (F.sum("pages") < 2 * F.count("*"))).alias("__wild"), F.sum("paths").alias("__n"))
-        t = _met(t, wild, total)
+        t = _dealt(t, wild, ["host", "template"], ["path"], total)
         deeper = F.size("__segments") > d
         step = F.when(F.col("__wild"), F.lit("*")).otherwise(seg)
         t = t.select(
@@ -115,8 +116,8 @@ def templates(labelled: DataFrame) -> DataFrame:
 
 
 def judged_templates(paths: DataFrame) -> DataFrame:
-    """(host, template) with the smoothed purity and the verdict."""
-    branch = paths.groupBy("host", "parent", "template").agg(F.sum("labels").cast("double").alias("m"), F.sum("blocked").cast("double").alias("b"))
+    """(host, template) with the smoothed purity, the verdict and the number of paths, ``__n``."""
+    branch = paths.groupBy("host", "parent", "template").agg(F.count("*").alias("__n"), F.sum("labels").cast("double").alias("m"), F.sum("blocked").cast("double").alias("b"))
     pool = branch.groupBy("host", "parent").agg(F.sum("m").alias("mm"), F.sum("b").alias("bb"))
     branch = branch.join(pool, ["host", "parent"])
     m, b, mm, bb = (F.col(c) for c in ("m", "b", "mm", "bb"))
@@ -134,7 +135,7 @@ def judged_templates(paths: DataFrame) -> DataFrame:
     own_m, own_b = (F.when(F.col("merged"), F.col(g)).otherwise(F.col(o)) for g, o in (("gm", "m"), ("gb", "b")))
     of_host = (F.col("hb") + WEIGHT * prior) / (F.col("hm") + WEIGHT)
     purity = (own_b + WEIGHT * of_host) / (own_m + WEIGHT)
-    return branch.select("host", "template", "merged", purity.alias("purity")).withColumn("verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
+    return branch.select("host", "template", "merged", "__n", purity.alias("purity")).withColumn("verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
 
 
 def judge(pages: DataFrame, keep: list[str], url_col: str, rules=RULES) -> DataFrame:
@@ -144,8 +145,12 @@ def judge(pages: DataFrame, keep: list[str], url_col: str, rules=RULES) -> DataF
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("__verdict"))
     paths = stored(templates(rows), "templates")
-    found = paths.select("host", "path", "template").join(judged_templates(paths), ["host", "template"])
-    out = rows.join(found, ["host", "path"])
+    n_paths, n_rows = paths.agg(F.count("*"), F.coalesce(F.sum("pages"), F.lit(0))).first()
+    # A template of the wildcard may hold most paths, an address (or the lack of one) most rows.
+    of_template = stored(judged_templates(paths).select("host", "template", "verdict", "purity", "__n"), "judged")
+    found = _dealt(paths.select("host", "path", "template", "pages"), of_template, ["host", "template"], ["path"], n_paths)
+    found = stored(found.withColumnRenamed("pages", "__n"), "found")
+    out = _dealt(rows, found, ["host", "path"], [f"__k{i}" for i in range(len(keep))] or ["path"], n_rows)
     return out.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule",
         F.coalesce("__verdict", "verdict").alias("verdict"), "template", "purity",
