@@ -3,8 +3,9 @@
 Features of a text are the distinct buckets of its words, word pairs and pairs
 with one word between them. Rates are per coordinate and L1 keeps most weights at
 zero, so the weights that go to the tasks are a short list of (bucket, weight).
-Training reads at most about ``train_rows`` labelled rows (a parameter); their
-features are hashed on the executors, only the buckets reach the driver.
+Training reads at most about ``train_rows`` labelled rows and, of these, as many by hash as have
+about ``train_features`` buckets in all (both are parameters); the features are hashed on the executors, only the buckets,
+four bytes each, reach the driver.
 
 Edge cases: null and empty texts score as the bias alone; labels other than 0 and
 1 are ignored; of repeated labels of an id the largest counts, of repeated texts too; without any label
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_share, fresh, mixed, plain_words, short_batches
+from .common import WordHashes, bounded_share, fresh, mixed, plain_words, share_bound, short_batches, stored
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     bits: int = 21
     train_rows: int = 16_000
+    train_features: int = 64_000_000
     epochs: int = 4
     alpha: float = 3.0
     beta: float = 1.0
@@ -75,8 +77,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             tie = pa.array([xxhash.xxh3_64_intdigest(v) >> 1 for v in x], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary()), tie], names=["id", "label", "x", "tie"])
 
-    # Bounded by train_rows; kept as Arrow buffers, of which each step sees a slice.
-    got = rows.select(F.col(id_col).cast("string"), "text", "__label").mapInArrow(features, "id string, label int, x binary, tie long").toArrow()
+    made = stored(rows.select(F.col(id_col).cast("string"), "text", "__label").mapInArrow(features, "id string, label int, x binary, tie long"), "features")
+    total = (made.agg(F.sum(F.length("x"))).first()[0] or 0) // 4
+    if total > p.train_features:
+        made = made.where(F.xxhash64("id", "tie", F.lit(11)) < F.lit(share_bound(total, p.train_features)).cast("long"))
+    # Bounded by train_features; kept as Arrow buffers, of which each step sees a slice.
+    got = made.toArrow()
     y = got.column("label").to_numpy()
     chunks = [c for c in got.column("x").chunks if len(c)]
     ends = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] // 4 for c in chunks]
