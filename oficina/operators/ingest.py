@@ -29,9 +29,11 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     have the known tables, and nothing is matched across categories.
     The others are resolved within the batch as if taken in ``seq`` order: an item makes a new product,
     named after its seq, unless an earlier maker has its part number or, failing
-    that, its match key. Makers are found in rounds, many at once: an open item that
-    is the earliest by both its keys and meets no maker is one. Items without a key are settled in
-    the first round that their other key allows.
+    that, its match key.
+
+    Only the first item of each pair of keys can be a maker, so makers are looked for among those pairs, in rounds: an open pair that is the
+    earliest by both its keys makes a product, and the pairs that share a key with it are closed. How often a pair is repeated adds no
+    round. Then every item takes the earlier maker of its part number, else of its match key.
     """
     # An item without a key gets one of its own, so that null keys neither meet nor gather in one task.
     own = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
@@ -41,29 +43,29 @@ def resolve(items: DataFrame, known_skus: DataFrame, known_parts: DataFrame, kno
     base = base.join(known_skus.select(*within, "store_id", "store_sku", F.col("product_id").alias("__s")), [*within, "store_id", "store_sku"], "left")
     base = base.join(known_parts.select(keyed(F.col("part_number")).alias("__a"), F.col("product_id").alias("__p")), "__a", "left")
     base = base.join(known_keys.select(keyed(F.col("match_key")).alias("__b"), F.col("product_id").alias("__k")), "__b", "left")
-    base = cut(base.select("seq", "__a", "__b", F.coalesce("__s", "__p", "__k").cast("string").alias("product_id")))
-    done = base.where("product_id IS NOT NULL").select("seq", "product_id", F.lit(False).alias("is_new"))
-    todo = base.where("product_id IS NULL").select("seq", "__a", "__b")
-    made = todo.limit(0).withColumn("product_id", F.lit(""))
+    base = cut(base.select("seq", *[c for c in items.columns if c != "seq"], "__a", "__b", F.coalesce("__s", "__p", "__k").cast("string").alias("__known")))
+    shared = lambda key: F.when(F.col(key) != own, F.col(key)).alias(key)
+    pairs = base.where((F.col("__known").isNull()) & ((F.col("__a") != own) | (F.col("__b") != own))).select("seq", shared("__a"), shared("__b"))
+    pairs = pairs.groupBy("__a", "__b").agg(F.min("seq").alias("seq"))
+    todo = cut(pairs.select("seq", F.coalesce("__a", own).alias("__a"), F.coalesce("__b", own).alias("__b")))
+    made = todo.limit(0)
     for _ in range(rounds):
-        first = lambda key, name: todo.groupBy(key).agg(F.min("seq").alias(name))  # noqa: B023, E731
-        open_ = todo.join(first("__a", "__first_a"), "__a").join(first("__b", "__first_b"), "__b")
-        open_ = open_.join(made.select("__a", F.col("product_id").alias("__p")), "__a", "left").join(made.select("__b", F.col("product_id").alias("__k")), "__b", "left")
-        # A match by key only counts once no earlier open item could make the item's part number.
-        first_part = F.col("__first_a") == F.col("seq")
-        by = F.coalesce("__p", F.when(first_part, F.col("__k")))
-        maker = F.col("__p").isNull() & F.col("__k").isNull() & first_part & (F.col("__first_b") == F.col("seq"))
-        name = F.concat(F.lit("new-"), F.col("seq").cast("string"))
-        open_ = cut(open_.select("seq", "__a", "__b", F.when(maker, name).otherwise(by).alias("product_id"), maker.alias("is_new")))
-        # Every round is a checkpoint, so these unions of rounds stay flat.
-        done = done.unionByName(open_.where("product_id IS NOT NULL").select("seq", "product_id", "is_new"))
-        made = made.unionByName(open_.where("is_new").drop("is_new"))
-        todo = open_.where("product_id IS NULL").select("seq", "__a", "__b")
         if todo.isEmpty():
             break
+        # Only semi and anti joins: Spark multiplies the estimated sizes of the sides of others, and such products would grow without bound over the rounds.
+        first = lambda key: todo.groupBy(key).agg(F.min("seq").alias("seq"))  # noqa: B023, E731
+        makers = cut(todo.join(first("__a"), ["__a", "seq"], "left_semi").join(first("__b"), ["__b", "seq"], "left_semi").select("seq", "__a", "__b"))
+        # Every round is a checkpoint, so this union of rounds stays flat.
+        made = made.unionByName(makers)
+        todo = cut(todo.join(makers.select("__a"), "__a", "left_anti").join(makers.select("__b"), "__b", "left_anti").select("seq", "__a", "__b"))
     else:
-        raise RuntimeError("resolution did not settle")
-    return items.join(done, "seq")
+        if not todo.isEmpty():
+            raise RuntimeError("resolution did not settle")
+    name = lambda seq: F.concat(F.lit("new-"), F.col(seq).cast("string"))
+    out = base.join(made.select("__a", F.col("seq").alias("__by_a")), "__a", "left").join(made.select("__b", F.col("seq").alias("__by_b")), "__b", "left")
+    earlier = F.coalesce(*[F.when(F.col(by) < F.col("seq"), name(by)) for by in ("__by_a", "__by_b")])
+    found = F.coalesce("__known", earlier)
+    return out.select("seq", *[c for c in items.columns if c != "seq"], F.coalesce(found, name("seq")).alias("product_id"), found.isNull().alias("is_new"))
 
 
 def reference_specs(items: DataFrame, reference: DataFrame, *keep: str) -> DataFrame:

@@ -68,6 +68,28 @@ def test_resolution_equals_the_sequential_one(spark, seed):
     assert got == resolved(items)
 
 
+def test_repeated_pairs_of_keys_settle_in_one_round(spark):
+    """Forty items with one part number whose model another product has: no round for each of them, and no plan that grows by rounds."""
+    items = [(0, "A", "u"), *[(i, "B", "u") for i in range(1, 41)], (41, None, "u"), (42, "B", "v"), (43, "B", "w"), (44, None, "v")]
+    df = spark.createDataFrame([(i, 0, str(i), p, k) for i, p, k in items], "seq int, store_id int, store_sku string, part_number string, match_key string")
+    none = spark.createDataFrame([], "store_id int, store_sku string, product_id string, part_number string, match_key string")
+    out = ingest.resolve(df, none, none, none, rounds=2)
+    assert {r.seq: (r.product_id, r.is_new) for r in out.collect()} == resolved(items)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_long_chains_of_keys_equal_the_sequential_resolution(spark, seed):
+    """Every pair waits for the one before it: the estimates of sizes stay numbers that the driver can hold."""
+    rng = random.Random(seed)
+    chain = [(i, f"P{(i + 1) // 2}", f"k{i // 2}") for i in range(16)]
+    items = chain + [(16 + i, *rng.choice(chain)[1:]) for i in range(30)] + [(46 + i, rng.choice([None, f"P{i % 9}"]), rng.choice([None, f"k{i % 7}"])) for i in range(16)]
+    df = spark.createDataFrame([(i, 0, str(i), p, k) for i, p, k in items], "seq int, store_id int, store_sku string, part_number string, match_key string")
+    none = spark.createDataFrame([], "store_id int, store_sku string, product_id string, part_number string, match_key string")
+    out = ingest.resolve(df, none, none, none)
+    assert {r.seq: (r.product_id, r.is_new) for r in out.collect()} == resolved(items)
+    assert int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 2000
+
+
 def test_resolution_prefers_the_known(spark):
     df = spark.createDataFrame([(0, 1, "s", "P1", "k1"), (1, 1, "t", "p-1", "k9"), (2, 1, "u", None, "k1"), (3, 1, "v", None, None)], "seq int, store_id int, store_sku string, part_number string, match_key string")
     skus = spark.createDataFrame([(1, "s", "a")], "store_id int, store_sku string, product_id string")
