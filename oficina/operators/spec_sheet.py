@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.specs import parsed, sane
 from ..functions.text import normalize
+from ..sources.shared import cut, stored
 from .matching import longest_label
 
 LEFT_OVER = 12
+#: Labels with a rule that are sent to every task; of more, the rows meet them in a plain join.
+SENT = 100_000
 JOINED_KINDS = ["list", "iface_or_outputs"]
 # Fixed values: (category, normalised label, key or null, kind). A larger table is given as a DataFrame.
 LABELS = [
@@ -58,11 +61,14 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 def matched(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Pairs with the rule of their label: the equal label, else the longest one inside it that leaves at most 12 characters.
 
-    Each label of a category is looked up once, through an index of the rules.
+    Each label of a category is looked up once, through an index of the rules. The pairs are stored first, so that pages are read into
+    lines once, not for their labels and again for their values.
     """
-    rows = pairs.withColumn("__label", normalize(F.col("label")))
+    rows = stored(pairs.withColumn("__label", normalize(F.col("label"))), "pairs")
     labels = rows.select("category", F.col("__label").alias("label")).distinct()
-    best = longest_label(labels, table, LEFT_OVER).withColumnsRenamed({"category": "__c", "label": "__l"})
+    best = cut(longest_label(labels, table, LEFT_OVER).withColumnsRenamed({"category": "__c", "label": "__l"}))
+    # A table of pairs is small on disk and large in memory: without a hint the driver might be the one to hold it.
+    best = best.hint("broadcast") if best.limit(SENT + 1).count() <= SENT else best.hint("merge")
     return rows.join(best, (F.col("category") == F.col("__c")) & (F.col("__label") == F.col("__l"))).drop("__c", "__l", "__label")
 
 

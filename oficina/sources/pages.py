@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specs import extract
-from ..functions.text import found, match_key, part_number, price_br, stripped
+from ..functions.text import found, match_key, once, part_number, price_br, stripped
 
 ITEM = "array<struct<code:bigint,name:string,friendlyName:string,manufacturer:struct<name:string>,priceWithDiscount:double,price:double,maxInstallment:string,available:boolean,thumbnail:string>>"
 _EMBEDDED = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
@@ -97,9 +97,12 @@ def unescaped(html: Column) -> Column:
         coded = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         return F.coalesce(F.element_at(named, r), coded, F.concat(F.lit("&"), r, F.lit(";")))
 
-    chars = F.concat(F.transform(F.regexp_extract_all(html, F.lit(ref), F.lit(1)), char), F.array(F.lit("")))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(html, ref, -1), chars, lambda a, b: F.array(a, b))), "")
-    return F.when(html.rlike(ref), joined).otherwise(html)
+    def replaced(t: Column) -> Column:
+        chars = F.concat(F.transform(F.regexp_extract_all(t, F.lit(ref), F.lit(1)), char), F.array(F.lit("")))
+        joined = F.array_join(F.flatten(F.zip_with(F.split(t, ref, -1), chars, lambda a, b: F.array(a, b))), "")
+        return F.when(t.rlike(ref), joined).otherwise(t)
+
+    return once(html, replaced)
 
 
 def _plain(html: Column) -> Column:

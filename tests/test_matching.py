@@ -123,3 +123,12 @@ def test_watts_of_parts(spark):
     df = spark.createDataFrame(parts, "product_id int, category string, model string, name string")
     got = sorted((r.product_id, r.seed_w and int(r.seed_w)) for r in compatibility.seeded(df).collect())
     assert got == [(1, 285), (2, 200), (3, 105), (4, None), (5, 65), (5, 65)]
+
+
+def test_pages_are_read_into_lines_once_and_pairs_never_go_through_the_driver(spark):
+    """The plan of mapped sheets starts from stored pairs; the table of labels is what every task gets."""
+    pairs = spark.range(200).selectExpr("id AS page_id", "0 AS pos", "'gpu' AS category", "concat('Comprimento', '') AS label", "concat(300 + id % 9, ' mm') AS value").where(F.col("value").rlike("^3"))
+    out = spec_sheet.mapped(pairs, spec_sheet.rules(spark))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range") == 0 and "rlike" not in plan.lower().split("join inner")[-1] and "rightHint=(strategy=broadcast)" in plan
+    assert {(r.page_id, r.key, r.value) for r in out.collect()} == {(i, "length_mm", str(300 + i % 9)) for i in range(200)}
