@@ -130,7 +130,7 @@ def table_pairs(pages: DataFrame, id_cols: list[str], html_col: str) -> DataFram
     rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.struct(found(r, r"(?is)<th[^>]*>(.*?)</th>").alias("label"), found(r, r"(?is)<td[^>]*>(.*?)</td>").alias("value")))
     bold = r"(?is)<strong[^>]*>(.*?)</strong>"
     paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda r: F.struct(found(r, bold).alias("label"), F.regexp_replace(r, bold, "").alias("value")))
-    out = pages.select(*id_cols, F.posexplode(F.concat(rows, paragraphs)).alias("pos", "x"))
+    out = pages.select(*id_cols, F.posexplode_outer(F.concat(rows, paragraphs)).alias("pos", "x")).where("pos IS NOT NULL")
     label, value = stripped(_plain(F.col("x.label"))), stripped(F.regexp_replace(_plain(F.col("x.value")), r"^\s*:?\s*", ""))
     return out.select(*id_cols, "pos", label.alias("label"), value.alias("value")).where("label <> '' AND value <> ''")
 
@@ -145,7 +145,7 @@ def spec_pairs(df: DataFrame, id_cols: list[str], html_col: str, gated: bool = F
     t = F.regexp_replace(t, "<[^>]+>", "")
     t = F.replace(unescaped(t), F.lit("\u00a0"), F.lit(" "))
     lines = F.filter(F.transform(F.split(t, r"\r?\n"), stripped), lambda x: ~x.isin("", "-", "•", "*"))
-    rows = df.select(*id_cols, F.posexplode(lines).alias("pos", "line"))
+    rows = df.select(*id_cols, F.posexplode_outer(lines).alias("pos", "line")).where("pos IS NOT NULL")
     bullet = F.substring("line", 1, 1).isin("-", "•", "*")
     body = F.regexp_replace("line", r"^[-•*][ \t\-•*]*|[ \t\-•*]+$", "")
     header = stripped(F.regexp_replace("line", ":+$", ""))

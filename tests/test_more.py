@@ -128,3 +128,11 @@ def test_changes_over_batches_equal_one_pass(spark, tmp_path):
     one = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     many = streams.change_batches(one, str(tmp_path / "b"))
     assert many.count() >= len(wanted) and (tmp_path / "b" / "changes-last" / "2").exists()
+
+
+def test_a_build_is_judged_once_and_dealt_out_once(spark):
+    """No filter repeats the rules before the issues are listed, and parts of builds are moved once, not aggregated where they lie."""
+    items = spark.createDataFrame([(1, 1, "cpu", 5), (1, 2, "gpu", 6)], "build_id int, seq int, category string, product_id int").withColumns({"model": F.lit(None).cast("string"), "name": F.lit("x"), "attrs": F.expr("map('has_igpu', 'false')")})
+    out = compatibility.issues(compatibility.with_seeds(compatibility.snapshot(items)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CPU_SOCKET_MISMATCH") == 1 and "RepartitionByExpression [build_id" in plan
