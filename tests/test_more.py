@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oficina.functions import noise, specs, text
-from oficina.operators import builds, ingest, runs, spec_sheet
+from oficina.operators import builds, compatibility, ingest, runs, spec_sheet
 from oficina.sources import pages
 from test_operators import resolved
 
