@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.specs import extract, value_bool, value_num
 from ..functions.noise import is_noise
 from ..functions.text import brand, chip_id, clean_title, match_key, normalize_part_number, part_number
-from ..sources.shared import cut
+from ..sources.shared import cut, dealt
 from .prices import price_drops
 
 # Precedence of attribute sources.
@@ -199,9 +199,10 @@ def merge_attributes(rows: DataFrame) -> DataFrame:
     """One row per (product, key): the highest source wins, the latest among equals; blank values are skipped.
 
     Text is cut at 256 characters; number and truth value stand beside it where the text is one.
+    The aggregate sorts, since its buffer holds texts. A narrow product table is few files, so rows are dealt out before it and not sorted by the task that made them.
     """
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]), F.col("source")), F.lit(OTHER))
-    best = rows.where(F.trim("value_text") != "").groupBy("product_id", "key").agg(F.max_by(F.struct(F.substring("value_text", 1, 256).alias("value_text"), "source"), F.struct(level, "seq")).alias("v"))
+    best = dealt(rows.where(F.trim("value_text") != ""), "product_id", "key").groupBy("product_id", "key").agg(F.max_by(F.struct(F.substring("value_text", 1, 256).alias("value_text"), "source"), F.struct(level, "seq")).alias("v"))
     out = best.select("product_id", "key", "v.*")
     return out.withColumns({"value_num": value_num(F.col("value_text")), "value_bool": value_bool(F.col("value_text"))})
 
