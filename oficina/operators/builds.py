@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 from .prices import sellable
 
 MULTI_SLOTS = ["memory", "storage"]
@@ -49,10 +50,11 @@ def baskets(items: DataFrame, by_store: DataFrame) -> DataFrame:
     """Per build and store: price of the different products it has, and how many items they cover.
 
     Two equal parts cover two items but are priced once.
+    Neither rows of (build, product) nor of (build, store) shrink within the task that made them, so both are dealt out and aggregated once.
     """
-    times = items.where("product_id IS NOT NULL").groupBy("build_id", "product_id").agg(F.count("*").alias("times"))
-    total = items.where("product_id IS NOT NULL").groupBy("build_id").agg(F.count("*").alias("total_items"))
-    out = times.join(by_store, "product_id").groupBy("build_id", "slug").agg(F.sum("price").alias("total"), F.sum("times").alias("covered_items"))
+    times = dealt(items.where("product_id IS NOT NULL"), "build_id", "product_id").groupBy("build_id", "product_id").agg(F.count("*").alias("times"))
+    total = times.groupBy("build_id").agg(F.sum("times").alias("total_items"))
+    out = dealt(times.join(by_store, "product_id"), "build_id").groupBy("build_id", "slug").agg(F.sum("price").alias("total"), F.sum("times").alias("covered_items"))
     return out.join(total, "build_id")
 
 

@@ -1,6 +1,6 @@
 """Work and memory of a task that grow no faster than the input: where rows are dealt out, and how often the state is called."""
 
-from oficina.operators import ingest
+from oficina.operators import builds, ingest
 
 
 def plan(df):
@@ -16,3 +16,20 @@ def test_attributes_are_dealt_out_before_they_are_sorted(spark):
     first = next(i for i, x in enumerate(ops) if x.startswith("Exchange"))
     assert any("Aggregate" in x for x in ops[:first]) and not any("Aggregate" in x or x.startswith("Sort") for x in ops[first:])
     assert sorted(out.select("product_id", "key", "value_text", "source").collect()) == sorted((p, k, v, s) for p in range(20) for k, v, s in [("a", "2", "page"), ("b", "x", "manual")])
+
+
+def test_baskets_are_not_gathered_in_the_tasks_that_join(spark):
+    items = spark.createDataFrame([(b, p) for b in range(30) for p in (b % 7, b % 7, b % 5, None)], "build_id long, product_id long")
+    stores = spark.createDataFrame([(p, s, float(p + 1)) for p in range(6) for s in ("alfa", "beta")], "product_id long, slug string, price double")
+    out = builds.baskets(items, stores)
+    ops = plan(out)
+    dealt = [i for i, x in enumerate(ops) if x.startswith("Exchange") and "build_id" in x]
+    assert any("Join" in x for i in dealt for x in ops[i + 1 : i + 3] if "REPARTITION" in ops[i])
+    want = []
+    for b in range(30):
+        mine = [b % 7, b % 7, b % 5]
+        known = [p for p in mine if p < 6]
+        for s in ("alfa", "beta"):
+            if known:
+                want.append((b, s, float(sum(p + 1 for p in set(known))), len(known), 3))
+    assert sorted(tuple(r) for r in out.select("build_id", "slug", "total", "covered_items", "total_items").collect()) == sorted(want)
