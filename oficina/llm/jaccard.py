@@ -25,7 +25,7 @@ reachable by links. No link between different texts is lost:
    meets nothing. A pair that meets is bounded again by all its common stored tokens. Of each pair of groups the two members that meet in the most tokens are compared first,
    on their whole texts; a link connects the groups and nothing more is asked of them.
    Of the pairs of groups still apart, the members of the smaller one are queries to the larger:
-   each query's tokens are bounded against the group's cells, and only for what qualifies is the group
+   each query's tokens in which the two groups meet are bounded against the group's cells, and only for what qualifies is the group
    opened, its members met under their own sizes and verified on whole texts.
 5. Components over groups give the result.
 
@@ -259,6 +259,21 @@ def _bounded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     return out.where(fits).select(*pairs.columns).distinct()
 
 
+def _asking(cells: DataFrame, ask: DataFrame, percent: int) -> DataFrame:
+    """(token, g, q, a, lo_q, hi_q, reach_q): for each (q, g) of ``ask`` the members a of q, by the tokens in which the two groups meet.
+
+    As in the matrix, one side of a meeting is near. The first token that a link shares is such a token, so no link is lost, and a
+    query's other tokens are not repeated for every group that it asks.
+    """
+    asking = _flat(cells.join(ask.select(F.col("q").alias("g")).distinct(), "g", "left_semi"), percent).withColumnRenamed("g", "q")
+    inside = _flat(cells.join(ask.select("g").distinct(), "g", "left_semi"), percent)
+    cell = lambda rows, s: rows.groupBy("token", s).agg(F.min("n").alias(f"lo_{s}"), F.max("n").alias(f"hi_{s}"), F.max("reach").alias(f"reach_{s}"), F.max(F.col("reach") >= F.col("n")).alias(f"near_{s}"))
+    of = {"q": cell(asking, "q"), "g": cell(inside, "g")}
+    meet = lambda s, o: of[s].where(f"near_{s}").join(of[o], "token").where((F.col(f"lo_{s}") <= F.col(f"hi_{o}")) & _open("q", "g", percent)).select("token", "q", "g")
+    by = meet("q", "g").union(meet("g", "q")).join(ask, ["q", "g"], "left_semi").distinct()
+    return asking.join(by, ["token", "q"]).select("token", "g", "q", F.col("cls").alias("a"), F.col("n").alias("lo_q"), F.col("n").alias("hi_q"), F.col("reach").alias("reach_q"))
+
+
 def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n, key, c, component_id) for every row of ``df``; c is the component (null without tokens)."""
     whole_set = ["h1", "h2"]
@@ -312,8 +327,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, percent: in
     fewer = F.coalesce("k_x", F.lit(1)) <= F.coalesce("k_y", F.lit(1))
     ask = left_over.where("k_x > 1 OR k_y > 1").select(F.when(fewer, F.col("x")).otherwise(F.col("y")).alias("q"), F.when(fewer, F.col("y")).otherwise(F.col("x")).alias("g"))
     ask = stored(ask, "queries")
-    asking = _flat(cells.join(ask.select(F.col("q").alias("g")).distinct(), "g", "left_semi"), percent).withColumnRenamed("g", "q")
-    asking = asking.join(ask, "q").select("token", "g", "q", F.col("cls").alias("a"), F.col("n").alias("lo_q"), F.col("n").alias("hi_q"), F.col("reach").alias("reach_q"))
+    asking = _asking(cells, ask, percent)
     inside = _flat(cells.join(ask.select("g").distinct(), "g", "left_semi"), percent).select("token", "g", F.col("cls").alias("b"), "n", "reach")
     union = inside.groupBy("token", "g").agg(F.min("n").alias("lo_g"), F.max("n").alias("hi_g"), F.max("reach").alias("reach_g"))
     asking = asking.join(union, ["token", "g"]).where(_open("q", "g", percent)).drop("lo_g", "hi_g", "reach_g")
