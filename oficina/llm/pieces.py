@@ -11,11 +11,12 @@ The machines are compiled from a public model file (its path is a parameter):
   Scores alone would not give the merge order. Its arcs are made when first needed.
 
 An input is composed with them state by state (a place and its last piece) and the shortest path in the
-tropical semiring is taken: places go in order, and each arc relaxes ``min(old, cost + weight)``. Without
+tropical semiring is taken: each arc relaxes ``min(old, cost + weight)``. Without
 a pair acceptor (``merges=False``) the state is the place alone and the scores decide.
 
-No piece has a mark after another character (checked), so a text's path falls apart
-before every mark that follows one; paths of such stretches are remembered in a table of bounded size.
+A text's path falls apart between two characters that no piece holds side by side, so before every mark
+that follows another character (no piece has one there, which is checked). These cuts are found for a block of characters at
+once, and the paths of the stretches between them are remembered, as bytes, in a table of bounded size.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; characters
 outside the vocabulary become UTF-8 byte pieces; a literal word mark in a text decodes
@@ -25,9 +26,8 @@ piece is longest is taken; repeated rows are encoded one by one, null ids are ke
 
 from __future__ import annotations
 
-import re
 from array import array
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,15 @@ from .common import documents, fresh, short_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: The normaliser's arcs: what each character becomes; all others stay.
+#: The normaliser's arcs: what each character becomes; all others stay. No arc reads what another writes.
 RULES = {" ": MARK}
-_STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_PIECES = 1_000_000
+#: Characters of a stretch up to which its path is remembered, and searched in lists and not in arrays.
+SHORT = 64
+#: Characters of a text that are cut at once.
+BLOCK = 1 << 16
+#: Pairs of characters up to which a table says which of them some piece holds.
+MOST_PAIRS = 1 << 24
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -59,6 +64,26 @@ _NONE: dict = {}
 _END: list = [{}, None]
 
 
+class Paths(dict):
+    """Ids, as bytes, of the shortest paths of stretches; short ones are remembered, a full table as the older one."""
+
+    def __init__(self, path: Callable[[str], array], most: int):
+        super().__init__()
+        self.path, self.most = path, most
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, s: str) -> bytes:
+        got = self.older.get(s)
+        if got is None:
+            got = self.path(s).tobytes()
+        if len(s) <= SHORT:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[s] = got
+        return got
+
+
 class Transducer:
     def __init__(self, pieces: list[tuple[str, float, str]], merges: bool = True, stretches: int = 400_000, pairs: int = 500_000):
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k == "normal"}
@@ -66,7 +91,6 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a word mark inside")
         self.merges = merges
-        self.rules = str.maketrans(RULES)
         self.lexicon: list = [{}, None]  # a node: what characters lead to, and (piece, weight) where a piece ends
         for p, s in self.score.items():
             node = self.lexicon
@@ -74,14 +98,25 @@ class Transducer:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = (p, -s)
         self.byte_weight = 10.0 - min(self.score.values(), default=0.0)
-        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # character pairs that some piece holds
+        inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # character pairs that some piece holds
+        lefts, rights = ({c: i for i, c in enumerate(sorted({p[k] for p in inner}), 1)} for k in (0, 1))
+        # A pair's number is left + right, 0 for characters that no pair has there.
+        self.left, self.right = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int64)
+        for c, i in lefts.items():
+            self.left[ord(c)] = i * (len(rights) + 1)
+        for c, i in rights.items():
+            self.right[ord(c)] = i
+        self.inner = np.array(sorted(self.left[ord(a)] + self.right[ord(b)] for a, b in inner), np.int64)
+        self.apart = None
+        if (len(lefts) + 1) * (len(rights) + 1) <= MOST_PAIRS:
+            self.apart = np.ones((len(lefts) + 1) * (len(rights) + 1), np.bool_)
+            self.apart[self.inner] = False
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "special" else p.replace(MARK, " ").encode() for p, _, k in pieces]
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # the full table before this one
+        self.most_paths, self.most_fits = stretches, pairs
+        self.forget()
         self.fits: dict[str, dict[str, bool]] = {}
         self.n_fits = 0
-        self.most_paths, self.most_fits = stretches, pairs
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text (a pair of pieces): best score first, leftmost among equals."""
@@ -114,18 +149,25 @@ class Transducer:
         return got
 
     def path(self, s: str) -> array:
-        """Ids of the shortest path of a stretch: states are relaxed in the order of their places.
+        """Ids of the shortest path of a stretch.
 
         Under the pair acceptor what is reached at a place with a finite weight is the merge encoding of
-        what lies before it, and without it the place alone is the state. So a place has one state, and 16 bytes:
-        its weight so far and its last piece.
+        what lies before it, and without it the place alone is the state. So a place has one state, and at most 24 bytes
+        in a long stretch: its weight so far, its last piece and its turn in the queue. With the acceptor the weight is
+        final when the place is reached, so the queue is a stack with the farthest place on top, and the search ends at
+        the last place. Without it places are relaxed in their order.
         """
         n, fits, fit, merges, root = len(s), self.fits, self.fit, self.merges, self.lexicon[0]
-        cost = array("d", bytes(8 * (n + 1)))
+        cost = [0.0] * (n + 1) if n <= SHORT else array("d", bytes(8 * (n + 1)))
         piece: list[str | None] = [None] * (n + 1)
         piece[0] = ""
-        for i in range(n):
+        order = [0] if merges else range(n - 1, -1, -1)
+        todo = list(order) if n <= SHORT else array("q", order)
+        while todo:
+            i = todo.pop()
             last = piece[i]
+            if i == n:
+                break
             if last is None:
                 continue
             known, base = fits.get(last, _NONE) if merges else _NONE, cost[i]
@@ -141,6 +183,8 @@ class Transducer:
                         ok = not merges or fit(last, p)
                     if ok and (piece[j] is None or base + weight < cost[j]):
                         piece[j], cost[j] = p, base + weight
+                        if merges:
+                            todo.append(j)
                 if j == n:
                     break
                 node = node[0].get(s[j])
@@ -160,42 +204,34 @@ class Transducer:
         out.reverse()
         return out
 
+    def stretches(self, s: str) -> Iterator[list[str]]:
+        """``s`` cut between characters that no piece holds side by side, a list for each block."""
+        n, at = len(s), 0
+        for begin in range(0, n, BLOCK):
+            codes = np.frombuffer(s[begin : begin + BLOCK + 1].encode("utf-32-le", "surrogatepass"), "<u4")
+            pairs = self.left[codes[:-1]] + self.right[codes[1:]]
+            apart = np.isin(pairs, self.inner, invert=True) if self.apart is None else self.apart[pairs]
+            ends = (np.flatnonzero(apart) + (begin + 1)).tolist()
+            if begin + BLOCK >= n:
+                ends.append(n)
+            yield [s[a:b] for a, b in zip([at, *ends], ends)]
+            at = ends[-1] if ends else at
+
     def ids(self, text: str | None) -> array:
-        if not text:
-            return array("i")
-        stretches = _STRETCH.findall(MARK + text.translate(self.rules))
-        got = list(map(self.paths.get, stretches))
-        if None in got:
-            got = [self.kept(s) if x is None else x for s, x in zip(stretches, got)]
-        return array("i", chain.from_iterable(got))
+        out = array("i")
+        if text:
+            for a, b in RULES.items():
+                text = text.replace(a, b)
+            for stretches in self.stretches(MARK + text):
+                out.frombytes(b"".join(map(self.paths.__getitem__, stretches)))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return self.ids(text).tolist()
 
-    def kept(self, s: str) -> tuple[int, ...] | array:
-        """Path of a stretch, remembered if short; it falls apart between characters that no piece holds side by side."""
-        got = self.older.get(s)
-        if got is None:
-            inner = self.inner
-            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
-            if cuts:
-                got = array("i")
-                for a, b in zip([0, *cuts], [*cuts, len(s)]):
-                    p = s[a:b]
-                    got.extend(self.paths.get(p) or self.kept(p))
-            else:
-                got = self.path(s)
-            if len(s) <= 64:
-                got = tuple(got)
-        if len(s) <= 64:
-            if len(self.paths) >= self.most_paths:
-                self.older, self.paths = self.paths, {}
-            self.paths[s] = got
-        return got
-
     def forget(self) -> None:
         """Give up the remembered paths, which a worker that goes on to other work need not hold."""
-        self.paths, self.older = {}, {}
+        self.paths = Paths(self.path, self.most_paths)
 
     def decode(self, ids) -> str:
         """Text of the ids: pieces and bytes joined, the leading mark dropped."""
